@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noteloom.llm.exact_dedup import exact_groups
 from noteloom.llm.packing import pack_texts
 from noteloom.llm.rank_bpe import encode_decode
+from noteloom.llm.simhash import near_groups
 from noteloom.llm.token_files import read_token_files, write_token_files
 from noteloom.runtime import Scratch
 
@@ -37,6 +38,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op10_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), full=False)
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
+    "op9_simhash": op9_simhash,
     "op10_rank_bpe": op10_rank_bpe,
 }
 
