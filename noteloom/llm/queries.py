@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noteloom.llm.ego_join import vector_links
 from noteloom.llm.exact_dedup import exact_groups
 from noteloom.llm.packing import pack_texts
 from noteloom.llm.rank_bpe import encode_decode
@@ -30,6 +31,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, manifest)
 
 
+def op3_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -48,6 +53,7 @@ def op10_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_ego_join": op3_ego_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op9_simhash": op9_simhash,
