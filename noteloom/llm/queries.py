@@ -12,6 +12,7 @@ from noteloom.llm.packing import pack_texts
 from noteloom.llm.rank_bpe import encode_decode
 from noteloom.llm.simhash import near_groups
 from noteloom.llm.token_files import read_token_files, write_token_files
+from noteloom.llm.warc import archive_round_trip
 from noteloom.runtime import Scratch
 
 
@@ -25,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "tokens").path
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -52,6 +57,7 @@ def op10_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_token_files": op2_token_files,
     "op3_ego_join": op3_ego_join,
     "op4_exact_dedup": op4_exact_dedup,
@@ -61,6 +67,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS bytes FROM pages
+        ), q AS (
+            SELECT *, max(page_id) OVER (PARTITION BY html) AS best FROM p
+        )
+        SELECT page_id,
+               bytes::bigint AS payload_bytes,
+               sha1(html) AS payload_digest,
+               CASE WHEN bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+        FROM q
+    """,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
