@@ -1,6 +1,52 @@
-"""A corpus pipeline of four stages over ``documents``."""
+"""A corpus pipeline over ``documents``: judge quality, drop exact and near copies, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next one's docs. All but the last return the
+columns of ``documents``; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from noteloom.llm.exact_dedup import drop_copies
+from noteloom.llm.packing import pack_texts
+from noteloom.llm.quality import keep_good
+from noteloom.llm.queries import table, tokenizer_path
+from noteloom.llm.simhash import drop_near_copies
+from noteloom.runtime import Scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier trained on ``labels`` accepts."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of identical texts, the document with the largest id."""
+    return drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints, the document with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return pack_texts(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("pack", pack)]
+
+#: SQL has no classifier, fingerprint or tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

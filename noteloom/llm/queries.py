@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm.ego_join import vector_links
 from noteloom.llm.exact_dedup import exact_groups
+from noteloom.llm.html_mincut import extract_main_text
 from noteloom.llm.packing import pack_texts
+from noteloom.llm.quality import graded, score_quality, train
 from noteloom.llm.rank_bpe import encode_decode
 from noteloom.llm.simhash import near_groups
 from noteloom.llm.token_files import read_token_files, write_token_files
@@ -48,6 +50,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, graded(table(spark, sf_dir, "labels"))))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -62,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ego_join": op3_ego_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_html_mincut": op6_html_mincut,
+    "op7_quality": op7_quality,
     "op9_simhash": op9_simhash,
     "op10_rank_bpe": op10_rank_bpe,
 }
