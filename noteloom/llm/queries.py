@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noteloom.llm.ego_join import vector_links
 from noteloom.llm.exact_dedup import exact_groups
 from noteloom.llm.html_mincut import extract_main_text
+from noteloom.llm.line_align import delete_repeated_lines
 from noteloom.llm.packing import pack_texts
 from noteloom.llm.quality import graded, score_quality, train
 from noteloom.llm.rank_bpe import encode_decode
@@ -59,6 +60,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, graded(table(spark, sf_dir, "labels"))))
 
 
+def op8_line_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delete_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_html_mincut": op6_html_mincut,
     "op7_quality": op7_quality,
+    "op8_line_align": op8_line_align,
     "op9_simhash": op9_simhash,
     "op10_rank_bpe": op10_rank_bpe,
 }
