@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.word_ids import Kept, batches_by_size, cut_before_spaces, keyed_ids, library_encoder, load_tokenizer, loaded
+from noteloom.llm.word_ids import Kept, batches_by_size, cut_before_spaces, keyed_ids, library_encoder, loaded
 from noteloom.runtime import ship
 
 TOKENS = 1024
@@ -164,9 +164,8 @@ def pack_texts(
         base = TaskContext.get().partitionId() << 40
         data = vocabulary.value
         key = zlib.crc32(data.encode())
-        tokenizer = loaded(("tokenizer", key), lambda: load_tokenizer(data))
         kept = loaded(("chunks before spaces", key), Kept)
-        encode = library_encoder(tokenizer)
+        encode = loaded(("encoder", key), lambda: library_encoder(data))
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(tokens, segments, loss, cut)
         rows: list[list] = [[] for _ in arrow]

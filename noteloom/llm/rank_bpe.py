@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding with a contiguous rank array.
 
-A word's part boundaries and the ranks of its adjacent pairs are two short
-arrays. The least rank is looked for by a scan, the boundary between its two
+A word's parts, from boundary to boundary, and the ranks of its adjacent pairs
+are two short arrays. The least rank is looked for by a scan, the boundary between its two
 parts is deleted, and the ranks on either side are looked up anew, until no pair
 has a rank. Words of over ``SHORT`` symbols, for which scans would be slow, go by
 a heap over the same pairs in the same order: least rank first, leftmost first.
@@ -20,16 +20,16 @@ import json
 import unicodedata
 import zlib
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.word_ids import Kept, batches_by_size, cut_at_spaces, loaded
+from noteloom.llm.word_ids import CACHE_CHUNKS, Kept, batches_by_size, cut_lowered, little, load_tokenizer, loaded
 from noteloom.runtime import ship
 
 SHORT = 200
+SPAN = 1 << 20  # ids are below this
 NO_RANK = 1 << 60
 
 
@@ -43,47 +43,47 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def merge_scan(symbols: list[str], ranks: dict) -> list[str]:
-    """Parts of a short word: scan for the least rank, delete that boundary, refresh its neighbours."""
-    word = "".join(symbols)
-    bounds = [0]
-    for s in symbols:
-        bounds.append(bounds[-1] + len(s))
-    near = [ranks.get((a, b), NO_RANK) for a, b in zip(symbols, symbols[1:])]
+def merge_scan(parts: list[int], pairs: dict) -> list[int]:
+    """Parts of a short word: scan for the least rank, delete that boundary, refresh its neighbours.
+
+    parts: the id of the part between each two boundaries. pairs: for left id *
+    SPAN + right id, rank * SPAN + id of what they merge into.
+    """
+    rank = pairs.get
+    near = [rank(a * SPAN + b, NO_RANK) for a, b in zip(parts, parts[1:])]
     while near:
         least = min(near)
         if least == NO_RANK:
             break
         i = near.index(least)
-        del bounds[i + 1], near[i]
-        part = word[bounds[i] : bounds[i + 1]]
+        part = parts[i] = least % SPAN
+        del parts[i + 1], near[i]
         if i < len(near):
-            near[i] = ranks.get((part, word[bounds[i + 1] : bounds[i + 2]]), NO_RANK)
+            near[i] = rank(part * SPAN + parts[i + 1], NO_RANK)
         if i:
-            near[i - 1] = ranks.get((word[bounds[i - 1] : bounds[i]], part), NO_RANK)
-    return [word[a:b] for a, b in zip(bounds, bounds[1:])]
+            near[i - 1] = rank(parts[i - 1] * SPAN + part, NO_RANK)
+    return parts
 
 
-def merge_heap(symbols: list[str], ranks: dict) -> list[str]:
+def merge_heap(parts: list, pairs: dict) -> list[int]:
     """The same parts for a long word."""
-    parts: list = list(symbols)
     n = len(parts)
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+    heap = [(r, i) for i in range(n - 1) if (r := pairs.get(parts[i] * SPAN + parts[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
         r, i = heapq.heappop(heap)
         j = after[i]
-        if parts[i] is None or j < 0 or ranks.get((parts[i], parts[j])) != r:
+        if parts[i] is None or j < 0 or pairs.get(parts[i] * SPAN + parts[j]) != r:
             continue
-        parts[i] += parts[j]
+        parts[i] = r % SPAN
         parts[j] = None
         after[i] = k = after[j]
         if k >= 0:
             before[k] = i
-            if (x := ranks.get((parts[i], parts[k]))) is not None:
+            if (x := pairs.get(parts[i] * SPAN + parts[k])) is not None:
                 heapq.heappush(heap, (x, i))
-        if (h := before[i]) >= 0 and (x := ranks.get((parts[h], parts[i]))) is not None:
+        if (h := before[i]) >= 0 and (x := pairs.get(parts[h] * SPAN + parts[i])) is not None:
             heapq.heappush(heap, (x, h))
     return [p for p in parts if p is not None]
 
@@ -98,29 +98,42 @@ class RankBPE:
             raise ValueError("not a vocabulary of the supported kind")
         self.vocab = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
+        self.pairs = {}
+        for r, m in enumerate(model["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            self.pairs[self.vocab[a] * SPAN + self.vocab[b]] = r * SPAN + self.vocab[a + b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.letters = byte_letters()
-
-    def word(self, word: str) -> list[int]:
-        letters = self.letters
-        symbols = [letters[b] for b in word.encode()]
-        if self.suffix:
-            symbols[-1] += self.suffix
-        parts = (merge_scan if len(symbols) <= SHORT else merge_heap)(symbols, self.ranks)
-        return [self.vocab[p] for p in parts]
+        self.first = [self.vocab[x] for x in byte_letters()]
+        self.last = [self.vocab[x + self.suffix] for x in byte_letters()]
+        self.bytes_of = {x: b for b, x in enumerate(byte_letters())}
+        self.kept = Kept()
+        self.data, self.library = data, None
+
+    def word(self, data: bytes) -> list[int]:
+        found = self.kept.get(data)
+        if found is None:
+            first = self.first
+            parts = [first[b] for b in data]
+            parts[-1] = self.last[data[-1]]
+            found = (merge_scan if len(parts) <= SHORT else merge_heap)(parts, self.pairs)
+            self.kept.put(data, found)
+        return found
 
     def plain(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text)  # letter by letter: no rule for a final sigma
-        else:
-            text = text.lower()
-        return [i for w in self.pattern.findall(text) for i in self.word(w)]
+        if text.isascii():
+            return [i for w in self.pattern.findall(text.lower()) for i in self.word(w.encode())]
+        if any(unicodedata.category(c) == "Cn" for c in text):
+            # newer than this Python's tables: ask the library how it normalises and splits
+            if self.library is None:
+                self.library = load_tokenizer(self.data)
+            words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [i for w, _ in words for i in self.word(bytes(map(self.bytes_of.__getitem__, w)))]
+        text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))  # letter by letter: no rule for a final sigma
+        return [i for w in self.pattern.findall(text) for i in self.word(w.encode())]
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a text. Special tokens are found first, in the text as it is."""
@@ -135,7 +148,7 @@ class RankBPE:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in cut_at_spaces(text) for i in self.chunk(c)]
+        return [i for c in cut_lowered(text) for i in self.chunk(c)]
 
     def decode(self, ids) -> str:
         return " ".join(self.tokens[int(i)] for i in ids)
@@ -161,22 +174,23 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         data = vocabulary.value
         key = zlib.crc32(data.encode())
         bpe = loaded(("rank bpe", key), lambda: RankBPE(data))
-        kept = loaded(("rank chunks", key), Kept)
+        kept = loaded(("rank chunks", key), lambda: Kept(CACHE_CHUNKS // 2))
 
-        def of(chunk: str):
-            found = kept.get(chunk)
-            if found is None:
-                ids = bpe.chunk(chunk)
-                found = (np.array(ids, "<u4").tobytes(), bpe.decode(ids))
-                kept.put(chunk, found)
-            return found
+        def make(chunks):
+            for c in chunks:
+                ids = bpe.chunk(c)
+                yield little(ids), bpe.decode(ids)
 
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for group in batches_by_size(rows, lambda r: len(r[1] or "")):
                 ids, decoded = [], []
-                for _, text in group:
-                    found = [of(c) for c in cut_at_spaces(text or "")]
+                parts = [cut_lowered(text or "") for _, text in group]
+                chunks = set().union(*parts)
+                all_kept = kept.fill(chunks, make)
+                of = {c: all_kept[c] for c in chunks}
+                for chunks in parts:
+                    found = [of[c] for c in chunks]
                     ids.append(b"".join([x[0] for x in found]))
                     decoded.append(" ".join([x[1] for x in found if x[1]]))
                 cols = {"doc_id": [d for d, _ in group], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": decoded}

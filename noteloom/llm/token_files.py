@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.word_ids import Kept, batches_by_size, cut_at_spaces, keyed_ids, library_encoder, load_tokenizer, loaded
+from noteloom.llm.word_ids import Kept, batches_by_size, cut_lowered, keyed_ids, library_encoder, load_tokenizer, loaded
 from noteloom.runtime import ship
 
 NO_ID = -(2**63)
@@ -54,9 +54,8 @@ def _writer(folder: str, vocabulary, end_id: int, width: int, cut):
         own = uuid.uuid4().hex
         names = {k: f"{at}/{k}-{shard:05d}.bin" for k in ("ids", "offsets", "docs")}
         data = vocabulary.value
-        tokenizer = loaded(("tokenizer", zlib.crc32(data.encode())), lambda: load_tokenizer(data))
         kept = loaded(("chunks", zlib.crc32(data.encode())), Kept)
-        encode = library_encoder(tokenizer)
+        encode = loaded(("encoder", zlib.crc32(data.encode())), lambda: library_encoder(data))
         end = np.array([end_id], "<u4").tobytes()
         kind = f"<u{width}"
         docs = total = 0
@@ -80,7 +79,7 @@ def _writer(folder: str, vocabulary, end_id: int, width: int, cut):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, cut=cut_at_spaces) -> dict:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, cut=cut_lowered) -> dict:
     """Encode every text, append ``end_id``, write the files in ascending id order; returns the manifest.
 
     A null text counts as empty (its end id is still written); a null id sorts

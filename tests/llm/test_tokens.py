@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from noteloom.llm.packing import Packer, pack_texts
 from noteloom.llm.rank_bpe import RankBPE, encode_decode, merge_heap, merge_scan
 from noteloom.llm.token_files import read_token_files, write_token_files
-from noteloom.llm.word_ids import Kept, cut_before_spaces
+from noteloom.llm.word_ids import Kept, cut_before_spaces, cut_lowered, keyed_ids, library_encoder
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
@@ -31,6 +31,15 @@ def test_same_ids_as_the_library(text):
     assert bpe.decode(ids) == word.decode(ids, skip_special_tokens=False)
 
 
+encode_chunks = library_encoder(open(WORD, encoding="utf-8").read())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\tabTHE.,<|>\x85 ΣİéǺ"), st.characters(codec="utf-8", max_codepoint=0x3FF)), max_size=40), max_size=4))
+def test_chunks_keep_ids_of_whole_texts(texts):
+    assert keyed_ids(texts, cut_lowered, encode_chunks, Kept()) == [np.array(ids_of(word, t), "<u4").tobytes() for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(" \n\t'abcdTHE.,12<|>\x1c\x85 é "), max_size=40))
 def test_chunks_before_spaces_keep_ids(text):
@@ -39,8 +48,8 @@ def test_chunks_before_spaces_keep_ids(text):
 
 @given(st.text(alphabet="abth", min_size=1, max_size=30))
 def test_scan_and_heap_agree(text):
-    symbols = [*text[:-1], text[-1] + "</w>"]
-    assert merge_scan(symbols, bpe.ranks) == merge_heap(symbols, bpe.ranks)
+    parts = [bpe.vocab[c] for c in [*text[:-1], text[-1] + "</w>"]]
+    assert merge_scan(list(parts), bpe.pairs) == merge_heap(list(parts), bpe.pairs)
 
 
 def test_encode_decode(odd_docs):
