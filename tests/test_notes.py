@@ -1,0 +1,201 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from noteloom.cli import main
+from noteloom.functions import notes as N
+from noteloom.functions import pii as P
+from noteloom.functions import scores as S
+from noteloom.operators import drafting, rows, suites, synthesis
+from noteloom.operators.chat import to_chat
+from noteloom.plans import report, scoring
+from noteloom.rules import PLAN, load_rules
+from noteloom.sources.jsonl import load_split, read_jsonl, write_splits
+from noteloom.streaming.monitor import window_rates
+
+RULES = load_rules()
+
+
+def one(spark, text, column):
+    return spark.createDataFrame([(text,)], "x string").select(column(F.col("x")).alias("y")).first().y
+
+
+def note_of(spark, value):
+    df = spark.createDataFrame([(value if isinstance(value, str) else json.dumps(value),)], "draft string")
+    return scoring.parsed(df)
+
+
+@pytest.mark.parametrize(
+    ("draft", "keys"),
+    [
+        ('{"b":1,"a":null}', ["b", "a"]),
+        ('<think>{"x":1}</think>\n```json\n{"a":1}\n```', ["a"]),
+        ('sure: {"a":{"b":2}} bye', ["a"]),
+        ('{"a":1,"b":2,"a":3}', ["a", "b"]),
+        ("[1,2]", []),
+        ("{broken", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_parse(spark, draft, keys):
+    df = spark.createDataFrame([(draft,)], "draft string")
+    assert scoring.parsed(df).select(F.map_keys("note").alias("k")).first().k == keys
+
+
+def test_last_of_equal_keys_wins(spark):
+    assert note_of(spark, '{"a":1,"a":3}').select(N.text_of(N.value(F.col("note"), "a"))).first()[0] == "3"
+
+
+@pytest.mark.parametrize(("value", "gap"), [(None, True), ("", True), (" N/A ", True), ("[Not recorded]", True), (-1, True), ([], True), (False, False), (0, False), (-1.0, False), ({}, False), (["[not recorded]"], False), ([None], False), ("x", False)])
+def test_gaps(spark, value, gap):
+    df = note_of(spark, {"f": value})
+    assert df.select(N.gap(F.col("note"), "f")).first()[0] is gap
+    assert df.select(N.gap(F.col("note"), "g")).first()[0] is False
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "types"),
+    [
+        ("call 0412 345 678 now", "call [PHONE] now", ["[PHONE]"]),
+        ("a.b@c.org and NDIS 4301234, 3056", "[EMAIL] and [NDIS_NUM], [POSTCODE]", ["[EMAIL]", "[NDIS_NUM]", "[POSTCODE]"]),
+        ("born 25/12/1990 or 0104/1990", "born 25/[DOB] or [DOB]", ["[DOB]"]),
+        ("+61 412 345 678", "+[PHONE]", ["[PHONE]"]),
+        ("at (03) 9123 4567", "at (03) [POSTCODE] [POSTCODE]", ["[POSTCODE]"]),
+        ("PRT-0042", "PRT-[POSTCODE]", ["[POSTCODE]"]),
+        ("nothing here, 1300 555 010", "nothing here, [POSTCODE] 555 010", ["[POSTCODE]"]),
+    ],
+)
+def test_deidentify(spark, text, want, types):
+    assert one(spark, text, P.deidentify) == want
+    assert one(spark, text, P.deidentified_types) == types
+
+
+def test_contact_names(spark):
+    text = "mum Jenny and brother Marcus Hill; Mum Anna; Dr Nguyen, coordinator Hannah Wells; mum Jenny"
+    assert one(spark, text, P.contact_names) == ["Hannah Wells", "Marcus Hill", "Nguyen", "Jenny"]
+
+
+def test_register(spark):
+    good = "The worker and the participant planned the week together."
+    assert one(spark, good, S.register_score) == 1.0
+    assert one(spark, "We did it, so,we left", S.register_score) == 0.0
+    assert one(spark, "Été calme avec le soutien de toute une équipe.", S.register_score) == 1.0
+    assert one(spark, good.replace("The worker", "I"), S.register_score) == 0.75
+
+
+def test_structure(spark):
+    note = suites.ideal_note()
+    score = lambda n, stratum="routine_session": scoring.example_scores(spark.createDataFrame([("i", stratum, suites.said(suites.ideal_note(), "did: it"), json.dumps(n), [])], "id string, stratum string, input string, draft string, forbidden array<string>")).first()
+    assert score(note).passed and score(note).structure_score == 1.0
+    assert not score({k: v for k, v in note.items() if k != "location"}).present_ok
+    assert not score(note | {"location": "unknown"}).present_ok
+    assert score(note | {"location": "unknown"}, "sparse_input").present_ok
+    assert not score(dict(reversed(note.items()))).order_ok
+    for bad in ({"outcomes_achieved": "x"}, {"duration_minutes": 1441}, {"duration_minutes": True}, {"participant_present": "yes"}, {"date_of_service": "14/03/2025"}, {"outcomes_achieved": ["a", 1]}):
+        assert not score(note | bad).types_ok, bad
+    assert score(note | {"duration_minutes": 1440, "date_of_service": "2025-3-4"}).types_ok
+    assert not score(note | {"narrative_summary": "Call 0412 345 678 about the visit on the next day."}).pii_clean
+    assert not score(note | {"duration_minutes": 50}).faithful
+    assert not score("{}").structural
+    reasons = note_of(spark, note | {"service_type": "None such", "more": 1, "location": " "}).select(N.strict_reasons(F.col("note"), RULES)).first()[0]
+    assert set(reasons) == {"service_type: option", "more: unknown", "location: blank"}
+
+
+def suite_rates(spark, model):
+    cases = suites.cases(spark)
+    got = scoring.suite_results(scoring.suite_cases(model(cases.drop("target")))).collect()
+    return {r.suite: r.passed for r in got}
+
+
+def test_suites(spark):
+    cases = suites.cases(spark)
+    assert suite_rates(spark, drafting.golden(cases.select("input", "target"))) == {"fabrication": 10, "pii_leakage": 10, "missing_element": 10}
+    assert suite_rates(spark, drafting.naive) == {"fabrication": 1, "pii_leakage": 0, "missing_element": 8}
+    assert suite_rates(spark, drafting.guarded(drafting.naive))["pii_leakage"] == 8
+    assert {r.pass_rate for r in scoring.suite_results(cases.limit(0).selectExpr("suite", "true AS passed")).collect()} == {1.0}
+
+
+def test_agreement_and_latency(spark):
+    rows_ = spark.createDataFrame([(True, True)] * 4 + [(False, False)] * 3 + [(True, False)], "human boolean, judge boolean")
+    r = scoring.agreement(rows_).first()
+    assert r.n == 8 and r.accuracy == 7 / 8 and abs(r.kappa - 0.75) < 1e-9
+    r = scoring.agreement(rows_.filter("human and judge")).first()
+    assert r.accuracy == 1.0 and r.kappa != r.kappa
+    assert scoring.agreement(rows_.limit(0)).first().accuracy == 1.0
+    times = spark.createDataFrame([(float(x),) for x in range(1, 14)], "t double")
+    r = scoring.latency_stats(times, "t").first()
+    assert (r.n, r["mean"], r.p50, r.p95, r["max"]) == (13, 7.0, 7.0, 12.0, 13.0)
+    assert scoring.latency_stats(spark.createDataFrame([(0.0,)], "t double"), "t").collect() == []
+
+
+def test_split(spark):
+    df = spark.createDataFrame([(i, "abc"[min(i // 40, 2)] if i < 101 else "d") for i in range(103)], "id long, s string")
+    out = rows.stratified_split(df, "s", "id").collect()
+    assert sorted(r.id for r in out) == list(range(103))
+    count = lambda s, k: sum(r.s == s and r.split == k for r in out)
+    assert [count("a", k) for k in ("test", "val", "train")] == [6, 6, 28]
+    assert [count("d", k) for k in ("test", "val", "train")] == [1, 0, 1]
+    assert out != rows.stratified_split(df, "s", "id", seed=7).collect()
+
+
+def test_dedup_and_lookup(spark):
+    df = spark.createDataFrame([(3, " Same"), (1, "same "), (2, "other"), (4, None), (5, "")], "id long, t string")
+    assert sorted(r.id for r in rows.dedup_first(df, "t", "id").collect()) == [1, 2, 4]
+    pairs = spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], "q string, v string, n int")
+    got = rows.lookup_last(spark.createDataFrame([("a",), ("b",)], "q string"), pairs, "q", "v", ["n"]).collect()
+    assert {r.q: r.v for r in got} == {"a": "y", "b": None}
+
+
+def test_synthesis(spark):
+    plan = {k: 8 for k in PLAN}
+    made = synthesis.dataset(spark, plan).cache()
+    assert made.groupBy("stratum").count().filter("count = 8").count() == 6
+    scored = scoring.example_scores(made.withColumnsRenamed({"target": "draft"}).withColumn("forbidden", F.array().cast("array<string>")))
+    assert scored.filter("NOT (structural AND faithful AND pii_clean)").count() == 0
+    gaps = scoring.parsed(made.filter("stratum = 'adv_missing_field'").withColumnRenamed("target", "draft"))
+    assert len({x for r in gaps.select(S.gaps(F.col("note"), RULES).alias("g")).collect() for x in r.g}) >= 3
+    assert made.select("id").distinct().count() == 48
+    chat = to_chat(made).select("messages").first().messages
+    assert [m.role for m in chat] == ["system", "user", "assistant"]
+
+
+def test_cli_and_files(spark, tmp_path, capsys):
+    made = synthesis.dataset(spark, {k: 6 for k in PLAN})
+    counts = write_splits(rows.stratified_split(made, "stratum", "id"), str(tmp_path / "d"))
+    assert {r.split: r.n for r in counts.collect()} == {"test": 6, "val": 6, "train": 24}
+    schema = "id string, stratum string, input string, target string"
+    assert load_split(spark, str(tmp_path / "d"), "val", schema).count() == 6
+    assert read_jsonl(spark, str(tmp_path / "none"), schema).count() == 0
+    with pytest.raises(ValueError, match="unknown split"):
+        load_split(spark, str(tmp_path), "dev", schema)
+    assert main(["evaluate", str(tmp_path / "d"), "--json", str(tmp_path / "c.json"), "--html", str(tmp_path / "c.html"), "--fail-on-block"]) == 0
+    card = json.loads((tmp_path / "c.json").read_text())
+    assert card["release_ok"] and card["n_examples"] == 6 and "<table>" in (tmp_path / "c.html").read_text()
+    assert main(["evaluate", str(tmp_path / "d"), "--mode", "naive", "--fail-on-block"]) == 1
+    assert main(["evaluate", str(tmp_path / "none")]) == 2
+    assert main(["deid", "mail a@b.org"]) == 0 and "[EMAIL]" in capsys.readouterr().out
+    assert "release" in report.to_text(card)
+
+
+def test_opaque_judge(spark):
+    def judge(frames):
+        for pdf in frames:
+            yield pdf.assign(good=pdf.draft.str.len() > 2)
+
+    df = spark.createDataFrame([("a", "{}"), ("b", '{"a":1}')], "input string, draft string")
+    assert {r.input: r.good for r in drafting.batched(judge, "good boolean")(df).collect()} == {"a": False, "b": True}
+    with pytest.raises(ValueError, match="unknown kind"):
+        drafting.build(drafting.JUDGES, "none")
+
+
+def test_stream(spark, tmp_path):
+    drafts = suites.cases(spark).selectExpr("id", "stratum", "input", "target AS draft", "forbidden", "timestamp'2025-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(substr(id,-3) AS int),0) AS ts")
+    drafts.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(drafts.schema).parquet(str(tmp_path / "in"))
+    q = window_rates(stream).writeStream.outputMode("complete").format("memory").queryName("rates").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("SELECT sum(n) AS n, min(structural) AS s FROM rates").first()
+    assert got.n == 30 and got.s == 1.0
