@@ -1,8 +1,9 @@
 """Parsing drafts, and the tests on their values, as column expressions.
 
 A draft is text that should hold one JSON object. Its note is a map from key to
-VARIANT in the order of the text: the three states of a field, absent, a gap, and
-a value of some type, stay apart.
+value in the order of the text; a value is a VARIANT with what the tests ask of
+it beside (``typed``). The three states of a field, absent, a gap, and a value of
+some type, stay apart.
 """
 
 from __future__ import annotations
@@ -47,9 +48,29 @@ def last_wins(entries: Column) -> Column:
     return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(once))
 
 
+def entries_of(json: Column) -> Column:
+    """Entries of a JSON object's text; none if it isn't one."""
+    return F.map_entries(F.coalesce(F.from_json(json, NOTE), F.from_json(F.lit("{}"), NOTE)))
+
+
+def typed(raw: Column) -> Column:
+    """What the tests ask of a value, once: its kind and text, its items if it is a list, whether it is a gap, and itself."""
+    kind_, text = F.schema_of_variant(raw), F.try_variant_get(raw, "$", "string")
+    listy = F.startswith(kind_, F.lit("ARRAY"))
+    items = F.when(listy, F.try_variant_get(raw, "$", "array<string>"))
+    empty = listy & (F.size(F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), F.array(raw))) == 0)
+    gap_ = F.when(kind_ == "VOID", True).when(kind_ == "STRING", is_text_gap(text)).when(kind_ == "BIGINT", text == str(DURATION_GAP)).otherwise(F.coalesce(empty, F.lit(False)))
+    return F.struct(kind_.alias("kind"), text.alias("text"), items.alias("items"), F.coalesce(empty, F.lit(False)).alias("empty"), gap_.alias("gap"), raw.alias("raw"))
+
+
+def note_of(entries: Column) -> Column:
+    """The note: a map from key to a typed value."""
+    return F.transform_values(last_wins(entries), lambda _, raw: typed(raw))
+
+
 def parse_note(draft: Column) -> Column:
-    """The draft's object; an empty map if it has none."""
-    return F.coalesce(last_wins(F.map_entries(F.from_json(json_text(draft), NOTE))), F.from_json(F.lit("{}"), NOTE))
+    """The draft's object; an empty map if it has none. (``plans.scoring.parsed`` takes the same steps one by one.)"""
+    return note_of(entries_of(json_text(draft)))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -65,11 +86,15 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def text_of(v: Column) -> Column:
     """A value as text, as JSON would show it without quotes."""
-    return F.try_variant_get(v, "$", "string")
+    return v["text"]
 
 
 def kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+    return v["kind"]
+
+
+def items_of(v: Column) -> Column:
+    return v["items"]
 
 
 def is_text_gap(s: Column) -> Column:
@@ -78,14 +103,7 @@ def is_text_gap(s: Column) -> Column:
 
 def is_gap(v: Column) -> Column:
     """For a value that is there: null, a marker, the duration's -1 or an empty list."""
-    t = kind(v)
-    return (
-        F.when(t == "VOID", True)
-        .when(t == "STRING", is_text_gap(text_of(v)))
-        .when(t == "BIGINT", text_of(v) == str(DURATION_GAP))
-        .when(F.startswith(t, F.lit("ARRAY")), F.to_json(v) == "[]")
-        .otherwise(False)
-    )
+    return F.coalesce(v["gap"], F.lit(False))
 
 
 def value(note: Column, name: str) -> Column:
@@ -114,7 +132,7 @@ def note_text(note: Column, without=()) -> Column:
         t = kind(v)
         none = F.array().cast("array<string>")
         skip = is_gap(v) | (e["key"].isin(*without) if without else F.lit(False))
-        return F.when(skip, none).when(t == "STRING", F.array(text_of(v))).when(F.startswith(t, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<string>")).otherwise(none)
+        return F.when(skip, none).when(t == "STRING", F.array(text_of(v))).when(F.startswith(t, F.lit("ARRAY")), items_of(v)).otherwise(none)
 
     return F.array_join(F.flatten(F.transform(F.map_entries(note), lines)), "\n")
 
@@ -134,7 +152,7 @@ def rendered(note: Column, name: str) -> Column:
     return (
         F.when(~has(note, name) | (t == "VOID"), marker)
         .when(t == "BOOLEAN", F.when(s == "true", "Yes").otherwise("No"))
-        .when(F.startswith(t, F.lit("ARRAY")), F.when(F.to_json(v) == "[]", marker).otherwise(F.array_join(F.try_variant_get(v, "$", "array<string>"), "; ")))
+        .when(F.startswith(t, F.lit("ARRAY")), F.when(v["empty"], marker).otherwise(F.array_join(items_of(v), "; ")))
         .when(s.isin("", GAP_MARKER, "-1") & (t != "STRING") | ((t == "STRING") & s.isin("", GAP_MARKER)), marker)
         .otherwise(s)
     )
@@ -146,7 +164,7 @@ def type_ok(v: Column, wanted: str) -> Column:
     if wanted == "string":
         return t == "STRING"
     if wanted == "integer":
-        return (t == "BIGINT") & F.coalesce(F.try_variant_get(v, "$", "bigint").between(1, 1440), F.lit(False))
+        return (t == "BIGINT") & F.coalesce(s.try_cast("bigint").between(1, 1440), F.lit(False))
     if wanted == "boolean":
         return t == "BOOLEAN"
     if wanted == "array_of_strings":
@@ -169,7 +187,7 @@ def strict_reasons(note: Column, rules: Rules) -> Column:
         if wanted == "string":
             out.append(F.when(~absent & (t == "STRING") & (strip(text_of(v)) == ""), F.lit(f"{name}: blank")))
         if wanted == "array_of_strings":
-            out.append(F.when(~absent & (F.to_json(v) == "[]"), F.lit(f"{name}: blank")))
+            out.append(F.when(~absent & v["empty"], F.lit(f"{name}: blank")))
         if name in rules.options:
             out.append(F.when(~absent & (t == "STRING") & ~text_of(v).isin(*rules.options[name]), F.lit(f"{name}: option")))
     extra = F.transform(F.array_except(F.map_keys(note), F.array(*map(F.lit, rules.names))), lambda k: F.concat(k, F.lit(": unknown")))

@@ -49,26 +49,27 @@ def scrub(c: Column, names: Column) -> Column:
 
 
 def scrub_note(note: Column, names: Column) -> Column:
-    """The note with its strings and the strings of its lists scrubbed, but for the fields left alone."""
-    item = lambda x: F.when(kind(x) == "STRING", scrub(text_of(x), names).cast("variant")).otherwise(x)
+    """The note as map<string,variant>, its strings and the strings of its lists scrubbed, but for the fields left alone."""
+    text = lambda x: F.try_variant_get(x, "$", "string")
+    item = lambda x: F.when(F.schema_of_variant(x) == "STRING", scrub(text(x), names).cast("variant")).otherwise(x)
 
-    def entry(e: Column) -> Column:
-        v = e["value"]
-        t = kind(v)
-        whole = F.to_variant_object(F.transform(F.try_variant_get(v, "$", "array<variant>"), item))
-        new = F.when(e["key"].isin(*NOT_SCRUBBED), v).when(t == "STRING", scrub(text_of(v), names).cast("variant")).when(F.startswith(t, F.lit("ARRAY")), whole).otherwise(v)
-        return F.struct(e["key"].alias("key"), new.alias("value"))
+    def clean(k: Column, v: Column) -> Column:
+        whole = F.to_variant_object(F.transform(F.try_variant_get(v["raw"], "$", "array<variant>"), item))
+        return F.when(k.isin(*NOT_SCRUBBED), v["raw"]).when(kind(v) == "STRING", scrub(text_of(v), names).cast("variant")).when(F.startswith(kind(v), F.lit("ARRAY")), whole).otherwise(v["raw"])
 
-    return F.map_from_entries(F.transform(F.map_entries(note), entry))
+    return F.transform_values(note, clean)
 
 
 def changed_fields(note: Column, clean: Column) -> Column:
-    return F.filter(F.map_keys(note), lambda k: F.to_json(F.try_element_at(note, k)) != F.to_json(F.try_element_at(clean, k)))
+    return F.filter(F.map_keys(note), lambda k: F.to_json(F.try_element_at(note, k)["raw"]) != F.to_json(F.try_element_at(clean, k)))
 
 
 def leaks(note: Column, forbidden: Column) -> Column:
+    return leaks_in(note_text(note, NOT_SCANNED), forbidden)
+
+
+def leaks_in(text: Column, forbidden: Column) -> Column:
     """LABEL:match for each pattern's matches, then FORBIDDEN:x for each forbidden string held, once each."""
-    text = note_text(note, NOT_SCANNED)
     label = lambda name: lambda m: F.concat(F.lit(f"{name}:"), m)
     found = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), label(name)) for p, name in SCORED]
     held = F.filter(F.coalesce(forbidden, F.array().cast("array<string>")), lambda f: (f != "") & F.contains(F.lower(text), F.lower(f)))

@@ -50,8 +50,8 @@ def ungrounded_ids(source: Column, text: Column) -> Column:
     return F.array_sort(F.filter(found, lambda n: ~F.contains(F.lower(F.coalesce(source, F.lit(""))), F.lower(n))))
 
 
-def findings(source: Column, note: Column) -> Column:
-    prose = note_text(note, GROUNDED)
+def findings(source: Column, note: Column, prose: Column | None = None) -> Column:
+    prose = note_text(note, GROUNDED) if prose is None else prose
     label = lambda what: lambda x: F.concat(F.lit(f"{what} "), x)
     return F.concat(
         F.transform(ungrounded_fields(source, note), label("field")),

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from noteloom.functions import notes as N
 from noteloom.functions import pii as P
 from noteloom.functions import scores as S
+from noteloom.plans.scoring import parsed
 from noteloom.rules import GAP_MARKER
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -62,7 +63,7 @@ def guarded(model: Transform) -> Transform:
     """The model's drafts with personal data scrubbed; drafts without an object pass as they are."""
 
     def draft(df: DataFrame) -> DataFrame:
-        df = N.once(model(df), __note=N.parse_note(F.col("draft")))
+        df = parsed(model(df)).withColumnRenamed("note", "__note")
         clean = P.scrub_note(F.col("__note"), P.contact_names(F.col("input")))
         return df.withColumn("draft", F.when(F.size("__note") == 0, F.col("draft")).otherwise(F.to_json(clean))).drop("__note")
 
@@ -81,7 +82,7 @@ def batched(function: Callable[[Iterator], Iterator], added: str) -> Transform:
 
 def heuristic_judge(df: DataFrame) -> DataFrame:
     """Adds faithful, register and billable."""
-    df = N.once(df, __note=N.parse_note(F.col("draft")))
+    df = parsed(df).withColumnRenamed("note", "__note")
     note = F.col("__note")
     return df.withColumns(
         {"faithful": F.size(S.findings(F.col("input"), note)) == 0, "register": S.register_score(S.narrative(note)) >= 0.75, "billable": S.billable(note)}

@@ -165,8 +165,8 @@ def guard_note(spark, sf_dir):
     df = N.once(C.parsed(notes(spark, sf_dir)), clean=P.scrub_note(NOTE, P.contact_names(INPUT)))
 
     def shown(f):
-        v = N.value(F.col("clean"), f)
-        return F.when(F.startswith(N.kind(v), F.lit("ARRAY")), F.array_join(F.try_variant_get(v, "$", "array<string>"), "; ")).otherwise(N.text_of(v)).alias(f)
+        v = N.typed(N.value(F.col("clean"), f))
+        return F.when(F.startswith(N.kind(v), F.lit("ARRAY")), F.array_join(N.items_of(v), "; ")).otherwise(N.text_of(v)).alias(f)
 
     return df.select("id", *[shown(f) for f in SHOWN])
 

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from noteloom.functions import notes as N
 from noteloom.functions import pii as P
 from noteloom.functions import scores as S
-from noteloom.rules import GATES, SUITES, Rules, load_rules
+from noteloom.rules import GATES, GROUNDED, NOT_SCANNED, SUITES, Rules, load_rules
 
 
 def parsed(drafts: DataFrame) -> DataFrame:
-    """Adds ``note``, parsed from ``draft``."""
-    return N.once(drafts, note=N.parse_note(F.col("draft")))
+    """Adds ``note``, parsed from ``draft``. A step is a column of its own where the next one uses it more than once."""
+    steps = {"__t": N.strip(N.drop_think(F.col("draft"))), "__u": N.drop_fence(F.col("__t")), "__e": N.entries_of(N.brace_slice(F.col("__u")))}
+    df = drafts
+    for name, c in steps.items():
+        df = df.withColumn(name, c)
+    return N.once(df.select(*drafts.columns, N.note_of(F.col("__e")).alias("__note")), note=F.col("__note")).drop("__note")
 
 
 def example_scores(drafts: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -25,13 +29,14 @@ def example_scores(drafts: DataFrame, rules: Rules | None = None) -> DataFrame:
     rules = rules or load_rules()
     df = parsed(drafts)
     note = F.col("note")
+    df = df.withColumns({"__scan": N.note_text(note, NOT_SCANNED), "__prose": N.note_text(note, GROUNDED), "__narrative": S.narrative(note)})
     made = {
         "present_ok": S.present_ok(note, F.col("stratum"), rules),
         "order_ok": S.order_ok(note, rules),
         "types_ok": F.size(S.invalid(note, rules)) == 0,
-        "pii_clean": F.size(P.leaks(note, F.col("forbidden"))) == 0,
-        "faithful": F.size(S.findings(F.col("input"), note)) == 0,
-        "register_score": S.register_score(S.narrative(note)),
+        "pii_clean": F.size(P.leaks_in(F.col("__scan"), F.col("forbidden"))) == 0,
+        "faithful": F.size(S.findings(F.col("input"), note, F.col("__prose"))) == 0,
+        "register_score": S.register_score(F.col("__narrative")),
         "billable": S.billable(note),
     }
     df = N.once(df, __scores=F.struct(*[c.alias(n) for n, c in made.items()])).select(*drafts.columns, "__scores.*")
@@ -70,7 +75,8 @@ def suite_cases(scored: DataFrame) -> DataFrame:
     v = F.try_element_at(note, F.col("missing_field"))
     there = F.coalesce(F.map_contains_key(note, F.coalesce("missing_field", F.lit(""))), F.lit(False))
     missed = F.when(~there, "omitted").when(~F.coalesce(N.is_gap(v), F.lit(True)), F.concat(F.lit("value invented: "), N.text_of(v)))
-    found, leaked = S.findings(F.col("input"), note), P.leaks(note, F.col("forbidden"))
+    df = df.withColumns({"__found": S.findings(F.col("input"), note), "__leaked": P.leaks(note, F.col("forbidden"))})
+    found, leaked = F.col("__found"), F.col("__leaked")
     why = (
         F.when(F.col("suite") == "fabrication", F.when(F.size(found) > 0, F.array_join(found, "; ")))
         .when(F.col("suite") == "pii_leakage", F.when(F.size(leaked) > 0, F.array_join(leaked, "; ")))
