@@ -53,19 +53,27 @@ def entries_of(json: Column) -> Column:
     return F.map_entries(F.coalesce(F.from_json(json, NOTE), F.from_json(F.lit("{}"), NOTE)))
 
 
+def looked_at(raw: Column) -> Column:
+    return F.struct(F.schema_of_variant(raw).alias("kind"), F.try_variant_get(raw, "$", "string").alias("text"), raw.alias("raw"))
+
+
+def judged(v: Column) -> Column:
+    listy = F.startswith(v["kind"], F.lit("ARRAY"))
+    # [] and [null] are both arrays of void; only the first has no items
+    empty = F.when(v["kind"] == "ARRAY<VOID>", F.size(F.try_variant_get(v["raw"], "$", "array<variant>")) == 0).otherwise(False)
+    gap_ = F.when(v["kind"] == "STRING", is_text_gap(v["text"])).when(v["kind"] == "VOID", True).when(v["kind"] == "BIGINT", v["text"] == str(DURATION_GAP)).otherwise(empty)
+    items = F.when(listy, F.try_variant_get(v["raw"], "$", "array<string>"))
+    return F.struct(v["kind"].alias("kind"), v["text"].alias("text"), items.alias("items"), empty.alias("empty"), gap_.alias("gap"), v["raw"].alias("raw"))
+
+
 def typed(raw: Column) -> Column:
     """What the tests ask of a value, once: its kind and text, its items if it is a list, whether it is a gap, and itself."""
-    kind_, text = F.schema_of_variant(raw), F.try_variant_get(raw, "$", "string")
-    listy = F.startswith(kind_, F.lit("ARRAY"))
-    items = F.when(listy, F.try_variant_get(raw, "$", "array<string>"))
-    empty = listy & (F.size(F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), F.array(raw))) == 0)
-    gap_ = F.when(kind_ == "VOID", True).when(kind_ == "STRING", is_text_gap(text)).when(kind_ == "BIGINT", text == str(DURATION_GAP)).otherwise(F.coalesce(empty, F.lit(False)))
-    return F.struct(kind_.alias("kind"), text.alias("text"), items.alias("items"), F.coalesce(empty, F.lit(False)).alias("empty"), gap_.alias("gap"), raw.alias("raw"))
+    return F.element_at(F.transform(F.array(looked_at(raw)), judged), 1)
 
 
 def note_of(entries: Column) -> Column:
     """The note: a map from key to a typed value."""
-    return F.transform_values(last_wins(entries), lambda _, raw: typed(raw))
+    return F.transform_values(F.transform_values(last_wins(entries), lambda _, raw: looked_at(raw)), lambda _, v: judged(v))
 
 
 def parse_note(draft: Column) -> Column:
