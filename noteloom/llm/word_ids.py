@@ -14,7 +14,7 @@ import re
 import sys
 from array import array
 
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_400_000
 
 _loaded: dict = {}
 
