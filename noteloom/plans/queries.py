@@ -21,7 +21,6 @@ from noteloom.sources.jsonl import read_jsonl, write_jsonl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 RULES = load_rules()
-NOTE, INPUT = F.col("note"), F.col("input")
 NAMES = [f[0] for f in FIELDS]
 
 
@@ -78,7 +77,7 @@ def parse_brace(spark, sf_dir):
     return notes(spark, sf_dir).select("id", N.brace_slice(F.col("draft")).alias("text"))
 
 
-of_notes(lambda: {"n_keys": F.size(NOTE), "keys": join(F.map_keys(NOTE))}, O.over_notes(f"SELECT id, coalesce(len(json_keys(j)), 0)::int AS n_keys, {O.joined('json_keys(j)')} AS keys FROM p"))("parse_json_note")
+of_notes(lambda: {"n_keys": F.size(F.col("note")), "keys": join(F.map_keys(F.col("note")))}, O.over_notes(f"SELECT id, coalesce(len(json_keys(j)), 0)::int AS n_keys, {O.joined('json_keys(j)')} AS keys FROM p"))("parse_json_note")
 
 
 def _kv(key: str) -> str:
@@ -93,15 +92,15 @@ KEYS = ("worker", "date", "participant", "type", "location", "note", "nothing")
 
 @query(f"WITH n AS ({DUCK_NOTES}) SELECT id, {', '.join(f'{_kv(k)} AS {k}_line' for k in KEYS)} FROM n")
 def kv_parse(spark, sf_dir):
-    return N.once(notes(spark, sf_dir), kv=N.key_values(INPUT)).select("id", *[F.try_element_at("kv", F.lit(k)).alias(f"{k}_line") for k in KEYS])
+    return N.once(notes(spark, sf_dir), kv=N.key_values(F.col("input"))).select("id", *[F.try_element_at("kv", F.lit(k)).alias(f"{k}_line") for k in KEYS])
 
 
-of_notes(lambda: {"reasons": join(N.strict_reasons(NOTE, RULES), "; "), "valid": F.size(N.strict_reasons(NOTE, RULES)) == 0}, O.over_notes(f"SELECT id, {O.joined(O.STRICT, '; ')} AS reasons, len({O.STRICT}) = 0 AS valid FROM p"))("strict_valid")
+of_notes(lambda: {"reasons": join(N.strict_reasons(F.col("note"), RULES), "; "), "valid": F.size(N.strict_reasons(F.col("note"), RULES)) == 0}, O.over_notes(f"SELECT id, {O.joined(O.STRICT, '; ')} AS reasons, len({O.STRICT}) = 0 AS valid FROM p"))("strict_valid")
 
 # --- gaps and text -------------------------------------------------------------------------------
 
-of_notes(lambda: {"gaps": join(N.listed(NAMES, lambda f: N.gap(NOTE, f)))}, O.over_notes(f"SELECT id, {O.joined(O.listed(NAMES, lambda f: f'{O.there(f)} AND {O.gap(f)}'))} AS gaps FROM p"))("gap_flags")
-of_notes(lambda: {"text": N.note_text(NOTE)}, O.over_notes(f"SELECT id, {O.text_without(())} AS text FROM p"))("note_text")
+of_notes(lambda: {"gaps": join(N.listed(NAMES, lambda f: N.gap(F.col("note"), f)))}, O.over_notes(f"SELECT id, {O.joined(O.listed(NAMES, lambda f: f'{O.there(f)} AND {O.gap(f)}'))} AS gaps FROM p"))("gap_flags")
+of_notes(lambda: {"text": N.note_text(F.col("note"))}, O.over_notes(f"SELECT id, {O.text_without(())} AS text FROM p"))("note_text")
 
 
 def _rendered(f: str) -> str:
@@ -111,7 +110,7 @@ def _rendered(f: str) -> str:
         WHEN ({y} <> 'VARCHAR' AND {s} = '-1') OR {s} IN ('', '[not recorded]') THEN '[not recorded]' ELSE {s} END"""
 
 
-of_notes(lambda: {"text": F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), N.rendered(NOTE, f)) for f in NAMES])}, O.over_notes("SELECT id, " + " || chr(10) || ".join(f"'{f}: ' || {_rendered(f)}" for f in NAMES) + " AS text FROM p"))("note_render")
+of_notes(lambda: {"text": F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), N.rendered(F.col("note"), f)) for f in NAMES])}, O.over_notes("SELECT id, " + " || chr(10) || ".join(f"'{f}: ' || {_rendered(f)}" for f in NAMES) + " AS text FROM p"))("note_render")
 
 # --- personal data -------------------------------------------------------------------------------
 
@@ -139,13 +138,13 @@ FOUND = f"n AS ({DUCK_NOTES}), f1 AS (SELECT *, {O.FOUND} AS many FROM n), f2 AS
 
 @query(f"WITH {FOUND} SELECT id, {O.joined('names', '|')} AS names FROM f")
 def contact_names(spark, sf_dir):
-    return notes(spark, sf_dir).select("id", join(P.contact_names(INPUT), "|").alias("names"))
+    return notes(spark, sf_dir).select("id", join(P.contact_names(F.col("input")), "|").alias("names"))
 
 
 @query(f"WITH {FOUND} SELECT id, {O.scrub('input')} AS text, {O.scrub('input')} <> input AS changed FROM f")
 def guard_scrub(spark, sf_dir):
-    df = notes(spark, sf_dir).withColumn("text", P.scrub(INPUT, P.contact_names(INPUT)))
-    return df.select("id", "text", (F.col("text") != INPUT).alias("changed"))
+    df = notes(spark, sf_dir).withColumn("text", P.scrub(F.col("input"), P.contact_names(F.col("input"))))
+    return df.select("id", "text", (F.col("text") != F.col("input")).alias("changed"))
 
 
 def _guarded(f: str) -> str:
@@ -162,7 +161,7 @@ SHOWN = ("participant_id", "narrative_summary", "outcomes_achieved", "date_of_se
     + f", {O.notes_ctes()}, g AS (SELECT p.*, f.names FROM p JOIN f ON p.id = f.id) SELECT id, {', '.join(f'{_guarded(f) if f not in (chr(100) + "ate_of_service", "duration_minutes") else O.s(f)} AS {f}' for f in SHOWN)} FROM g"
 )
 def guard_note(spark, sf_dir):
-    df = N.once(C.parsed(notes(spark, sf_dir)), clean=P.scrub_note(NOTE, P.contact_names(INPUT)))
+    df = N.once(C.parsed(notes(spark, sf_dir)), clean=P.scrub_note(F.col("note"), P.contact_names(F.col("input"))))
 
     def shown(f):
         v = N.typed(N.value(F.col("clean"), f))
@@ -174,25 +173,25 @@ def guard_note(spark, sf_dir):
 @query()
 def guard_changed(spark, sf_dir):
     """Which fields the guard has changed."""
-    df = N.once(C.parsed(notes(spark, sf_dir)), clean=P.scrub_note(NOTE, P.contact_names(INPUT)))
-    return df.select("id", join(P.changed_fields(NOTE, F.col("clean"))).alias("changed"))
+    df = N.once(C.parsed(notes(spark, sf_dir)), clean=P.scrub_note(F.col("note"), P.contact_names(F.col("input"))))
+    return df.select("id", join(P.changed_fields(F.col("note"), F.col("clean"))).alias("changed"))
 
 
 def scores_of(name: str, columns: Callable[[], dict], sql: str) -> None:
     of_notes(columns, O.over_scores(f"SELECT id, {sql} FROM q"))(name)
 
 
-PROSE = lambda: N.note_text(NOTE, O.GROUNDED)
-scores_of("pii_score", lambda: {"leaks": join(P.leaks(NOTE, F.col("forbidden")), "; "), "clean": F.size(P.leaks(NOTE, F.col("forbidden"))) == 0}, f"{O.joined('leaks', '; ')} AS leaks, pii_clean AS clean")
-scores_of("pii_forbidden", lambda: {"held": join(F.filter(P.leaks(NOTE, F.col("forbidden")), lambda x: F.startswith(x, F.lit("FORBIDDEN:"))), "; ")}, f"{O.joined('list_filter(leaks, lambda x: starts_with(x, chr(70) || chr(79) || chr(82)))', '; ')} AS held")
+PROSE = lambda: N.note_text(F.col("note"), O.GROUNDED)
+scores_of("pii_score", lambda: {"leaks": join(P.leaks(F.col("note"), F.col("forbidden")), "; "), "clean": F.size(P.leaks(F.col("note"), F.col("forbidden"))) == 0}, f"{O.joined('leaks', '; ')} AS leaks, pii_clean AS clean")
+scores_of("pii_forbidden", lambda: {"held": join(F.filter(P.leaks(F.col("note"), F.col("forbidden")), lambda x: F.startswith(x, F.lit("FORBIDDEN:"))), "; ")}, f"{O.joined('list_filter(leaks, lambda x: starts_with(x, chr(70) || chr(79) || chr(82)))', '; ')} AS held")
 
 # --- structure -----------------------------------------------------------------------------------
 
-scores_of("struct_missing", lambda: {"missing": join(S.missing(NOTE, RULES))}, f"{O.joined('missing')} AS missing")
-scores_of("struct_gaps", lambda: {"gaps": join(S.gaps(NOTE, RULES))}, f"{O.joined('gaps')} AS gaps")
-scores_of("struct_present", lambda: {"ok": S.present_ok(NOTE, F.col("stratum"), RULES)}, "present_ok AS ok")
-scores_of("struct_order", lambda: {"ok": S.order_ok(NOTE, RULES)}, "order_ok AS ok")
-scores_of("struct_types", lambda: {"invalid": join(S.invalid(NOTE, RULES))}, f"{O.joined('invalid')} AS invalid")
+scores_of("struct_missing", lambda: {"missing": join(S.missing(F.col("note"), RULES))}, f"{O.joined('missing')} AS missing")
+scores_of("struct_gaps", lambda: {"gaps": join(S.gaps(F.col("note"), RULES))}, f"{O.joined('gaps')} AS gaps")
+scores_of("struct_present", lambda: {"ok": S.present_ok(F.col("note"), F.col("stratum"), RULES)}, "present_ok AS ok")
+scores_of("struct_order", lambda: {"ok": S.order_ok(F.col("note"), RULES)}, "order_ok AS ok")
+scores_of("struct_types", lambda: {"invalid": join(S.invalid(F.col("note"), RULES))}, f"{O.joined('invalid')} AS invalid")
 
 
 @query(O.over_scores("SELECT id, structural, round(structure_score, 6) AS score FROM q"))
@@ -202,12 +201,12 @@ def struct_pass(spark, sf_dir):
 
 # --- judged scores -------------------------------------------------------------------------------
 
-scores_of("faith_fields", lambda: {"found": join(S.ungrounded_fields(INPUT, NOTE))}, f"{O.joined('u_fields')} AS found")
-scores_of("faith_numbers", lambda: {"found": join(S.ungrounded_numbers(INPUT, PROSE()))}, f"{O.joined('u_numbers')} AS found")
-scores_of("faith_ids", lambda: {"found": join(S.ungrounded_ids(INPUT, PROSE()))}, f"{O.joined('u_ids')} AS found")
-scores_of("faith_pass", lambda: {"faithful": F.size(S.findings(INPUT, NOTE)) == 0, "findings": join(S.findings(INPUT, NOTE), "; ")}, f"faithful, {O.joined('findings', '; ')} AS findings")
-scores_of("register_score", lambda: {"score": S.register_score(S.narrative(NOTE))}, "register_score AS score")
-scores_of("billable", lambda: {"billable": S.billable(NOTE)}, "billable")
+scores_of("faith_fields", lambda: {"found": join(S.ungrounded_fields(F.col("input"), F.col("note")))}, f"{O.joined('u_fields')} AS found")
+scores_of("faith_numbers", lambda: {"found": join(S.ungrounded_numbers(F.col("input"), PROSE()))}, f"{O.joined('u_numbers')} AS found")
+scores_of("faith_ids", lambda: {"found": join(S.ungrounded_ids(F.col("input"), PROSE()))}, f"{O.joined('u_ids')} AS found")
+scores_of("faith_pass", lambda: {"faithful": F.size(S.findings(F.col("input"), F.col("note"))) == 0, "findings": join(S.findings(F.col("input"), F.col("note")), "; ")}, f"faithful, {O.joined('findings', '; ')} AS findings")
+scores_of("register_score", lambda: {"score": S.register_score(S.narrative(F.col("note")))}, "register_score AS score")
+scores_of("billable", lambda: {"billable": S.billable(F.col("note"))}, "billable")
 
 
 @query(
@@ -416,11 +415,11 @@ def verify_filter(spark, sf_dir):
 @query(O.over_scores(f"SELECT id, {REASON} AS reason FROM q"))
 def verify_reasons(spark, sf_dir):
     df = C.parsed(notes(spark, sf_dir))
-    missing, gaps_, invalid, order = S.missing(NOTE, RULES), S.gaps(NOTE, RULES), S.invalid(NOTE, RULES), S.order_ok(NOTE, RULES)
+    missing, gaps_, invalid, order = S.missing(F.col("note"), RULES), S.gaps(F.col("note"), RULES), S.invalid(F.col("note"), RULES), S.order_ok(F.col("note"), RULES)
     said = lambda what, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"{what}="), join(xs, "|")))
     structure = F.concat_ws(", ", said("missing", missing), said("gaps", gaps_), said("types", invalid), F.when(~order, "order"))
-    fine = S.present_ok(NOTE, F.col("stratum"), RULES) & order & (F.size(invalid) == 0)
-    leaks, found = P.leaks(NOTE, F.col("forbidden")), S.findings(INPUT, NOTE)
+    fine = S.present_ok(F.col("note"), F.col("stratum"), RULES) & order & (F.size(invalid) == 0)
+    leaks, found = P.leaks(F.col("note"), F.col("forbidden")), S.findings(F.col("input"), F.col("note"))
     reason = F.when(~fine, F.concat(F.lit("structure: "), structure)).when(F.size(leaks) > 0, F.concat(F.lit("pii: "), join(leaks, "; "))).when(F.size(found) > 0, F.concat(F.lit("faithfulness: "), join(F.slice(found, 1, 2), "; "))).otherwise("")
     return df.select("id", reason.alias("reason"))
 
@@ -446,8 +445,8 @@ def golden_lookup(spark, sf_dir):
 @query(f"WITH n AS ({DUCK_NOTES}) SELECT id, coalesce({_kv('participant')}, '') AS participant_id, coalesce({_kv('type')}, 'Other') AS service_type, 60::bigint AS duration_minutes, input AS narrative_summary, 14 AS n_keys FROM n")
 def naive_draft(spark, sf_dir):
     df = C.parsed(drafting.naive(notes(spark, sf_dir).drop("draft")))
-    text = lambda f: N.text_of(N.value(NOTE, f)).alias(f)
-    return df.select("id", text("participant_id"), text("service_type"), N.text_of(N.value(NOTE, "duration_minutes")).cast("long").alias("duration_minutes"), text("narrative_summary"), F.size(NOTE).alias("n_keys"))
+    text = lambda f: N.text_of(N.value(F.col("note"), f)).alias(f)
+    return df.select("id", text("participant_id"), text("service_type"), N.text_of(N.value(F.col("note"), "duration_minutes")).cast("long").alias("duration_minutes"), text("narrative_summary"), F.size(F.col("note")).alias("n_keys"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")

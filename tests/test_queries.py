@@ -28,3 +28,11 @@ def test_same_rows(spark, name):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-500:]
