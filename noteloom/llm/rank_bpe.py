@@ -126,13 +126,13 @@ class RankBPE:
     def plain(self, text: str) -> list[int]:
         if text.isascii():
             return [i for w in self.pattern.findall(text.lower()) for i in self.word(w.encode())]
-        if any(unicodedata.category(c) == "Cn" for c in text):
-            # newer than this Python's tables: ask the library how it normalises and splits
+        if not unicodedata.is_normalized("NFC", text) or any(unicodedata.combining(c) or unicodedata.category(c) == "Cn" for c in text):
+            # tables of marks and of new letters differ: ask the library how it normalises and splits
             if self.library is None:
                 self.library = load_tokenizer(self.data)
             words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [i for w, _ in words for i in self.word(bytes(map(self.bytes_of.__getitem__, w)))]
-        text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))  # letter by letter: no rule for a final sigma
+        text = "".join(c.lower() for c in text)  # letter by letter: no rule for a final sigma
         return [i for w in self.pattern.findall(text) for i in self.word(w.encode())]
 
     def chunk(self, text: str) -> list[int]:
