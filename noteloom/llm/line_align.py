@@ -19,12 +19,13 @@ What one document shares is at most its own runs, and goes to one task.
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.word_ids import batches_by_size
@@ -110,7 +111,13 @@ def aligned_lines(matches: list[tuple[int, int, int, int]]) -> list[int]:
     return sorted(out)
 
 
-_RUNS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+_RUNS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("lines", pa.int64())])
+
+
+def lines_hash(text: str | None) -> int:
+    """64-bit hash of the lines with words, the same for texts that align alike. It is only compared among holders of one run."""
+    worded = (" ".join(line.split()) for line in (text or "").split("\n"))
+    return int.from_bytes(xxhash.xxh3_64_digest("\n".join(x for x in worded if x)), "little", signed=True)
 
 
 def _emit(min_words: int):
@@ -118,28 +125,33 @@ def _emit(min_words: int):
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns))
             for group in batches_by_size(rows, lambda r: 64 + len(r[2] or "")):
-                keys, uid, doc, first, last = [], [], [], [], []
+                keys, uid, doc, first, last, lines = [], [], [], [], [], []
                 for u, d, text in group:
+                    same = lines_hash(text)
                     for key, a, b in runs_of(text, min_words):
                         keys.append(key)
                         uid.append(u)
                         doc.append(d)
                         first.append(a)
                         last.append(b)
+                        lines.append(same)
                 both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                cols = [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), uid, doc, first, last]
+                cols = [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), uid, doc, first, last, lines]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RUNS)], schema=_RUNS)
 
     return run
 
 
 def _align(batches):
-    """Matches, sorted by uid, to (uid, lines to delete)."""
+    """Matches, sorted by uid, to (uid, lines to delete, [first, last] of the runs with lines that stay)."""
     waiting: list = []
     last = None
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([aligned_lines(waiting)], pa.list_(pa.int32()))], names=["uid", "gone"])
+        gone = aligned_lines(waiting)
+        lines = set(gone)
+        left = [[a, b] for a, b in sorted({(m[1], m[2]) for m in waiting}) if not lines.issuperset(range(a, b + 1))]
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([gone], pa.list_(pa.int32())), pa.array([left], pa.list_(pa.list_(pa.int32())))], names=["uid", "gone", "left"])
 
     for batch in batches:
         for uid, *match in zip(*(c.to_pylist() for c in batch.columns)):
@@ -167,26 +179,76 @@ def _delete(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_lines", "n_deleted"])
 
 
-def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+_ALIGNED = "uid long, gone array<int>, left array<array<int>>"
+
+
+def _aligned(matches: DataFrame) -> DataFrame:
+    return matches.repartition("uid").sortWithinPartitions("uid").mapInArrow(_align, _ALIGNED)
+
+
+def further_lines(runs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(uid, lines to delete) from the alignments of what ``gone`` leaves over with its further earlier holders; None if nothing is left over.
+
+    A round takes the next holders of each left run, up to four times as far down
+    the run's list. Both arguments are written tables.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("uid").alias("uid"))
+    left = gone.select("uid", "gone", F.explode("left").alias("run")).select("uid", F.col("run")[0].alias("first"), F.col("run")[1].alias("last"), "gone")
+    need = F.array_except(F.sequence("first", "last"), "gone")
+    open_runs = scratch.write(left.join(runs, ["uid", "first", "last"]).select("uid", "k1", "k2", place.alias("own"), need.alias("need")), "open0")
+    if open_runs.isEmpty():
+        return None
+    # of holders with the same lines the earliest; numbered by place, the first holder (tried already) is 1
+    held = runs.join(open_runs.select("k1", "k2").distinct(), ["k1", "k2"]).groupBy("k1", "k2", "lines").agg(F.min(place).alias("at"))
+    number = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("at"))
+    held = scratch.write(held.select("k1", "k2", "at", number.alias("number")), "held")
+    most = held.agg(F.max("number").alias("n")).first().n
+    found, start = [], 2
+    while start <= most and not open_runs.isEmpty():
+        next_ones = held.filter(F.col("number").between(start, 4 * start - 1))
+        pairs = open_runs.join(next_ones, ["k1", "k2"]).filter("at < own").select("uid", F.col("at.uid").alias("other")).distinct()
+        pairs = scratch.write(pairs, f"pairs{start}")
+        own = pairs.join(runs.select("uid", "k1", "k2", "first", "last"), "uid")
+        there = runs.select(F.col("uid").alias("other"), "k1", "k2", F.col("first").alias("there"))
+        met = own.join(there, ["other", "k1", "k2"]).select("uid", "other", "first", "last", "there")
+        more = scratch.write(_aligned(met).select("uid", F.col("gone").alias("more")), f"more{start}")
+        found.append(more)
+        rest = open_runs.join(more, "uid", "left").withColumn("need", F.array_except("need", F.coalesce("more", F.array().cast("array<int>"))))
+        open_runs = scratch.write(rest.filter(F.size("need") > 0).drop("more"), f"open{start}")
+        start *= 4
+    if not found:
+        return None
+    return reduce(DataFrame.unionByName, found).groupBy("uid").agg(F.flatten(F.collect_list("more")).alias("more"))
+
+
+def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
     """Delete, from each document, the lines of blocks that align with an earlier one (a smaller id).
 
+    ``every`` aligns each document with every earlier one that it shares a run
+    with; without it, only with the first holders of its runs.
+
     Returns one row per row of ``docs``: doc_id, text (what is left, lines and
     white space as they were; null stays null), n_lines, n_deleted. Lines are
     equal if their words are. A null id is later than all others; of rows that
-    share an id, the one read first is earlier. A copy of an earlier document
-    ends up with what lines it has without words. An empty table gives an empty
-    result.
+    share an id, the one read first is earlier. With ``every``, a copy of an
+    earlier document ends up with what lines it has without words (and lines that
+    no run holds). An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
     rows = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch)
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    runs = rows.select("uid", "doc_id", "text").mapInArrow(_emit(min_words), "k1 long, k2 long, uid long, doc_id long, first int, last int")
+    runs = rows.select("uid", "doc_id", "text").mapInArrow(_emit(min_words), "k1 long, k2 long, uid long, doc_id long, first int, last int, lines long")
+    if every:
+        runs = scratch.write(runs, "runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "first", "last")
     holders = runs.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     holders = scratch.write(holders.select("k1", "k2", F.col("at.uid").alias("other"), F.col("at.first").alias("there")), "holders")
     # both joins sort and merge at every size: a broadcast would do for small inputs only
     met = runs.join(holders.hint("merge"), ["k1", "k2"]).filter("uid <> other").select("uid", "other", "first", "last", "there")
-    gone = scratch.write(met.repartition("uid").sortWithinPartitions("uid").mapInArrow(_align, "uid long, gone array<int>"), "gone")
+    gone = scratch.write(_aligned(met), "gone")
+    more = further_lines(runs, gone, scratch) if every else None
+    if more is not None:
+        gone = gone.join(more, "uid", "left").withColumn("gone", F.array_union("gone", F.coalesce("more", F.array().cast("array<int>"))))
     return rows.join(gone.hint("merge"), "uid", "left").select("doc_id", "text", "gone").mapInArrow(_delete, "doc_id long, text string, n_lines long, n_deleted long")

@@ -61,7 +61,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delete_repeated_lines(table(spark, sf_dir, "documents"))
+    return delete_repeated_lines(table(spark, sf_dir, "documents"), every=True)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

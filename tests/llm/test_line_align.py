@@ -78,3 +78,42 @@ def test_copies_go(spark):
     got = {r.doc_id: r.text for r in delete_repeated_lines(docs).collect()}
     assert got == {1: text, 2: "", 3: "Something new stands here now.", 4: None}
     assert delete_repeated_lines(docs.limit(0)).collect() == []
+
+
+def every_earlier(rows):
+    """Alignments over first-held runs, and of each document with every earlier one over all runs that the two share."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    held = defaultdict(list)
+    out = {}
+    for i in order:
+        own = runs_of(rows[i][1])
+        lines = {*aligned_lines([(o, a, b, there) for k, a, b in own for o, there in held[k][:1]])}
+        lines |= {*aligned_lines([(o, a, b, there) for k, a, b in own for o, there in held[k]])}
+        for k, a, _ in own:
+            held[k].append((i, a))
+        text = rows[i][1]
+        out[i] = (text and "\n".join(x for j, x in enumerate(text.split("\n")) if j not in lines), len(lines))
+    return out
+
+
+def test_every_earlier_document_is_aligned(spark, odd_docs):
+    rng = random.Random(11)
+    blocks = ["\n".join(" ".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 3))) for _ in range(14)]
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    for i in range(150):
+        rows.append((200 + i, "\n".join(rng.sample(blocks, rng.randint(2, 6)))))
+        if rng.random() < 0.3:
+            rows.append((200 + i, rows[-1][1].replace("\n", "\n\n")))
+    rows += [(None, rows[-1][1]), (None, rows[40][1])]
+    want = every_earlier(rows)
+    assert sum(want[i][0] != t for i, t in brute(rows).items()) > 10  # first holders alone leave lines behind
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.text, r.n_deleted) for r in delete_repeated_lines(docs, every=True).collect()]
+    assert sorted(map(str, got)) == sorted(str((rows[i][0], *w)) for i, w in want.items())
+
+
+def test_copy_of_second_holder_goes(spark):
+    p, q = "One block of five words\nand some more after it", "Quite another block stands here\nwith its own second line"
+    docs = spark.createDataFrame([(1, f"{p}\n{q}"), (2, f"{q}\n{p}"), (3, f"{q}\n{p}")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in delete_repeated_lines(docs, every=True).collect()}
+    assert got[3] == "" and got[2] in (p, q)
