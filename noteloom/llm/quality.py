@@ -31,6 +31,7 @@ BUCKETS = 1 << 20
 SAMPLE = 16_000
 ACCEPT = 0.6
 SHARE = 6.0
+LEAST = 3
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _KEPT_CHUNKS = 400_000
@@ -90,16 +91,36 @@ class CumulativeLink:
         return logistic(np.asarray(score)[..., None] - self.thresholds)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, least: int | None = None, steps: int = 120, rate: float = 0.08, ridge: float = 2e-4) -> CumulativeLink:
-    """Maximum likelihood with a ridge, by Adam on the whole sample. least: rows that must share a bucket for it to get a weight."""
+def word_scales(at: np.ndarray, word: np.ndarray, row: np.ndarray, grades: np.ndarray, top: int) -> np.ndarray:
+    """For each bucket, the largest log ratio, over thresholds k, of the shares of rows below and from grade k that have the word; 1 at least, and for what is no word."""
+    has = np.stack([np.bincount(at[word & (grades[row] == k)], minlength=BUCKETS) for k in range(top + 1)])
+    sizes = np.bincount(grades, minlength=top + 1)
+    scale = np.ones(BUCKETS)
+    for k in range(1, top + 1):
+        below = np.log((has[:k].sum(0) + 0.5) / (sizes[:k].sum() + 1))
+        above = np.log((has[k:].sum(0) + 0.5) / (sizes[k:].sum() + 1))
+        scale = np.maximum(scale, np.abs(below - above))
+    scale[has.sum(0) == 0] = 1
+    return scale
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, least: int = LEAST, steps: int = 120, rate: float = 0.08, ridge: float = 2e-4) -> CumulativeLink:
+    """Maximum likelihood with a ridge, by Adam on the whole sample.
+
+    least: rows that must share a bucket for it to get a weight, a small number
+    however many rows there are, as words that tell a grade may be rare. Words
+    that tell one are scaled up (``word_scales``), so that the ridge holds them
+    back less than the many rare words that don't.
+    """
     top = int(grades.max())
-    least = least or max(2, len(rows) // 400)
     sizes = np.array([len(a) for a, _ in rows])
     at = np.concatenate([a for a, _ in rows])
     values = np.concatenate([v for _, v in rows])
     often = np.bincount(at, minlength=BUCKETS) >= least
     row = np.repeat(np.arange(len(rows)), sizes)[often[at]]
     values = values[often[at]].astype(np.float64)
+    scale = word_scales(at[often[at]], values == 1, row, grades, top)
+    values *= scale[at[often[at]]]
     places = np.cumsum(often) - 1
     at = places[at[often[at]]]
     w = np.zeros(int(often.sum()))
@@ -123,7 +144,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, least: in
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     weights = np.zeros(BUCKETS, np.float32)
-    weights[often] = p[: len(w)]
+    weights[often] = p[: len(w)] * scale[often]
     cuts = p[len(w) :]
     return CumulativeLink(weights, cuts[0] + np.concatenate([[0], np.cumsum(np.exp(cuts[1:]))]))
 

@@ -90,3 +90,17 @@ def test_without_labels(tables):
     assert keep_good(docs, labels.limit(0)).count() == docs.count()
     assert keep_good(docs.limit(0), labels).count() == 0
     assert isinstance(CumulativeLink(np.zeros(BUCKETS), np.array([0.0])).tails([0.0])[0][0], float)
+
+
+def test_rare_words_of_a_grade_get_weights():
+    """A word in 12 of 6,000 rows, all of them toxic, rejects a held-out text; the weights it needs don't fall off as the sample grows."""
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choices(WORDS, k=40)), 2) for _ in range(5400)] + [(" ".join(rng.choices(WORDS, k=40)) + "!!! ###", 0) for _ in range(500)]
+    rows += [(" ".join([*rng.choices(WORDS, k=40), rng.choice(["vile", "nasty", "foul", "bad", "awful"])]), 1) for _ in range(88)]
+    rows += [(" ".join([*rng.choices(WORDS, k=40), "bocoos"]), 1) for _ in range(12)]
+    kept = Kept()
+    model = fit([features(t, kept) for t, _ in rows], np.array([g for _, g in rows]))
+    held = [" ".join(rng.choices(WORDS, k=40)) for _ in range(100)]
+    top = lambda texts: model.tails([model.score(*features(t, kept)) for t in texts])[:, -1]
+    assert np.mean(top([t + " bocoos" for t in held]) < 0.6) > 0.9
+    assert np.mean(top(held) >= 0.6) > 0.97
