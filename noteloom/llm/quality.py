@@ -41,23 +41,28 @@ def bucket(kind: str, name: str) -> int:
     return zlib.crc32(f"{kind}:{name}".encode()) % BUCKETS
 
 
-
 def shape(chunk: str) -> str:
-    """Runs of capitals, small letters and digits as A, a, 0; signs as they are; at most 12 of them."""
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in chunk[:64])
-    return re.sub(r"(A+|a+|0+)", lambda m: m[0][0], s)[:12]
+    """Runs of capitals, small letters and digits of the whole chunk as A, a, 0; signs as they are."""
+    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in chunk)
+    return re.sub(r"(A+|a+|0+)", lambda m: m[0][0], s)
+
+
+def shapes(chunk: str) -> list[str]:
+    """The shape in pieces of at most 12 signs, so that a text without white space has as many as it is long."""
+    s = shape(chunk)
+    return [s[i : i + 12] for i in range(0, len(s), 12)] or [""]
 
 
-def chunk_buckets(chunk: str) -> tuple[tuple[int, ...], int]:
-    return tuple(bucket("word", w) for w in _LETTERS.findall(chunk.lower())), bucket("shape", shape(chunk))
+def chunk_buckets(chunk: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    return tuple(bucket("word", w) for w in _LETTERS.findall(chunk.lower())), tuple(bucket("shape", s) for s in shapes(chunk))
 
 
 def features(text: str | None, kept: Kept) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of a text: 1 for each word it has, SHARE times the share of tokens for each shape."""
+    """(buckets, values) of a text: 1 for each word it has, SHARE times the share of pieces of tokens for each shape."""
     chunks = (text or "").split()
-    n = max(1, len(chunks))
     words: set[int] = set()
-    shapes: Counter = Counter()
+    found_shapes: Counter = Counter()
+    n = 0
     for chunk, count in Counter(chunks).items():
         found = kept.get(chunk)
         if found is None:
@@ -65,11 +70,13 @@ def features(text: str | None, kept: Kept) -> tuple[np.ndarray, np.ndarray]:
             if len(chunk) <= 64:
                 kept.put(chunk, found)
         words.update(found[0])
-        shapes[found[1]] += count
-    shapes[bucket("text", "repeats")] += sum(map(eq, chunks, chunks[1:]))
-    at = np.fromiter((*words, *shapes), np.int64, len(words) + len(shapes))
+        for piece in found[1]:
+            found_shapes[piece] += count
+        n += count * len(found[1])
+    found_shapes[bucket("text", "repeats")] += sum(map(eq, chunks, chunks[1:]))
+    at = np.fromiter((*words, *found_shapes), np.int64, len(words) + len(found_shapes))
     values = np.ones(len(at), np.float32)
-    values[len(words) :] = np.fromiter(shapes.values(), np.float32, len(shapes)) * (SHARE / n)
+    values[len(words) :] = np.fromiter(found_shapes.values(), np.float32, len(found_shapes)) * (SHARE / max(1, n))
     return at, values
 
 

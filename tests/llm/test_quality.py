@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from noteloom.llm.quality import BUCKETS, CumulativeLink, features, fit, graded, keep_good, score_quality, shape, train
+from noteloom.llm.quality import BUCKETS, SHARE, CumulativeLink, bucket, features, fit, graded, keep_good, score_quality, shape, train
 from noteloom.llm.word_ids import Kept
 
 WORDS = [a + b for a in "ba be bi bo bu da de di do du ka ke ki ko ku".split() for b in "n r s t l m".split()]
@@ -104,3 +104,11 @@ def test_rare_words_of_a_grade_get_weights():
     top = lambda texts: model.tails([model.score(*features(t, kept)) for t in texts])[:, -1]
     assert np.mean(top([t + " bocoos" for t in held]) < 0.6) > 0.9
     assert np.mean(top(held) >= 0.6) > 0.97
+
+
+def test_shapes_reach_the_end_of_a_chunk():
+    assert shape("x" * 100 + "Y9") == "aA0"
+    plain, tailed = (features("a1" * 100 + tail, Kept()) for tail in ("", "#" * 600))
+    share = lambda f: dict(zip(f[0].tolist(), f[1].tolist()))
+    whole = bucket("shape", "#" * 12)
+    assert whole not in share(plain) and share(tailed)[whole] > 0.7 * SHARE
