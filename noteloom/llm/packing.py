@@ -1,7 +1,7 @@
 """Vector bin packing of token sequences.
 
-An item has three sizes: tokens, segments (one) and loss-bearing tokens; a
-sequence has a limit on each. An open sequence takes, of the items that fit into
+An item has three sizes: tokens, segments (one) and loss-bearing tokens, which
+are its last ones (a response behind its prompt); a sequence has a limit on each. An open sequence takes, of the items that fit into
 what it has left, the one with the largest dot product of its sizes and the
 space left, both as shares of the limits: large items while there is room, and
 items that use what is plentiful. Items are kept in a window of bounded size, so
@@ -12,7 +12,8 @@ Documents may be cut: what exceeds a sequence fills whole sequences, and if
 nothing fits a gap, the best item is cut to fill it. A task's last open sequence
 would be padded; its tokens are cut into sequences whose lengths are powers of
 two, which need no padding. With ``cut=False`` (instruction data) an item is
-never cut; one that exceeds a limit on its own gets a sequence of its own.
+never cut; one that exceeds a limit on its own gets a sequence of its own, and
+its row says so (``over_limit``).
 """
 
 from __future__ import annotations
@@ -25,19 +26,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.word_ids import Kept, batches_by_size, cut_before_spaces, keyed_ids, library_encoder, loaded
+from noteloom.llm.word_ids import GROUP, Table, batches_by_size, cache, cut_before_spaces, keyed_ids, library_encoder
 from noteloom.runtime import ship
 
 TOKENS = 1024
-SEGMENTS = 512
 WINDOW = 1024
 
 
 class Packer:
     """Places items (any object) with sizes (tokens, loss-bearing tokens); yields (sequence, [(item, start, length, offset)])."""
 
-    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, cut: bool = True, window: int = WINDOW):
-        self.limits = np.array([tokens, segments, loss or tokens], float)
+    def __init__(self, tokens: int = TOKENS, segments: int | None = None, loss: int | None = None, cut: bool = True, window: int = WINDOW):
+        self.limits = np.array([tokens, segments or tokens, loss or tokens], float)  # a segment has a token at least
         self.cut, self.window = cut, window
         self.items: list = [None] * (window + 1)
         self.sizes = np.zeros((window + 1, 3))  # a free place has no segment
@@ -54,7 +54,7 @@ class Packer:
 
     def place(self, k: int, length: int) -> None:
         tokens, _, loss = self.sizes[k]
-        part = np.array([length, 1, min(loss, length) if length < tokens else loss])
+        part = np.array([length, 1, max(0, length - (tokens - loss))])
         self.open.append((self.items[k], int(self.start[k]), int(length), int(self.limits[0] - self.left[0])))
         self.left -= part
         if length < tokens:
@@ -69,14 +69,13 @@ class Packer:
         """Place one item of the window, or close the open sequence."""
         held = self.sizes[:, 1] > 0
         fits = held & (self.sizes <= self.left).all(1)
-        share = self.left / self.limits
-        score = (self.sizes / self.limits) @ share
+        score = self.sizes @ (self.left / self.limits**2)
         if fits.any():
             k = int(np.where(fits, score, -1).argmax())
             self.place(k, int(self.sizes[k, 0]))
-        elif self.cut and (self.left >= 1).all():
-            k = int(np.where(held, score, -1).argmax())
-            self.place(k, int(min(self.left[0], self.left[2], self.sizes[k, 0])))
+        elif self.cut and self.left[1] >= 1 and (room := np.where(held, np.minimum(self.left[0], self.sizes[:, 0] - self.sizes[:, 2] + self.left[2]), 0)).max() >= 1:
+            k = int(np.where(room >= 1, score, -1).argmax())
+            self.place(k, int(room[k]))
         elif not self.open:  # exceeds a limit on its own
             k = int(np.where(held, score, -1).argmax())
             self.place(k, int(self.sizes[k, 0]))
@@ -133,7 +132,7 @@ def pack_texts(
     tokenizer_path: str,
     end_id: int = 0,
     tokens: int = TOKENS,
-    segments: int = SEGMENTS,
+    segments: int | None = None,
     loss: int | None = None,
     cut: bool = True,
     id_col: str = "doc_id",
@@ -146,35 +145,40 @@ def pack_texts(
     Returns one row per piece: doc_id, start (ids of its document before it),
     length, ids_crc32, doc_tokens, sequence_id, offset in the sequence and, if
     asked, ids (little-endian unsigned 32-bit). ``loss_col`` names a column with
-    the number of loss-bearing tokens (all of them if not given; null: all).
+    the number of loss-bearing tokens, a document's last ones with its end id
+    (all of them if not given; null: all). Without ``cut`` a column over_limit
+    says whether a document exceeds a limit on its own. ``segments`` and ``loss``:
+    no limit if None.
 
     A null text counts as empty and is a piece with the end id alone. Ids of
-    documents may be null or repeat: every row is packed. An empty table gives
-    an empty result. ``docs`` must be a table or another plan that yields the
-    same rows in the same order when a task is repeated.
+    documents may be null or repeat: every row is packed, copies too. A text of
+    any length is cut over as many sequences as it fills; its ids are held by one
+    task at a time. An empty table gives an empty result. Columns other than those
+    named aren't read, whatever their names. ``docs`` must be a table or another
+    plan that yields the same rows in the same order when a task is repeated.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the corpus
-    schema = _OUT + (", ids binary" if with_ids else "")
-    arrow = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")])
+    schema = _OUT + ("" if cut else ", over_limit boolean") + (", ids binary" if with_ids else "")
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    arrow = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
 
     def run(batches):
         base = TaskContext.get().partitionId() << 40
         data = vocabulary.value
-        key = zlib.crc32(data.encode())
-        kept = loaded(("chunks before spaces", key), Kept)
-        encode = loaded(("encoder", key), lambda: library_encoder(data))
+        kept, encode = cache(("before spaces", zlib.crc32(data.encode())), lambda: (Table(), library_encoder(data)))
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(tokens, segments, loss, cut)
         rows: list[list] = [[] for _ in arrow]
 
         def take(sequences):
             for sequence, pieces in sequences:
-                for (doc, data), start, length, offset in pieces:
+                for (doc, data, borne), start, length, offset in pieces:
                     ids = data[4 * start : 4 * (start + length)]
-                    for to, x in zip(rows, (doc, start, length, zlib.crc32(ids), len(data) // 4, base + sequence, offset, ids)):
+                    over = () if cut else (length > tokens or borne > (loss or tokens),)
+                    for to, x in zip(rows, (doc, start, length, zlib.crc32(ids), len(data) // 4, base + sequence, offset, *over, ids)):
                         to.append(x)
 
         def flush():
@@ -185,11 +189,12 @@ def pack_texts(
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for group in batches_by_size(zip(*cols), lambda r: len(r[1] or "")):
+            for group in batches_by_size(zip(*cols), lambda r: len(r[1] or ""), GROUP):
                 coded = keyed_ids([r[1] or "" for r in group], cut_before_spaces, encode, kept)
                 for r, ids in zip(group, coded):
                     n = len(ids) // 4 + 1
-                    take(packer.add((r[0], ids + end), n, n if len(r) < 3 or r[2] is None else min(int(r[2]), n)))
+                    borne = n if len(r) < 3 or r[2] is None else min(max(int(r[2]), 0), n)
+                    take(packer.add((r[0], ids + end, borne), n, borne))
                 yield flush()
         take(packer.finish())
         yield flush()

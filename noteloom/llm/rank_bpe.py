@@ -17,15 +17,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.word_ids import CACHE_CHUNKS, Kept, batches_by_size, cut_lowered, little, load_tokenizer, loaded
+from noteloom.llm.word_ids import CACHE_BYTES, CACHE_CHUNKS, GROUP, Kept, batches_by_size, cache, chunked, cut_lowered, joined, little, load_tokenizer
 from noteloom.runtime import ship
 
 SHORT = 200
@@ -110,7 +112,7 @@ class RankBPE:
         self.first = [self.vocab[x] for x in byte_letters()]
         self.last = [self.vocab[x + self.suffix] for x in byte_letters()]
         self.bytes_of = {x: b for b, x in enumerate(byte_letters())}
-        self.kept = Kept()
+        self.kept = Kept(weigh=lambda values: (88 + 8 * len(v) for v in values))
         self.data, self.library = data, None
 
     def word(self, data: bytes) -> list[int]:
@@ -159,7 +161,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     With ``full=False`` ids and decoded stay behind, for callers that need digests only.
     A null text counts as empty and has no ids. Ids of documents may be null or
-    repeat; each row gives one row. No shuffle: rows stay where they are.
+    repeat; each row gives one row, copies too. Texts are coded whole, however
+    long; a word of any length takes time in proportion, but for a logarithm. An
+    empty table gives an empty result. Columns other than those named aren't read,
+    whatever their names. No shuffle: rows stay where they are.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -172,9 +177,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches):
         data = vocabulary.value
-        key = zlib.crc32(data.encode())
-        bpe = loaded(("rank bpe", key), lambda: RankBPE(data))
-        kept = loaded(("rank chunks", key), lambda: Kept(CACHE_CHUNKS // 2))
+        weigh = lambda values: (56 + sys.getsizeof(v[0]) + sys.getsizeof(v[1]) for v in values)
+        bpe, kept = cache(("rank chunks", zlib.crc32(data.encode())), lambda: (RankBPE(data), Kept(CACHE_CHUNKS, CACHE_BYTES, weigh)))
 
         def make(chunks):
             for c in chunks:
@@ -183,16 +187,13 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for group in batches_by_size(rows, lambda r: len(r[1] or "")):
-                ids, decoded = [], []
-                parts = [cut_lowered(text or "") for _, text in group]
-                chunks = set().union(*parts)
-                all_kept = kept.fill(chunks, make)
-                of = {c: all_kept[c] for c in chunks}
-                for chunks in parts:
-                    found = [of[c] for c in chunks]
-                    ids.append(b"".join([x[0] for x in found]))
-                    decoded.append(" ".join([x[1] for x in found if x[1]]))
+            for group in batches_by_size(rows, lambda r: len(r[1] or ""), GROUP):
+                codes, ends, chunks = chunked([text or "" for _, text in group], cut_lowered)
+                found = kept.values(chunks.to_pylist(), make)
+                ids = joined(pa.array([x[0] for x in found], pa.large_binary()), codes, ends, b"").to_pylist()
+                # chunks without ids (white space) leave no space behind
+                some = np.array([bool(x[1]) for x in found])[codes] if found else np.zeros(0, bool)
+                decoded = joined(pa.array([x[1] for x in found], pa.large_string()), codes[some], np.concatenate([[0], np.cumsum(some)])[ends], " ").to_pylist()
                 cols = {"doc_id": [d for d, _ in group], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": decoded}
                 cols["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
                 cols["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]

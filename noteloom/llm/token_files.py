@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.word_ids import Kept, batches_by_size, cut_lowered, keyed_ids, library_encoder, load_tokenizer, loaded
+from noteloom.llm.word_ids import GROUP, Table, batches_by_size, cache, cut_lowered, keyed_ids, library_encoder, load_tokenizer
 from noteloom.runtime import ship
 
 NO_ID = -(2**63)
@@ -54,8 +54,7 @@ def _writer(folder: str, vocabulary, end_id: int, width: int, cut):
         own = uuid.uuid4().hex
         names = {k: f"{at}/{k}-{shard:05d}.bin" for k in ("ids", "offsets", "docs")}
         data = vocabulary.value
-        kept = loaded(("chunks", zlib.crc32(data.encode())), Kept)
-        encode = loaded(("encoder", zlib.crc32(data.encode())), lambda: library_encoder(data))
+        kept, encode = cache(("chunks", zlib.crc32(data.encode())), lambda: (Table(), library_encoder(data)))
         end = np.array([end_id], "<u4").tobytes()
         kind = f"<u{width}"
         docs = total = 0
@@ -63,7 +62,7 @@ def _writer(folder: str, vocabulary, end_id: int, width: int, cut):
         out["offsets"].write(np.array([0], "<u8").tobytes())
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for group in batches_by_size(rows, lambda r: len(r[1] or "")):
+            for group in batches_by_size(rows, lambda r: len(r[1] or ""), GROUP):
                 coded = [np.frombuffer(x + end, "<u4") for x in keyed_ids([t or "" for _, t in group], cut, encode, kept)]
                 ends = total + np.cumsum([len(x) for x in coded])
                 out["ids"].write(np.concatenate(coded).astype(kind).tobytes())
@@ -84,7 +83,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     A null text counts as empty (its end id is still written); a null id sorts
     first; rows with equal ids follow each other in the order of a hash of their
-    texts. An empty table gives a manifest without shards.
+    texts, and stay rows of their own. Texts are coded whole, however long. An empty
+    table gives a manifest without shards. Columns other than those named aren't
+    read, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
