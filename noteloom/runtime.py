@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import io
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _scratch: dict[str, str] = {}
@@ -37,13 +39,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or one of our own if that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder all executors share: spark.checkpoint.dir, or one of our own if that is unset and executors run in this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="noteloom-shared-")
-            spark.sparkContext.setCheckpointDir(found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="noteloom-shared-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -88,13 +90,47 @@ def _sweep() -> None:
             return
 
 
-def settled(df: DataFrame, scratch: Scratch, name: str = "settled") -> DataFrame:
-    """``df`` itself if it is a plain scan, else the same rows written once.
+#: File names that may be broadcast, in characters.
+MOST_NAMES = 32 << 20
 
-    Row numbers given by position are the same after a task is repeated only if
-    each partition holds the same rows in the same order each time, which holds
-    for scans and not behind a shuffle.
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def scans_parquet(df: DataFrame) -> bool:
+    """Whether ``df`` is rows and columns of one set of Parquet files, picked without chance."""
+    node = df._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    if node.getClass().getSimpleName() != "LogicalRelation" or node.isStreaming():
+        return False
+    relation = node.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
+def numbered(df: DataFrame, scratch: Scratch, uid: str = "uid", name: str = "numbered", most_names: int = MOST_NAMES) -> DataFrame:
+    """``df`` with a number for each row that stays the same in every job and every repeated task.
+
+    A row of a Parquet scan is numbered by its file (of the sorted names, which are
+    broadcast if they are within ``most_names``) and its place in it, however the
+    scan is cut into tasks. The rows of any other plan, or of more files, are
+    written once with their numbers, and that table is read from then on.
     """
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    moved = ("Exchange", "Aggregate", "Join", "Window", "Sort", "Limit", "Sample", "Arrow", "Pandas", "Python")
-    return scratch.write(df, name) if any(x in plan for x in moved) else df
+    spark = df.sparkSession
+    if scans_parquet(df):
+        files = sorted({re.sub(r"^([\w+.-]+):///", r"\1:/", f) for f in df.inputFiles()})  # as the scan spells them
+        some = df.select("_metadata.file_path").first() if files and sum(map(len, files)) <= most_names else None
+        if some is not None and some.file_path in files:
+            file, row, number, path = (fresh_name(df, x) for x in ("__file", "__row", "__number", "__path"))
+            names = spark.createDataFrame([(f, i) for i, f in enumerate(files)], f"{path} string, {number} long")
+            placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)).join(F.broadcast(names), F.col(file) == F.col(path), "left")
+            known = F.coalesce(F.shiftleft(F.col(number), 40), F.raise_error(F.lit("a file of the scan isn't among its files")).cast("long")) + F.col(row)
+            return placed.select(*[F.col(f"`{c}`") for c in df.columns], known.alias(uid))
+    return scratch.write(df.withColumn(uid, F.monotonically_increasing_id()), name)
