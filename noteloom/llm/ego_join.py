@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.components import components
 from noteloom.llm.simhash import Joined
-from noteloom.runtime import Scratch, settled, ship
+from noteloom.runtime import Scratch, numbered, ship
 
 COSINE = 0.9
 LEADING = 8
@@ -111,8 +111,7 @@ def vector_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     scratch = Scratch(spark, "ego")
     eps = math.sqrt(2 - 2 * cosine)
     kind = "<f8" if "double" in vectors.schema[embedding].dataType.simpleString() else "<f4"
-    rows = settled(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")), scratch)
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    rows = numbered(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")), scratch)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = F.coalesce((F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False))
     least = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id")).alias("least")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.runtime import Scratch, settled, ship
+from noteloom.runtime import Scratch, fresh_name, numbered, ship
 
 BLOCK_BYTES = 8192
 SEEN_BYTES = 32 << 20
@@ -131,21 +131,23 @@ def fold_names(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, uid_col: str | None = None) -> DataFrame:
     """Groups of rows with identical texts; of a group the row with the largest id stays.
 
-    Returns one row per row of ``docs``: uid long (its place in ``docs``), doc_id,
-    keep_id (id of the row that stays), keep_uid, group_size, kept, text_sha256.
+    Returns one row per row of ``docs``: uid long (a number of the row, or what
+    ``uid_col`` names), doc_id, keep_id (id of the row that stays), keep_uid,
+    group_size, kept, text_sha256.
 
     A null text counts as empty. A null id sorts below all others. Of rows that
-    share text and id, one stays. An empty table gives an empty result. Other
-    columns, whatever their names, are not read.
+    share text and id, one stays. A text of any length is read whole and is as
+    many blocks as it takes. An empty table gives an empty result. Other columns,
+    whatever their names, are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "exact")
-    docs = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch)
-    blocks = block_names(docs.withColumn("uid", F.monotonically_increasing_id()), scratch, block_bytes)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(uid_col).alias("uid")] if uid_col else []))
+    blocks = block_names(docs if uid_col else numbered(docs, scratch), scratch, block_bytes)
     folded = fold_names(blocks, scratch)
     first = blocks.filter("pos = 0")
     short = first.filter("n_blocks = 1").select("uid", "doc_id", "sha", "n_blocks", "name")
@@ -168,9 +170,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops; all columns as they were."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "copies")
-    docs = settled(docs, scratch)
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows that :func:`exact_groups` drops; all columns as they were, whatever their names."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    uid = fresh_name(docs, "__uid")
+    rows = numbered(docs, scratch, uid)
+    gone = exact_groups(rows, id_col, text_col, uid_col=uid).filter("not kept").select(F.col("uid").alias(uid))
+    return rows.join(gone, uid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.word_ids import batches_by_size
-from noteloom.runtime import Scratch, settled, ship
+from noteloom.runtime import Scratch, numbered, ship
 
 MIN_WORDS = 5
 
@@ -237,8 +237,7 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
-    rows = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch)
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch)
     runs = rows.select("uid", "doc_id", "text").mapInArrow(_emit(min_words), "k1 long, k2 long, uid long, doc_id long, first int, last int, lines long")
     if every:
         runs = scratch.write(runs, "runs")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm.components import components
-from noteloom.runtime import Scratch, settled, ship
+from noteloom.runtime import Scratch, fresh_name, numbered, ship
 
 WORDS = 3
 RADIUS = 3
@@ -205,22 +205,24 @@ def near_links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, sample
     return dealt.mapInArrow(_links(radius), "u long, v long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, uid_col: str | None = None) -> DataFrame:
     """Groups of rows whose fingerprints are linked, directly or through others.
 
-    Returns one row per row of ``docs``: uid long (its place in ``docs``), doc_id,
-    fingerprint (16 hexadecimal digits), component_id (smallest id of its group),
+    Returns one row per row of ``docs``: uid long (a number of the row, or what
+    ``uid_col`` names), doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id of its group),
     kept (whether it is the row of its group that stays: the one with that id).
 
     A null text counts as empty; texts without words have fingerprint zero and
     are linked like others. A null id sorts above all others. Of rows that share
-    that id, one stays. An empty table gives an empty result.
+    that id, one stays. Texts are read whole, however long, in slices of shingles.
+    An empty table gives an empty result. Other columns, whatever their names, are
+    not read.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "simhash")
-    docs = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(uid_col).alias("uid")] if uid_col else []))
+    rows = (docs if uid_col else numbered(docs, scratch)).select("uid", "doc_id", "text")
     prints = scratch.write(rows.mapInArrow(_fingerprints, "uid long, doc_id long, fp long"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     classes = scratch.write(prints.groupBy("fp").agg(first), "classes")
@@ -233,8 +235,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of :func:`near_groups`; all columns as they were."""
-    spark = docs.sparkSession
-    docs = settled(docs, Scratch(spark, "near"))
-    gone = near_groups(docs, id_col, text_col).filter("not kept").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each group of :func:`near_groups`; all columns as they were, whatever their names."""
+    scratch = Scratch(docs.sparkSession, "near")
+    uid = fresh_name(docs, "__uid")
+    rows = numbered(docs, scratch, uid)
+    gone = near_groups(rows, id_col, text_col, uid_col=uid).filter("not kept").select(F.col("uid").alias(uid))
+    return rows.join(gone, uid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

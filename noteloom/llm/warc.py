@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.token_files import _store
 from noteloom.llm.word_ids import batches_by_size
-from noteloom.runtime import Scratch, settled, ship
+from noteloom.runtime import Scratch, numbered, ship
 
 LEAST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -88,9 +88,9 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     spark = pages.sparkSession
     ship(spark)
     scratch = Scratch(spark, "warc")
-    pages = settled(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")), scratch)
+    pages = numbered(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")), scratch)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    pages = pages.withColumn("uid", F.monotonically_increasing_id()).withColumn("bytes", F.octet_length(payload).cast("long"))
+    pages = pages.withColumn("bytes", F.octet_length(payload).cast("long"))
     digests = scratch.write(pages.filter(F.col("bytes") >= least).select("uid", "page_id", "bytes", F.sha2(payload, 256).alias("strong")), "digests")
     best = F.max(F.struct("page_id", (-F.col("uid")).alias("back"))).alias("best")
     copies = digests.groupBy("strong", "bytes").agg(best, F.count(F.lit(1)).alias("n")).filter("n > 1")
