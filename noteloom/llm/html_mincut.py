@@ -1,11 +1,14 @@
 """Main text of web pages by minimum cut.
 
-A page is cut into blocks of text. Each block gets a score from where it stands
-(landmarks, roles, class words), how much of it is links, its length and its
-punctuation; the score's two sides become capacities to the terminals *content*
-and *boilerplate*. Blocks next to each other, and blocks near each other in the
-document tree, are tied by smoothness edges. The minimum cut is the labelling of
-least total cost: a doubtful block goes with its neighbours, a clear one doesn't.
+A page is cut into blocks of text. Each block gets a score, the log odds of being
+content, from where it stands (landmarks, roles, words of classes), how much of it
+is links, its length and its punctuation; the score's two sides become capacities
+to the terminals *content* and *boilerplate*. Blocks next to each other, and blocks
+near each other in the document tree, are tied by smoothness edges, which are weak
+where a region begins or ends (an article, or an element that looks like clutter).
+The minimum cut is the labelling of least total cost. Only a plain mark, such as a
+landmark, outweighs all the edges of a block; a word that may mean something else,
+a short line or a line of links is doubtful, and goes with what is around it.
 
 Blocks whose terminal capacity outweighs all their edges have the same label in
 every minimum cut; they are labelled first and their edges handed to their
@@ -18,6 +21,7 @@ import html as entities
 import math
 import re
 from collections import deque
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,19 +39,36 @@ VOID = frozenset("area base basefont br col embed frame hr img input link meta p
 RAW = frozenset("script style textarea title template xmp svg math object".split())
 #: An opening tag of the first kind closes an open element of the second, up to its container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-WALLS = frozenset("article aside body div dl fieldset figure footer form header html main menu nav ol section select table ul".split())
+#: Elements that an inline end tag, or a new paragraph, doesn't look beyond.
+WALLS = frozenset("article aside body button dd div dl fieldset figure footer form header html li main menu nav ol section select table td th ul".split())
+TABLES = frozenset("dl ol select table ul".split())
+FOREIGN = frozenset(("svg", "math"))
 
 LANDMARKS = frozenset("nav footer aside form menu button select dialog noscript iframe canvas head fieldset optgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
+#: Words of classes and ids that mean clutter, on their own or with words of ``PLAIN``.
 CLUTTER = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr ccpa notice notices alert popup modal overlay lightbox "
-    "newsletter subscribe subscription signup login signin register search breadcrumb breadcrumbs menu submenu nav navbar navigation toolbar topbar masthead header footer foot colophon copyright sidebar sidebars side rail "
-    "widget widgets related recommended recommendations more share sharing social comment comments commentlist disqus discussion reply replies respond pagination pager paging skip toc outbrain taboola banner banners".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promoted cookie cookies consent gdpr ccpa popup modal newsletter subscribe signup login signin "
+    "breadcrumb breadcrumbs menu submenu nav navbar navigation toolbar topbar masthead header footer colophon copyright sidebar sidebars comment comments commentlist disqus pagination pager outbrain taboola banner banners".split()
 )
-#: Of those, the ones that count on an article or main element, and within one, where a header belongs to it.
+#: Words that often mean clutter, and may be what a text is about.
+DOUBTFUL = frozenset("promotion notice notices alert overlay lightbox subscription register search foot side rail widget widgets related recommended recommendations more share sharing social discussion reply replies respond paging skip toc".split())
+PLAIN = frozenset(
+    "site page main top bottom left right list box area wrap wrapper container section block item bar inner outer primary secondary global form link links unit slot text content group panel row col column div body title head heading "
+    "post posts article articles story stories button buttons icon icons id js the and widget block".split()
+)
+#: Layout of a page with something, not that thing.
+WITH = frozenset("has with no not without is".split())
+#: Of the words, the ones that count on an article or main element, and those that don't within one, where a header belongs to it.
 ARTICLE_CLUTTER = frozenset("ad ads advert advertisement sponsored promo promoted comment comments reply related recommended teaser".split())
-OF_ARTICLE = frozenset("header masthead side more skip".split())
+OF_ARTICLE = frozenset("header masthead side more skip title".split())
 CONTENT = frozenset("article articlebody post postbody entry content story maincontent bodytext main".split())
+#: Elements whose marks are about their own line, not a part of the page.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 span a b i em strong blockquote pre".split())
+
+# Log odds; the prior is one for pages with an article and one for pages without.
+PRIOR, PRIOR_WITHOUT, LANDMARK, CLEAR, UNCLEAR, HINT, IN_ARTICLE, OUT_OF_ARTICLE = -1.0, 0.3, -6.0, -6.0, -4.0, -1.0, 1.5, -2.5
+BORDER = 0.15
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _QUOTE = re.compile(r"=\s*([\"'])")
@@ -57,7 +78,7 @@ _END = re.compile(r"[.!?…:;][\"'»”’)\]]*$")
 
 
 class Block:
-    __slots__ = ("text", "linked", "parent", "grand", "tag", "clutter", "article", "content", "order")
+    __slots__ = ("text", "linked", "parent", "grand", "tag", "mark", "article", "content", "region", "order")
 
 
 def tag_end(page: str, at: int) -> int:
@@ -75,32 +96,71 @@ def tag_end(page: str, at: int) -> int:
             return end
 
 
-def _mark(tag: str, attrs: str, above):
-    """(clutter, article, content) for an element, from its own marks and those above it."""
-    clutter, article, content = above
+@lru_cache(1 << 14)
+def named(name: str, line: bool, in_article: bool) -> float:
+    """What a class or id says, as log odds. line: on an element of ``LINES``."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or words[0] in WITH:
+        return 0.0
+    if in_article:
+        words = [w for w in words if w not in OF_ARTICLE]
+    clear, unclear = any(w in CLUTTER for w in words), any(w in DOUBTFUL for w in words)
+    if not clear and not unclear:
+        return 0.0
+    if any(w not in CLUTTER and w not in DOUBTFUL and w not in PLAIN for w in words):
+        return HINT
+    return CLEAR if clear else UNCLEAR / 2.5 if line else UNCLEAR
+
+
+def _mark(tag: str, attrs: str, above, number: int):
+    """(mark, article, content, region) for an element, from its own marks and those above it."""
+    mark, article, content, region = above
+    own = 0.0
     if tag in ("article", "main"):
+        if not article:
+            region = number
         article = True
     elif tag in LANDMARKS or (tag == "header" and not article):
-        clutter = True
+        own = LANDMARK
     if attrs and not attrs.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-        words = {w.lower() for key in ("class", "id") if key in found for w in _WORD.findall(entities.unescape(found[key]))}
+        names = [n for key in ("class", "id") if key in found for n in entities.unescape(found[key]).split()]
         if tag in ("article", "main"):
-            clutter = clutter or bool(words & ARTICLE_CLUTTER)
-        elif tag not in ("html", "body") and not re.fullmatch("h[1-6]", tag):
-            hits = words & CLUTTER
-            clutter = clutter or bool(hits - OF_ARTICLE if article else hits)
+            if any(w.lower() in ARTICLE_CLUTTER for n in names for w in _WORD.findall(n)):
+                own = CLEAR
+        elif tag not in ("html", "body"):
+            own = min([own, *(named(n, tag in LINES, article) for n in names)])
         role = found.get("role", "").lower()
-        clutter = clutter or role in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        article = article or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
-        content = content or bool(words & CONTENT)
-    return clutter, article, content
+        if role in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+            own = LANDMARK
+        if not article and (role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"):
+            article, region = True, number
+        content = content or any(w.lower() in CONTENT for n in names for w in _WORD.findall(n))
+    if own <= UNCLEAR:
+        region = number
+    return min(mark, own), article, content, region
+
+
+class _Open:
+    """An open element: what to know of it and of those above it without a walk up the stack."""
+
+    __slots__ = ("tag", "marks", "wall", "row", "holder", "parent", "grand")
+
+    def __init__(self, tag: str, number: int, marks, at: int, above: "_Open | None"):
+        self.tag, self.marks = tag, marks
+        self.wall = at if tag in WALLS else above.wall if above else 0  # nearest that inline elements and paragraphs don't close
+        self.row = at if tag in TABLES else above.row if above else 0
+        if tag in BLOCKS:
+            self.holder, self.parent, self.grand = tag, number, above.parent if above else 0
+        else:
+            self.holder, self.parent, self.grand = (above.holder, above.parent, above.grand) if above else ("", 0, 0)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, with the marks of the elements that hold them."""
+    """Blocks of text in page order, with the marks of the elements that hold them. The time is in proportion to the page, however deep it is."""
     out: list[Block] = []
-    stack = [("", 0, (False, False, False))]  # name, number, marks
+    stack = [_Open("", 0, (0.0, False, False, 0), 0, None)]
+    places: dict[str, list[int]] = {}  # of the open elements of each name
     number = links = 0
     text: list[str] = []
     linked = 0
@@ -111,11 +171,10 @@ def blocks_of(page: str) -> list[Block]:
         text.clear()
         if words:
             b = Block()
-            held = [s for s in stack if s[0] in BLOCKS][-2:]
+            top = stack[-1]
             b.text, b.linked, b.order = words, linked, len(out)
-            b.tag = held[-1][0] if held else ""
-            b.parent, b.grand = held[-1][1] if held else 0, held[0][1] if len(held) > 1 else 0
-            b.clutter, b.article, b.content = stack[-1][2]
+            b.tag, b.parent, b.grand = top.holder, top.parent, top.grand
+            b.mark, b.article, b.content, b.region = top.marks
             out.append(b)
         linked = 0
 
@@ -125,15 +184,15 @@ def blocks_of(page: str) -> list[Block]:
         if links:
             linked += len(part.strip())
 
-    def pop_to(names, walls=()) -> None:
+    def close(names, wall: int = 0) -> None:
+        """Close the innermost open element of one of ``names`` and all in it, if it stands above the place ``wall``."""
         nonlocal links
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                links -= sum(s[0] == "a" for s in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in walls:
-                return
+        at = max((places[n][-1] for n in names if places.get(n)), default=0)
+        if at > wall:
+            for e in reversed(stack[at:]):
+                places[e.tag].pop()
+                links -= e.tag == "a"
+            del stack[at:]
 
     at = 0
     size = len(page)
@@ -172,17 +231,17 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             if tag in BLOCKS:
                 flush()
-                pop_to((tag,))
-            elif any(s[0] == tag for s in stack):
-                pop_to((tag,), WALLS)
+                close((tag,))
+            elif places.get(tag):
+                close((tag,), stack[-1].wall)
             elif tag == "br":
                 add(" ")
             continue
-        if tag in RAW and not attrs.endswith("/"):
-            close = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
-            if close is None:
+        if tag in RAW and not (attrs.endswith("/") and tag in FOREIGN):
+            shut = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
+            if shut is None:
                 break
-            gt = page.find(">", close.end())
+            gt = page.find(">", shut.end())
             at = size if gt < 0 else gt + 1
             if tag == "textarea":
                 add(" ")
@@ -190,38 +249,39 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCKS:
             flush()
             if tag != "option":
-                pop_to(("p",), WALLS | {"td", "th", "li", "dd", "button"})
+                close(("p",), stack[-1].wall)
             if tag in CLOSES:
-                pop_to(CLOSES[tag], ("ul", "ol", "dl", "table", "select"))
-        elif tag in VOID:
-            add(" " if tag in ("br", "wbr")[:1] else "")
+                close(CLOSES[tag], stack[-1].row)
+        elif tag == "br":
+            add(" ")
         if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCKS):
             number += 1
-            stack.append((tag, number, _mark(tag, attrs, stack[-1][2])))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(_Open(tag, number, _mark(tag, attrs, stack[-1].marks, number), len(stack), stack[-1]))
             links += tag == "a"
     flush()
     return out
 
 
 def scores(blocks: list[Block]) -> list[float]:
-    """Above 0: more likely content. The weights are set by hand, as log odds."""
-    inside = any(b.article and not b.clutter for b in blocks)
+    """Log odds of being content. The weights are set by hand, so that what may be read in two ways ends up near 0."""
+    main = [b for b in blocks if b.article and b.mark > UNCLEAR]
+    inside, short = bool(main), max((b.text.count(" ") for b in main), default=9) < 7  # where no line is long, length and full stops say nothing
     out = []
     for b in blocks:
         words = b.text.count(" ") + 1
-        s = 0.0
-        if b.clutter:
-            s -= 12
+        s = b.mark + (PRIOR if inside else PRIOR_WITHOUT)
         if b.article:
-            s += 5
+            s += IN_ARTICLE
         elif inside:
-            s -= 6
+            s += OUT_OF_ARTICLE
         if b.content:
-            s += 1.5
-        s += {"h1": 2.0, "p": 1.0, "blockquote": 1.0, "pre": 1.0, "li": -0.5}.get(b.tag, 0.5 if b.tag in ("h2", "h3", "h4", "dd", "figcaption", "td") else 0.0)
-        s += min(2.0, math.log2(1 + words) / 3 - 1)
-        s += 0.8 if _END.search(b.text) else 0
-        s -= 3.0 * min(1.0, b.linked / max(1, len(b.text)))
+            s += 1.0
+        s += {"h1": 1.0, "p": 0.5, "blockquote": 0.5, "pre": 0.5, "li": -0.3}.get(b.tag, 0.3 if b.tag in ("h2", "h3", "h4", "dd", "figcaption", "td") else 0.0)
+        if not (short and b.article):
+            s += min(1.5, math.log2(1 + words) / 2 - 1.5)
+            s += 0.7 if _END.search(b.text) else -0.3
+        s -= (1.5 if b.article else 3.0) * min(1.0, b.linked / max(1, len(b.text)))
         if words < 40 and re.match(r"(©|\(c\)|copyright\b)", b.text, re.I):
             s -= 4
         out.append(s)
@@ -234,13 +294,13 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     parents: dict[int, int] = {}
     grands: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        ties = [(i - 1, 0.5)] if i else []
+        ties = [(i - 1, 0.6)] if i else []
         if b.parent in parents:
             ties.append((parents[b.parent], 1.0))
         if b.grand in grands:
             ties.append((grands[b.grand], 0.7))
         for j, w in ties:
-            edges[j, i] = edges.get((j, i), 0) + w
+            edges[j, i] = edges.get((j, i), 0) + (w if blocks[j].region == b.region else w * BORDER)
         parents[b.parent] = grands[b.grand] = i
     return [(i, j, w) for (i, j), w in edges.items()]
 
@@ -338,18 +398,25 @@ def min_cut(score: list[float], edges) -> list[bool]:
     return [bool(x) for x in label]
 
 
+def labels_of(blocks: list[Block]) -> tuple[list[float], list[bool]]:
+    """Each block's score, and whether the minimum cut puts it with the content."""
+    score = scores(blocks)
+    return score, min_cut(score, edges_of(blocks))
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, a line for each block; empty if it has none."""
     blocks = blocks_of(page or "")
-    keep = min_cut(scores(blocks), edges_of(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep) if k)
+    return "\n".join(b.text for b, k in zip(blocks, labels_of(blocks)[1]) if k)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Main text of every row of ``pages``: page_id, url, text, n_chars (code points).
 
     Null html has an empty text. Ids and urls may be null or repeat; each row
-    gives one row. Pages are read whole. No shuffle: rows stay where they are.
+    gives one row. Pages are read whole, however long or deep. An empty table gives
+    an empty result. Columns other than those named aren't read, whatever their
+    names. No shuffle: rows stay where they are.
     """
     ship(pages.sparkSession)
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
