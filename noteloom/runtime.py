@@ -46,7 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="noteloom-shared-")
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return qualified(spark, found.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, as Spark understands it: without one, that of fs.defaultFS."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
