@@ -21,7 +21,6 @@ import mmap
 import os
 import uuid
 import zlib
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm.word_ids import GROUP, Table, batches_by_size, cache, cut_lowered, keyed_ids, library_encoder, load_tokenizer
-from noteloom.runtime import ship
+from noteloom.runtime import qualified, ship
 
 NO_ID = -(2**63)
 
@@ -38,12 +37,13 @@ _READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 
 def _store(folder: str):
-    """A pyarrow file system and the folder's path in it."""
+    """A pyarrow file system and the folder's path in it. The folder has a scheme (``runtime.qualified``)."""
     from pyarrow import fs
 
-    if urlparse(folder).scheme in ("", "file"):
-        return fs.LocalFileSystem(), urlparse(folder).path
-    return fs.FileSystem.from_uri(folder)
+    scheme, _, rest = folder.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else folder)
 
 
 def _writer(folder: str, vocabulary, end_id: int, width: int, cut):
@@ -89,6 +89,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """
     spark = docs.sparkSession
     ship(spark)
+    folder = qualified(spark, folder)
     with open(tokenizer_path, encoding="utf-8") as f:
         data = f.read()
     width = 2 if max(load_tokenizer(data).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -135,6 +136,7 @@ def read_shard(folder: str, shard: dict, width: int):
 def read_token_files(spark: SparkSession, folder: str, manifest: dict | None = None, with_ids: bool = False) -> DataFrame:
     """The documents of a data set: doc_id, start, n_tokens, ids_crc32 and, if asked, ids (unsigned 32-bit)."""
     ship(spark)
+    folder = qualified(spark, folder)
     if manifest is None:
         store, at = _store(folder)
         with store.open_input_stream(f"{at}/manifest.json") as f:

@@ -8,7 +8,8 @@ the end.
 
 Reading: every response's payload is checked against its digest. Exact record
 headers and payloads are kept as two tables, payloads once for each digest, and
-records are put together again by joining them.
+records are put together again by joining them: a revisit with the response that
+it names, and this with its payload.
 
 Copies are told by SHA-256 and length. Groups come from a map-side aggregate, and
 only groups with copies are joined back, so a payload that a third of all pages
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.token_files import _store
 from noteloom.llm.word_ids import batches_by_size
-from noteloom.runtime import Scratch, numbered, ship
+from noteloom.runtime import Scratch, numbered, qualified, ship
 
 LEAST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -83,10 +84,13 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     """Write a record for each row of ``pages``; returns the files' names, one for each partition that had rows.
 
     Null html is an empty payload, a null url leaves out the target, a null page
-    id sorts below all others; rows may repeat. Every page is one record.
+    id sorts below all others; rows may repeat. Every page is one record, with the
+    whole html, however long. An empty table writes no file. Columns other than
+    those named aren't read, whatever their names.
     """
     spark = pages.sparkSession
     ship(spark)
+    folder = qualified(spark, folder)
     scratch = Scratch(spark, "warc")
     pages = numbered(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")), scratch)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -122,6 +126,7 @@ _RECORDS = "page_id long, uid long, record_type string, header binary, http bina
 def read_warc(spark: SparkSession, folder: str, files: list[str], with_payload: bool = True) -> DataFrame:
     """The records of the archives: exact headers, digest and, for responses, length and payload, checked against the digest."""
     ship(spark)
+    folder = qualified(spark, folder)
     schema = _RECORDS if with_payload else _RECORDS.removesuffix(", payload binary")
     if not files:
         return spark.createDataFrame([], schema)
@@ -153,9 +158,17 @@ def read_warc(spark: SparkSession, folder: str, files: list[str], with_payload:
     return spark.range(0, len(files), 1, len(files)).mapInArrow(run, schema)
 
 
-def payload_store(records: DataFrame) -> DataFrame:
-    """Payloads by strong digest, each once: payload_sha256, payload_bytes and, if read, payload."""
-    return records.filter("record_type = 'response'").select("payload_sha256", *[c for c in ("payload_bytes", "payload") if c in records.columns]).dropDuplicates(["payload_sha256"])
+def payload_store(records: DataFrame, once_from: int | None = None) -> DataFrame:
+    """Payloads by strong digest, each once: payload_sha256, payload_bytes and payload.
+
+    once_from: the caller knows that payloads of at least so many bytes have one
+    response each, as in archives that :func:`write_warc` wrote, so that only
+    shorter ones need a shuffle.
+    """
+    found = records.filter("record_type = 'response'").select("payload_sha256", "payload_bytes", "payload")
+    if once_from is None:
+        return found.dropDuplicates(["payload_sha256"])
+    return found.filter(F.col("payload_bytes") >= once_from).unionByName(found.filter(F.col("payload_bytes") < once_from).dropDuplicates(["payload_sha256"]))
 
 
 def record_headers(records: DataFrame) -> DataFrame:
@@ -164,19 +177,32 @@ def record_headers(records: DataFrame) -> DataFrame:
 
 
 def original_records(headers: DataFrame, store: DataFrame) -> DataFrame:
-    """Headers with the payloads they stand for, of revisits too."""
-    return headers.join(store, "payload_sha256", "left")
+    """Headers with the payloads they stand for: a revisit's is that of the response it names.
+
+    store: payload_sha256 and whatever of the payload is wanted. A record whose
+    payload isn't there has nulls.
+    """
+    named = headers.filter("record_type = 'response'").select(F.col("uid").alias("__named"), F.col("payload_sha256").alias("__strong"))
+    joined = headers.join(named, F.coalesce("refers_uid", "uid") == F.col("__named"), "left")
+    kept = store.withColumnRenamed("payload_sha256", "__kept")
+    return joined.join(kept, F.col("__strong") == F.col("__kept"), "left").drop("__named", "__strong", "__kept")
 
 
 def archive_round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Write ``pages`` as archives, read them back, and put every record together again from headers and the payload store.
+    """Write ``pages`` as archives, read them back into headers and a payload store, and put every record together again.
 
     Returns page_id, payload_bytes, payload_digest (SHA-1), record_type, refers_to.
+    Length and digest are those of the bytes in the store, for revisits too; a
+    record whose header says otherwise, or that has no payload, is an error. Nulls,
+    copies and empty tables: as :func:`write_warc` says.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "archive")
     files = write_warc(pages, scratch.path + "/warc", least=least)
-    # the two tables of the store; the length stands for the bytes, which were checked as they were read
-    records = scratch.write(read_warc(spark, scratch.path + "/warc", files, with_payload=False), "records")
-    store = scratch.write(payload_store(records), "store")
-    return original_records(record_headers(records), store).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    headers = scratch.write(record_headers(read_warc(spark, scratch.path + "/warc", files, with_payload=False)), "headers")
+    store = scratch.write(payload_store(read_warc(spark, scratch.path + "/warc", files), once_from=least), "store")
+    kept = store.select("payload_sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("strong"))
+    whole = original_records(headers, kept)
+    wrong = F.raise_error(F.concat(F.lit("not the payload that the header of this page names: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("string")
+    same = F.coalesce((F.col("sha1") == F.col("payload_digest")) & (F.col("strong") == F.col("payload_sha256")), F.lit(False))
+    return whole.select("page_id", "payload_bytes", F.when(same, F.col("sha1")).otherwise(wrong).alias("payload_digest"), "record_type", "refers_to")
