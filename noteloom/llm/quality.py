@@ -8,7 +8,8 @@ grade, and each is a tail probability to select by.
 Features are hashed: which words a text has (each counts once), and the shares of
 its tokens that have each shape (letter case, digits, signs) or repeat the token
 before them. The model is fitted on the driver on a bounded sample of labelled
-rows (``sample``: those whose ids hash lowest); every row is scored.
+rows (``sample``: those whose ids hash lowest, a row for each, of at most ``widest``
+features); every row is scored.
 """
 
 from __future__ import annotations
@@ -24,19 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteloom.llm.word_ids import Kept, batches_by_size, loaded
-from noteloom.runtime import ship
+from noteloom.llm.word_ids import Kept, cache
+from noteloom.runtime import fresh_name, ship
 
 BUCKETS = 1 << 20
 SAMPLE = 16_000
 ACCEPT = 0.6
 SHARE = 6.0
 LEAST = 3
+WIDEST = 8192
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _KEPT_CHUNKS = 400_000
 
 
+def kept_chunks() -> Kept:
+    """The cache of a worker: buckets by chunk."""
+    return cache("quality chunks", lambda: Kept(_KEPT_CHUNKS, weigh=lambda values: (160 + 36 * (len(a) + len(b)) for a, b in values)))
+
+
 def bucket(kind: str, name: str) -> int:
     return zlib.crc32(f"{kind}:{name}".encode()) % BUCKETS
 
@@ -163,34 +170,45 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return known.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
-def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> CumulativeLink | None:
-    """Fit on the texts of the ``sample`` graded ids that hash lowest; None if they have fewer than two grades."""
+def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, widest: int = WIDEST) -> CumulativeLink | None:
+    """Fit on the texts of the ``sample`` graded ids that hash lowest; None if they have fewer than two grades.
+
+    Of rows that share an id, the one whose text hashes lowest is taken (a null
+    text counts as empty); one with over ``widest`` features is left out of the fit.
+    So at most ``sample`` rows of bounded size reach the driver, however often ids
+    repeat and however long texts are. Empty tables have no grades.
+    """
     spark = docs.sparkSession
     ship(spark)
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # of a bounded size, so it may be broadcast
 
     def run(batches):
-        kept = loaded("quality chunks", lambda: Kept(_KEPT_CHUNKS))
+        kept = kept_chunks()
         for batch in batches:
-            found = [features(t, kept) for t in batch.column(1).to_pylist()]
-            at, values = [a.astype("<i4").tobytes() for a, _ in found], [v.tobytes() for _, v in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "grade", "at", "values"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
-    got = rows.mapInArrow(run, "doc_id long, grade int, at binary, values binary").collect()
+            for at in range(0, batch.num_rows, 256):
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, 256).columns))
+                found = [(d, g, *x) for d, t, g in rows if len((x := features(t, kept))[0]) <= widest]
+                cols = [[f[0] for f in found], [f[1] for f in found], [f[2].astype("<i4").tobytes() for f in found], [f[3].tobytes() for f in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "grade", "at", "values"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = rows.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "first.text", "grade")
+    got = once.mapInArrow(run, "doc_id long, grade int, at binary, values binary").collect()
     got.sort(key=lambda r: (r.doc_id, r["at"], r["values"]))
     if len({r.grade for r in got}) < 2:
         return None
     return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in got], np.array([r.grade for r in got]))
 
 
-def score_quality(docs: DataFrame, model: CumulativeLink | None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, carry: bool = False) -> DataFrame:
+def score_quality(docs: DataFrame, model: CumulativeLink | None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, carry: str | None = None) -> DataFrame:
     """Score every whole text. Returns doc_id, expected_grade, tail_probability (of the top grade), kept.
 
-    ``carry`` returns the columns of ``docs`` and of these only ``kept``, as
-    ``__kept``. A null or empty text is scored on what it has, nothing. Without a
-    model (no labels) every row is kept and has null scores. Ids may be null or
-    repeat. No shuffle: rows stay where they are.
+    ``carry`` returns the columns of ``docs`` and of these only ``kept``, under that
+    name, which no column of ``docs`` may have. A null or empty text is scored on
+    what it has, nothing. Without a model (no labels) every row is kept and has null
+    scores. Ids may be null or repeat; each row gives one row, copies too. Texts are
+    read whole, however long. An empty table gives an empty result. No shuffle: rows
+    stay where they are.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -199,7 +217,7 @@ def score_quality(docs: DataFrame, model: CumulativeLink | None, id_col: str = "
 
     def run(batches):
         model = shared.value
-        kept = loaded("quality chunks", lambda: Kept(_KEPT_CHUNKS))
+        kept = kept_chunks()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             if model is None:
@@ -210,16 +228,17 @@ def score_quality(docs: DataFrame, model: CumulativeLink | None, id_col: str = "
             keep = [p is None or p >= accept for p in top]
             own = [pa.array(keep)] if carry else [pa.array(x, f.type) for x, f in zip((tails, top, keep), made)]
             cols = batch.columns[: batch.num_columns - 1]
-            yield pa.RecordBatch.from_arrays([*cols, *own], names=[*batch.schema.names[:-1], *(["__kept"] if carry else made.names)])
+            yield pa.RecordBatch.from_arrays([*cols, *own], names=[*batch.schema.names[:-1], *([carry] if carry else made.names)])
 
     if carry:
-        schema = T.StructType([*docs.schema.fields, T.StructField("__kept", T.BooleanType())])
-        return docs.select("*", F.col(text_col).alias("__text")).mapInArrow(run, schema)
+        schema = T.StructType([*docs.schema.fields, T.StructField(carry, T.BooleanType())])
+        return docs.select("*", F.col(text_col).alias(fresh_name(docs, "__text"))).mapInArrow(run, schema)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """``docs`` without the rows that a model trained on them and ``labels`` rejects; all columns as they were."""
+    """``docs`` without the rows that a model trained on them and ``labels`` rejects; all columns as they were, whatever their names."""
     model = train(docs, graded(labels), id_col, text_col)
-    return score_quality(docs, model, id_col, text_col, accept, carry=True).filter("__kept").drop("__kept")
+    kept = fresh_name(docs, "__kept")
+    return score_quality(docs, model, id_col, text_col, accept, carry=kept).filter(F.col(kept)).drop(kept)
