@@ -17,15 +17,18 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteloom.llm.word_ids import Kept, cache
+from noteloom.llm.word_ids import GROUP, Kept, batches_by_size, cache, chunked, cut_words
 from noteloom.runtime import fresh_name, ship
 
 BUCKETS = 1 << 20
@@ -36,7 +39,8 @@ LEAST = 3
 WIDEST = 8192
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_KEPT_CHUNKS = 400_000
+_SIGNS = frozenset(",.;:!?")
+_KEPT_CHUNKS = 2_000_000
 
 
 def kept_chunks() -> Kept:
@@ -60,8 +64,18 @@ def shapes(chunk: str) -> list[str]:
     return [s[i : i + 12] for i in range(0, len(s), 12)] or [""]
 
 
+@lru_cache(1 << 16)
+def shape_bucket(piece: str) -> int:
+    return bucket("shape", piece)
+
+
 def chunk_buckets(chunk: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    return tuple(bucket("word", w) for w in _LETTERS.findall(chunk.lower())), tuple(bucket("shape", s) for s in shapes(chunk))
+    """Buckets of the words and of the pieces of the shape of a chunk."""
+    low = chunk.lower()
+    words = (low,) if low.isalpha() else _LETTERS.findall(low)
+    body, sign = (chunk[:-1], chunk[-1:]) if chunk[-1:] in _SIGNS else (chunk, "")
+    plain = "" if not body.isalpha() else "a" if body.islower() else "Aa" if body[0].isupper() and body[1:].islower() else ""
+    return tuple([bucket("word", w) for w in words]), (shape_bucket(plain + sign),) if plain else tuple([shape_bucket(s) for s in shapes(chunk)])
 
 
 def features(text: str | None, kept: Kept) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +96,8 @@ def features(text: str | None, kept: Kept) -> tuple[np.ndarray, np.ndarray]:
         n += count * len(found[1])
     found_shapes[bucket("text", "repeats")] += sum(map(eq, chunks, chunks[1:]))
     at = np.fromiter((*words, *found_shapes), np.int64, len(words) + len(found_shapes))
-    values = np.ones(len(at), np.float32)
-    values[len(words) :] = np.fromiter(found_shapes.values(), np.float32, len(found_shapes)) * (SHARE / max(1, n))
+    values = np.ones(len(at))
+    values[len(words) :] = np.fromiter(found_shapes.values(), np.float64, len(found_shapes)) * (SHARE / max(1, n))
     return at, values
 
 
@@ -98,7 +112,36 @@ class CumulativeLink:
         self.weights, self.thresholds = weights, thresholds
 
     def score(self, at: np.ndarray, values: np.ndarray) -> float:
-        return float(self.weights[at] @ values)
+        return float(self.weights[at].astype(np.float64) @ values)
+
+    def scores(self, texts: list, kept: Kept) -> np.ndarray:
+        """:meth:`score` of the features of many texts: their chunks are found, and words counted once for each text, together."""
+        codes, ends, chunks = chunked([t or "" for t in texts], cut_words)
+        buckets = kept.values(chunks.to_pylist(), lambda fresh: list(map(chunk_buckets, fresh)))
+        text = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        some = np.array([bool(s) for s in pc.binary_length(chunks).to_numpy()] or [False])
+        if len(codes):
+            codes, text = codes[some[codes]], text[some[codes]]
+        if not len(codes):
+            return np.zeros(len(texts))
+        weights = self.weights.astype(np.float64)
+
+        def laid_out(k: int):
+            """All buckets of a kind, one chunk after the other, their number for each chunk, and where they begin."""
+            sizes = np.fromiter((len(b[k]) for b in buckets), np.int64, len(buckets))
+            return np.fromiter(chain.from_iterable(b[k] for b in buckets), np.int64, int(sizes.sum())), sizes, np.cumsum(sizes) - sizes
+
+        flat, sizes, _ = laid_out(1)
+        of_shapes = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[flat], len(sizes))
+        pieces, shapes_ = np.bincount(text, sizes[codes], len(texts)), np.bincount(text, of_shapes[codes], len(texts))
+        again = text[1:][(codes[1:] == codes[:-1]) & (text[1:] == text[:-1])]
+        shapes_ += np.bincount(again, minlength=len(texts)) * weights[bucket("text", "repeats")]
+        flat, sizes, begin = laid_out(0)
+        n = sizes[codes]
+        at = np.repeat(begin[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        words = np.repeat(text, n) * BUCKETS + flat[at]
+        words = np.unique(words[weights[words % BUCKETS] != 0])
+        return np.bincount(words // BUCKETS, weights[words % BUCKETS], len(texts)) + shapes_ * (SHARE / np.maximum(1, pieces))
 
     def tails(self, score):
         """P(grade >= k) for k = 1, 2, ..."""
@@ -188,7 +231,7 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
             for at in range(0, batch.num_rows, 256):
                 rows = zip(*(c.to_pylist() for c in batch.slice(at, 256).columns))
                 found = [(d, g, *x) for d, t, g in rows if len((x := features(t, kept))[0]) <= widest]
-                cols = [[f[0] for f in found], [f[1] for f in found], [f[2].astype("<i4").tobytes() for f in found], [f[3].tobytes() for f in found]]
+                cols = [[f[0] for f in found], [f[1] for f in found], [f[2].astype("<i4").tobytes() for f in found], [f[3].astype("<f4").tobytes() for f in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "grade", "at", "values"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -223,7 +266,7 @@ def score_quality(docs: DataFrame, model: CumulativeLink | None, id_col: str = "
             if model is None:
                 tails, top = [None] * len(texts), [None] * len(texts)
             else:
-                found = model.tails([model.score(*features(t, kept)) for t in texts])
+                found = model.tails(np.concatenate([np.zeros(0), *(model.scores(group, kept) for group in batches_by_size(texts, lambda t: len(t or ""), GROUP))]))
                 tails, top = found.sum(1).tolist(), found[:, -1].tolist()
             keep = [p is None or p >= accept for p in top]
             own = [pa.array(keep)] if carry else [pa.array(x, f.type) for x, f in zip((tails, top, keep), made)]

@@ -334,6 +334,11 @@ def cut_at_spaces(text: str) -> list[str]:
     return text.split(" ")
 
 
+def cut_words(text: str) -> list[str]:
+    """What stands between white space, as Python has it."""
+    return text.split()
+
+
 #: White space of Unicode, which the tokenizers' \s means.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
@@ -359,6 +364,7 @@ MARKS = {
         str,
         ((" ", MARK + " "), ("\n", MARK + "\n")),
     ),
+    cut_words: (r"[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", str, ((" ", MARK), ("\n", MARK))),
     cut_lowered: (r"[\x01\t\r\x0b\x0c]", lowered, ((" ", MARK), ("\n", MARK))),
 }
 
