@@ -232,15 +232,15 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     equal if their words are. A null id is later than all others; of rows that
     share an id, the one read first is earlier. With ``every``, a copy of an
     earlier document ends up with what lines it has without words (and lines that
-    no run holds). An empty table gives an empty result.
+    no run holds). Texts are read whole, however long. An empty table gives an empty
+    result. Columns other than those named aren't read, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
     rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch)
     runs = rows.select("uid", "doc_id", "text").mapInArrow(_emit(min_words), "k1 long, k2 long, uid long, doc_id long, first int, last int, lines long")
-    if every:
-        runs = scratch.write(runs, "runs")
+    runs = scratch.write(runs, "runs")  # read more than once from here on
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "first", "last")
     holders = runs.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     holders = scratch.write(holders.select("k1", "k2", F.col("at.uid").alias("other"), F.col("at.first").alias("there")), "holders")
