@@ -23,14 +23,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.word_ids import CACHE_BYTES, CACHE_CHUNKS, GROUP, Kept, batches_by_size, cache, chunked, cut_lowered, joined, little, load_tokenizer
+from noteloom.llm.word_ids import CACHE_CHUNKS, Kept, Table, batches_by_size, cache, chunked, cut_lowered, joined, little, load_tokenizer
 from noteloom.runtime import ship
 
 SHORT = 200
+#: Bytes of the cache of words; characters coded at a time.
+CACHE_BYTES = 64 << 20
+GROUP = 6 << 20
 SPAN = 1 << 20  # ids are below this
 NO_RANK = 1 << 60
 
@@ -106,13 +110,14 @@ class RankBPE:
             self.pairs[self.vocab[a] * SPAN + self.vocab[b]] = r * SPAN + self.vocab[a + b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
+        self.names = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_string())
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.first = [self.vocab[x] for x in byte_letters()]
         self.last = [self.vocab[x + self.suffix] for x in byte_letters()]
         self.bytes_of = {x: b for b, x in enumerate(byte_letters())}
-        self.kept = Kept(weigh=lambda values: (88 + 8 * len(v) for v in values))
+        self.kept = Kept(CACHE_CHUNKS, CACHE_BYTES, lambda values: (88 + 8 * len(v) for v in values))
         self.data, self.library = data, None
 
     def word(self, data: bytes) -> list[int]:
@@ -155,6 +160,10 @@ class RankBPE:
     def decode(self, ids) -> str:
         return " ".join(self.tokens[int(i)] for i in ids)
 
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """:meth:`decode` of many texts, whose ids stand one after the other."""
+        return joined(self.names, ids, np.cumsum(sizes), " ")
+
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
     """Ids of every whole text and the text they decode to: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded, and the SHA-256 of both.
@@ -177,26 +186,21 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches):
         data = vocabulary.value
-        weigh = lambda values: (56 + sys.getsizeof(v[0]) + sys.getsizeof(v[1]) for v in values)
-        bpe, kept = cache(("rank chunks", zlib.crc32(data.encode())), lambda: (RankBPE(data), Kept(CACHE_CHUNKS, CACHE_BYTES, weigh)))
+        bpe, kept = cache(("rank chunks", zlib.crc32(data.encode())), lambda: (RankBPE(data), Table()))
 
         def make(chunks):
-            for c in chunks:
-                ids = bpe.chunk(c)
-                yield little(ids), bpe.decode(ids)
+            return pa.array([little(bpe.chunk(c)) for c in chunks.to_pylist()], pa.large_binary())
 
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for group in batches_by_size(rows, lambda r: len(r[1] or ""), GROUP):
                 codes, ends, chunks = chunked([text or "" for _, text in group], cut_lowered)
-                found = kept.values(chunks.to_pylist(), make)
-                ids = joined(pa.array([x[0] for x in found], pa.large_binary()), codes, ends, b"").to_pylist()
-                # chunks without ids (white space) leave no space behind
-                some = np.array([bool(x[1]) for x in found])[codes] if found else np.zeros(0, bool)
-                decoded = joined(pa.array([x[1] for x in found], pa.large_string()), codes[some], np.concatenate([[0], np.cumsum(some)])[ends], " ").to_pylist()
-                cols = {"doc_id": [d for d, _ in group], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": decoded}
-                cols["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
-                cols["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
+                ids = joined(kept.values(chunks, make), codes, ends, b"")
+                sizes = pc.binary_length(ids).to_numpy() // 4
+                flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+                cols = {"doc_id": [d for d, _ in group], "n_tokens": sizes, "ids": ids.to_pylist(), "decoded": bpe.decode_all(flat, sizes).to_pylist()}
+                cols["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in cols["ids"]]
+                cols["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in cols["decoded"]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
