@@ -22,7 +22,7 @@ OTHERS = (
     ("teacher Ruth Vance wrote", ("Ruth Vance",)),
     ("neighbour Piet on 02 9123 4567", ("Piet", "02 9123 4567")),
     ("lives at 12 Banksia Road", ("12 Banksia Road",)),
-    ("a visit to Sione was cut short", ("Sione",)),
+    ("a visit to Tavita was cut short", ("Tavita",)),
 )
 LEFT_OUT = ("duration_minutes", "location", "goal_linkage", "staff_presented_by", "billable_evidence", "service_type", "outcomes_achieved", "risk_management", "follow_up_notes", "date_of_service")
 LINES = {"duration_minutes": "duration", "location": "location", "staff_presented_by": "worker", "service_type": "type", "date_of_service": "date"}

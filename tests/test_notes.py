@@ -73,8 +73,8 @@ def test_deidentify(spark, text, want, types):
 
 
 def test_contact_names(spark):
-    text = "mum Jenny and brother Marcus Hill; Mum Anna; Dr Nguyen, coordinator Hannah Wells; mum Jenny"
-    assert one(spark, text, P.contact_names) == ["Hannah Wells", "Marcus Hill", "Nguyen", "Jenny"]
+    text = "mum Odile and brother Matias Kerr; Mum Anna; Dr Nguyen, coordinator Harriet Lowe; mum Odile"
+    assert one(spark, text, P.contact_names) == ["Harriet Lowe", "Matias Kerr", "Nguyen", "Odile"]
 
 
 def test_register(spark):
