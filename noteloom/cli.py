@@ -10,11 +10,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import pii as P
-from noteloom.operators import drafting, rows, suites, synthesis
+from noteloom.operators import drafting, judging, rows, suites, synthesis
 from noteloom.plans import report, scoring
 from noteloom.rules import PLAN
-from noteloom.sources.jsonl import exists, load_split, write_splits
+from noteloom.sources.jsonl import exists, load_split, read_jsonl, write_jsonl, write_splits
 
+#: Records that ``generate`` shows.
+PREVIEW = 5
 RECORDS = "id string, stratum string, input string, target string, forbidden array<string>"
 
 
@@ -54,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--mode", default="guarded-naive")
     p = sub.add_parser("generate")
     p.add_argument("out")
-    p.add_argument("--count", type=int, default=sum(PLAN.values()))
+    p.add_argument("--count", type=int, help="about so many records, evenly over the strata; without it the usual plan")
     p = sub.add_parser("evaluate")
     p.add_argument("data")
     p.add_argument("--mode", default="golden")
@@ -63,24 +65,59 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--json")
     p.add_argument("--html")
     p.add_argument("--fail-on-block", action="store_true")
+    p = sub.add_parser("calibrate")
+    p.add_argument("labels")
+    p.add_argument("--judge", default="heuristic")
+    p.add_argument("--export")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("noteloom").getOrCreate()
     if args.command == "deid":
         df = spark.createDataFrame([(text_of(args),)], "text string")
-        row = df.select(P.deidentify(F.col("text")).alias("text"), P.deidentified_types(F.col("text")).alias("types")).first()
+        row = df.select(P.deidentify(F.col("text")).alias("text"), P.detected_types(F.col("text")).alias("types")).first()
         print(row.text)
         print(", ".join(row.types), file=sys.stderr)
     elif args.command == "draft":
         df = spark.createDataFrame([(text_of(args),)], "input string")
         print(model_of(spark, args.mode, spark.createDataFrame([], "input string, target string"))(df).first().draft)
     elif args.command == "generate":
-        plan = {r.stratum: r.n for r in rows.plan_scale(spark.createDataFrame(list(PLAN.items()), "stratum string, n long"), args.count, sum(PLAN.values())).collect()}
-        made = synthesis.dataset(spark, plan)
+        plan = rows.even_plan(args.count) if args.count is not None else PLAN
+        made = synthesis.dataset(spark, plan).cache()
+        for i, r in enumerate(made.orderBy("id").limit(PREVIEW).collect(), 1):
+            print(f"record {i}: {r.stratum}")
+        counts = {r.stratum: r["count"] for r in made.groupBy("stratum").count().collect()}  # one row for each stratum
+        if (total := sum(counts.values())) > PREVIEW:
+            print(f"and {total - PREVIEW} more")
+        for stratum, wanted in sorted(plan.items()):
+            print(f"  {stratum}: {counts.get(stratum, 0)}")
+            if counts.get(stratum, 0) < wanted:
+                print(f"warning: {stratum} is {wanted - counts.get(stratum, 0)} short of its plan", file=sys.stderr)
         write_splits(rows.stratified_split(made, "stratum", "id"), args.out).show()
+        made.unpersist()
+    elif args.command == "calibrate":
+        if not exists(spark, args.labels):
+            print(f"no labels: {args.labels}", file=sys.stderr)
+            return 2
+        judge = drafting.build(drafting.JUDGES, args.judge)
+        judged = judge(judging.labelled(read_jsonl(spark, args.labels, judging.LABELS))).cache()
+        found = judging.calibration(judged).collect()  # two rows
+        for r in found:
+            print(f"{r.dimension:<16}{r.accuracy:>8.1%}{r.kappa:>8.3f}  of {r.n}")
+        differ = judging.disagreements(judged)
+        print("differ:", ", ".join(r.id for r in differ.select("id").orderBy("id").limit(100).collect()) or "none")
+        print("may be trusted" if found[0].trusted else "not calibrated")
+        if args.export:
+            write_jsonl(judged.withColumns({f"{d}_agree": F.col(f"human_{d}") == F.col(d) for d in ("faithful", "register")}), args.export)
+        judged.unpersist()
     else:
         if not exists(spark, f"{args.data}/splits"):
             print("no data", file=sys.stderr)
             return 2
+        found = load_split(spark, args.data, args.split, RECORDS)
+        if found.isEmpty():
+            print(f"no records of split {args.split!r}", file=sys.stderr)
+            return 2
+        if absent := sorted(r.stratum for r in rows.coverage(found, "stratum").filter("n = 0").collect()):  # of six
+            print(f"warning: no examples of {', '.join(absent)}", file=sys.stderr)
         card = evaluate(spark, args.data, args.mode, args.split, args.limit)
         print(report.to_text(card))
         if args.json:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions.notes import kind, note_text, strip, text_of
@@ -31,6 +31,26 @@ def deidentified_types(c: Column) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+def kinds(labels: Column) -> Column:
+    """Labels without their brackets: EMAIL, NDIS_NUM, ..."""
+    return F.transform(labels, lambda x: F.regexp_replace(x, r"[\[\]]", ""))
+
+
+def detected_types(c: Column) -> Column:
+    """The kinds of personal data that :func:`deidentify` replaces, in order."""
+    return kinds(deidentified_types(c))
+
+
+def with_deidentified(df: DataFrame, column: str, text: str = "text", labels: str = "labels") -> DataFrame:
+    """``df`` with what :func:`deidentify` makes of a column, and the labels that it wrote; each replacement is made once."""
+    last, hits = F.col(column), []
+    for i, (pattern, label) in enumerate(STEPS):
+        df = df.withColumn(f"__deid{i}", F.struct(F.rlike(last, F.lit(pattern)).alias("hit"), F.regexp_replace(last, pattern, label).alias("text")))
+        last = F.col(f"__deid{i}.text")
+        hits.append(F.when(F.col(f"__deid{i}.hit"), F.lit(label)))
+    return df.withColumns({text: last, labels: F.array_compact(F.array(*hits))}).drop(*[f"__deid{i}" for i in range(len(STEPS))])
+
+
 def contact_names(c: Column) -> Column:
     """Names behind a cue or title, once each, the longest first and otherwise as they come."""
     found = F.concat(F.regexp_extract_all(c, F.lit(CUE_NAME), 1), F.regexp_extract_all(c, F.lit(TITLE_NAME), 1))

@@ -19,6 +19,7 @@ from noteloom.functions import pii as P
 from noteloom.functions import scores as S
 from noteloom.plans.scoring import parsed
 from noteloom.rules import GAP_MARKER
+from noteloom.runtime import fresh_name
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -49,12 +50,18 @@ def naive(df: DataFrame) -> DataFrame:
     return df.withColumn("draft", draft)
 
 
-def golden(examples: DataFrame) -> Transform:
-    """Looks an input up among examples (input, target); an unknown one gets an empty object."""
+def golden(examples: DataFrame, order: list[str] | None = None) -> Transform:
+    """Looks an input up among examples (input, target); an unknown one gets an empty object.
+
+    Of examples with one input the last holds, by the columns ``order`` or, without
+    them, as they are read.
+    """
 
     def draft(df: DataFrame) -> DataFrame:
-        known = examples.groupBy("input").agg(F.max("target").alias("target"))
-        return df.join(known, "input", "left").withColumn("draft", F.coalesce("target", F.lit("{}"))).drop("target")
+        target = fresh_name(df, "__target")
+        place = F.struct(*order) if order else F.col("__place")
+        last = examples.withColumn("__place", F.monotonically_increasing_id()).groupBy("input").agg(F.max_by("target", place).alias(target))
+        return df.join(last, "input", "left").withColumn("draft", F.coalesce(target, F.lit("{}"))).drop(target)
 
     return draft
 
@@ -63,9 +70,11 @@ def guarded(model: Transform) -> Transform:
     """The model's drafts with personal data scrubbed; drafts without an object pass as they are."""
 
     def draft(df: DataFrame) -> DataFrame:
-        df = parsed(model(df)).withColumnRenamed("note", "__note")
-        clean = P.scrub_note(F.col("__note"), P.contact_names(F.col("input")))
-        return df.withColumn("draft", F.when(F.size("__note") == 0, F.col("draft")).otherwise(F.to_json(clean))).drop("__note")
+        drafts = model(df)
+        name = fresh_name(drafts, "__note")
+        df = parsed(drafts, name)
+        clean = P.scrub_note(F.col(name), P.contact_names(F.col("input")))
+        return df.withColumn("draft", F.when(F.size(name) == 0, F.col("draft")).otherwise(F.to_json(clean))).drop(name)
 
     return draft
 
@@ -82,11 +91,12 @@ def batched(function: Callable[[Iterator], Iterator], added: str) -> Transform:
 
 def heuristic_judge(df: DataFrame) -> DataFrame:
     """Adds faithful, register and billable."""
-    df = parsed(df).withColumnRenamed("note", "__note")
-    note = F.col("__note")
+    name = fresh_name(df, "__note")
+    df = parsed(df, name)
+    note = F.col(name)
     return df.withColumns(
         {"faithful": F.size(S.findings(F.col("input"), note)) == 0, "register": S.register_score(S.narrative(note)) >= 0.75, "billable": S.billable(note)}
-    ).drop("__note")
+    ).drop(name)
 
 
 MODELS: dict[str, Transform] = {"naive": naive}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.notes import strip
 from noteloom.rules import STRATA
+from noteloom.runtime import fresh_name
 
 
 def text_key(c: Column) -> Column:
@@ -28,39 +29,44 @@ def hash_order(c: Column, seed: int) -> Column:
     return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
 
 
-def placed(df: DataFrame, group: str, key: str, bucket: Column) -> DataFrame:
-    """Adds ``place`` (from 1, by ``key``) and ``of``, the group's size.
+def placed(df: DataFrame, group: str, key: str, bucket: Column, place: str = "place", of: str = "of") -> DataFrame:
+    """Adds ``place`` (from 1, by ``key``) and ``of``, the group's size, under names that no column may have.
 
     bucket must not fall as ``key`` rises. Rows are numbered within (group, bucket)
     and a prefix sum over the buckets' sizes is added, so that no task needs a
     whole group.
     """
+    if fresh_name(df, place) != place or fresh_name(df, of) != of:
+        raise ValueError(f"there is a column {place!r} or {of!r} already; give other names")
+    own = [F.col(f"`{c}`") for c in df.columns]
     df = df.withColumn("__bucket", bucket)
     sizes = df.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
-        F.col(group).alias("__group"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__before"), F.sum("__n").over(Window.partitionBy(group)).alias("of")
+        F.col(group).alias("__group"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__before"), F.sum("__n").over(Window.partitionBy(group)).alias(of)
     )
     inside = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(key))
     numbered = df.withColumn("__inside", inside)
     joined = numbered.join(sizes, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__bucket") == F.col("__b")))
-    return joined.withColumn("place", F.col("__before") + F.col("__inside")).drop("__bucket", "__b", "__before", "__inside", "__group")
+    return joined.select(*own, (F.col("__before") + F.col("__inside")).alias(place), F.col(of))
 
 
 def stratified_split(df: DataFrame, stratum: str, id_col: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
-    """Adds ``split``: of each stratum, in hash order, first test, then val, then train.
+    """Adds ``split``: of each stratum, in hash order, first test, then val, then train. All other columns stay.
 
     With n rows: of 3 or more, test and val get their share, rounded half to even, 1 at least; of 2, one is test.
     """
-    df = df.withColumn("__h", hash_order(F.col(id_col), seed))
-    df = df.withColumn("__key", F.struct("__h", id_col))
-    df = placed(df, stratum, "__key", F.substring("__h", 1, 3))
-    n = F.col("of")
+    names = [c for c in df.columns if c != "split"]
+    h, key, place, of = (fresh_name(df, x) for x in ("__h", "__key", "__place", "__of"))
+    df = df.withColumn(h, hash_order(F.col(id_col), seed))
+    df = df.withColumn(key, F.struct(h, id_col))
+    df = placed(df, stratum, key, F.substring(h, 1, 3), place, of)
+    n, at = F.col(of), F.col(place)
     share = lambda f: F.greatest(F.lit(1), F.bround(n * F.lit(f))).cast("long")
     n_test = F.when(n >= 3, share(test)).when(n == 2, 1).otherwise(0)
     n_val = F.when(n >= 3, share(val)).otherwise(0)
-    split = F.when(F.col("place") <= n_test, "test").when(F.col("place") <= n_test + n_val, "val").otherwise("train")
-    return df.withColumn("split", split).drop("__h", "__key", "place", "of")
+    split = F.when(at <= n_test, "test").when(at <= n_test + n_val, "val").otherwise("train")
+    return df.select(*[F.col(f"`{c}`") for c in names], split.alias("split"))
 
 
 def coverage(df: DataFrame, stratum: str, expected=STRATA) -> DataFrame:
@@ -75,6 +81,11 @@ def plan_scale(plan: DataFrame, count: int, total: int) -> DataFrame:
     return plan.withColumn("n", F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(count / total))).cast("long"))
 
 
+def even_plan(count: int, strata=STRATA) -> dict[str, int]:
+    """About ``count`` records in all: as many for each stratum, rounded half to even, 1 at least."""
+    return {s: max(1, round(count / len(strata))) for s in strata}
+
+
 def lookup_last(inputs: DataFrame, pairs: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """Exact-input lookup: adds ``value`` for ``key``; of pairs with one key, the last by ``order``; null if there is none."""
     last = pairs.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

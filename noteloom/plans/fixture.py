@@ -23,11 +23,11 @@ VALUES = {
     "staff_presented_by": """CASE WHEN k % 71 = 0 THEN '"WKR-X99"' ELSE '"' || worker || '"' END""",
     "participant_present": """CASE WHEN k % 47 = 0 THEN '"yes"' WHEN k % 2 = 0 THEN 'true' ELSE 'false' END""",
     "narrative_summary": """'"' || CASE WHEN k % 23 = 0 THEN 'We worked' ELSE 'Worked' END || ' with ' || pid || ' on ' || seg || ' and set out the next steps together'
-        || CASE WHEN k % 7 = 0 THEN ' for 987654 points' ELSE '' END || CASE WHEN k % 19 = 0 THEN ' after a call to 0412 345 678' ELSE '' END
-        || CASE WHEN k % 25 = 0 THEN ' with Jenny Ray' ELSE '' END || CASE WHEN k % 33 = 0 THEN ' via jenny.ray@mail.example' ELSE '' END
+        || CASE WHEN k % 7 = 0 THEN ' for 987654 points' ELSE '' END || CASE WHEN k % 19 = 0 THEN ' after a call to 0491 570 737' ELSE '' END
+        || CASE WHEN k % 25 = 0 THEN ' with Odile Fern' ELSE '' END || CASE WHEN k % 33 = 0 THEN ' via odile.fern@mail.example' ELSE '' END
         || CASE WHEN k % 23 = 0 THEN '' ELSE '.' END || '"'""",
     "billable_evidence": """CASE WHEN k % 11 = 0 THEN '"[missing]"' WHEN k % 27 = 0 THEN '"Two words"' ELSE '"Support hours confirmed by log"' END""",
-    "outcomes_achieved": """CASE WHEN k % 53 = 0 THEN '"single"' WHEN k % 73 = 0 THEN '[]' WHEN k % 5 = 0 THEN '["Made a call","Met Jenny Ray"]' ELSE '["Practised travel","Met peers"]' END""",
+    "outcomes_achieved": """CASE WHEN k % 53 = 0 THEN '"single"' WHEN k % 73 = 0 THEN '[]' WHEN k % 5 = 0 THEN '["Made a call","Met Odile Fern"]' ELSE '["Practised travel","Met peers"]' END""",
     "risk_management": """CASE WHEN k % 3 = 0 THEN '"No new risks seen"' ELSE '"[not recorded]"' END""",
     "follow_up_needed": """CASE WHEN k % 4 = 0 THEN 'true' ELSE 'false' END""",
     "follow_up_notes": """CASE WHEN k % 4 = 0 THEN '"Call back in May"' WHEN k % 4 = 1 THEN '"n/a"' ELSE 'null' END""",
@@ -66,8 +66,8 @@ def notes_sql(day: str) -> str:
                  || CASE WHEN k % 6 = 3 AND k % 4 = 3 THEN '' ELSE 'date: ' || day || chr(10) END
                  || 'participant: ' || pid || chr(10) || 'type: ' || seg || '; location: Community hub' || chr(10)
                  || CASE WHEN k % 13 = 0 THEN '' ELSE 'duration ~' || minutes || ' min' || chr(10) END
-                 || CASE WHEN k % 5 = 0 THEN 'note: call mum Jenny Ray or Dr Lee on 0412 345 678 or NDIS 4301234' ELSE 'note: done: all' END AS input,
-               CASE WHEN k % 5 = 0 THEN 'Jenny|0412 345 678' ELSE '' END AS forbidden,
+                 || CASE WHEN k % 5 = 0 THEN 'note: call mum Odile Fern or Dr Lee on 0491 570 737 or NDIS 4301234' ELSE 'note: done: all' END AS input,
+               CASE WHEN k % 5 = 0 THEN 'Odile|0491 570 737' ELSE '' END AS forbidden,
                {_object()} AS body
         FROM (
             SELECT *, {values}
@@ -84,6 +84,15 @@ def notes_sql(day: str) -> str:
 DUCK_NOTES = notes_sql("strftime(o_orderdate, '%Y-%m-%d')")
 
 
+#: Bytes of orders that make a task of notes.
+ORDERS_A_TASK = 1 << 19
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,5 +102,6 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders").createOrReplaceTempView("noteloom_orders")
     table(spark, sf_dir, "customer").createOrReplaceTempView("noteloom_customer")
     sql = notes_sql("date_format(o_orderdate, 'yyyy-MM-dd')").replace("FROM orders JOIN customer", "FROM noteloom_orders JOIN noteloom_customer")
-    # a task's worth of orders makes minutes of scoring: spread them first
-    return spark.sql(sql).repartition(spark.sparkContext.defaultParallelism).withColumn("forbidden", F.filter(F.split("forbidden", r"\|"), lambda x: x != ""))
+    # a scan task's worth of orders makes minutes of scoring: spread them, by the size of the orders and not of the cluster
+    tasks = max(spark.sparkContext.defaultParallelism, size_of(spark, f"{sf_dir}/orders.parquet") // ORDERS_A_TASK)
+    return spark.sql(sql).repartition(tasks).withColumn("forbidden", F.filter(F.split("forbidden", r"\|"), lambda x: x != ""))

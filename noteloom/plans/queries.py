@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from noteloom.functions import notes as N
 from noteloom.functions import pii as P
 from noteloom.functions import scores as S
-from noteloom.operators import drafting, rows, synthesis
+from noteloom.operators import drafting, judging, rows, synthesis
+from noteloom.operators.chat import to_chat
 from noteloom.plans import oracle as O
 from noteloom.plans import scoring as C
 from noteloom.plans.fixture import DUCK_NOTES, notes, table
@@ -53,7 +54,7 @@ def of_notes(column: Callable[[], dict], sql: str):
 # --- sources and parsing -------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def src_jsonl(spark, sf_dir):
     """Documents written as JSON lines and read again."""
     docs = table(spark, sf_dir, "documents")
@@ -130,7 +131,25 @@ def deid_text(spark, sf_dir):
 
 @query(f"{TEXTS} SELECT id, {O.joined(O.deid_types('text'))} AS types FROM t")
 def deid_types(spark, sf_dir):
-    return _texts(spark, sf_dir).select("id", join(P.deidentified_types(F.col("text"))).alias("types"))
+    return P.with_deidentified(_texts(spark, sf_dir), "text", "clean", "labels").select("id", join(F.col("labels")).alias("types"))
+
+
+# written out by hand: what each pattern finds in what the ones before it leave
+KINDS = """
+    WITH t AS (SELECT 'doc-' || doc_id::varchar AS id, text FROM documents UNION ALL SELECT id, input AS text FROM (NOTES) x),
+    a AS (SELECT id, text AS t0, regexp_replace(text, '(?i)\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b', '[EMAIL]', 'g') AS t1 FROM t),
+    b AS (SELECT *, regexp_replace(t1, '(?i)NDIS[-\\s]?\\d{6,}', '[NDIS_NUM]', 'g') AS t2 FROM a),
+    c AS (SELECT *, regexp_replace(t2, '\\b(?:\\+?61[ -]?|\\(0\\d\\)\\s?|0)\\d(?:[ -]?\\d){7,9}\\b', '[PHONE]', 'g') AS t3 FROM b),
+    d AS (SELECT *, regexp_replace(t3, '\\b(?:0?[1-9]|3[01])(?:0?[1-9]|1[0-2])[/\\-](?:19|20)\\d{2}\\b', '[DOB]', 'g') AS t4 FROM c),
+    e AS (SELECT *, regexp_replace(t4, '\\b\\d{4}\\b', '[POSTCODE]', 'g') AS t5 FROM d)
+    SELECT id, concat_ws(',', CASE WHEN t1 <> t0 THEN 'EMAIL' END, CASE WHEN t2 <> t1 THEN 'NDIS_NUM' END, CASE WHEN t3 <> t2 THEN 'PHONE' END, CASE WHEN t4 <> t3 THEN 'DOB' END, CASE WHEN t5 <> t4 THEN 'POSTCODE' END) AS kinds FROM e
+"""
+
+
+@query(KINDS.replace("NOTES", DUCK_NOTES).replace("\\\\", "\\"))
+def deid_kinds(spark, sf_dir):
+    """The kinds of personal data found, by name."""
+    return P.with_deidentified(_texts(spark, sf_dir), "text", "clean", "labels").select("id", join(P.kinds(F.col("labels"))).alias("kinds"))
 
 
 FOUND = f"n AS ({DUCK_NOTES}), f1 AS (SELECT *, {O.FOUND} AS many FROM n), f2 AS (SELECT *, {O.once('many')} AS found FROM f1), f AS (SELECT *, {O.NAMES_SQL} AS names FROM f2)"
@@ -170,7 +189,17 @@ def guard_note(spark, sf_dir):
     return df.select("id", *[shown(f) for f in SHOWN])
 
 
-@query()
+def _changed(f: str) -> str:
+    y, s = O.y(f), O.s(f)
+    items = f"json_extract_string(j, '$.{f}[*]')"
+    return f"CASE WHEN {y} = 'VARCHAR' AND {O.scrub(s)} <> {s} THEN '{f}' WHEN {y} = 'ARRAY' AND len(list_filter({items}, lambda x: {O.scrub('x')} <> x)) > 0 THEN '{f}' END"
+
+
+@query(
+    "WITH "
+    + FOUND.replace("n AS (", "n0 AS (", 1).replace("FROM n)", "FROM n0)", 1)
+    + f", {O.notes_ctes()}, g AS (SELECT p.*, f.names FROM p JOIN f ON p.id = f.id) SELECT id, concat_ws(',', {', '.join(_changed(f) for f in NAMES if f not in ('date_of_service', 'duration_minutes', 'participant_present', 'follow_up_needed'))}) AS changed FROM g"
+)
 def guard_changed(spark, sf_dir):
     """Which fields the guard has changed."""
     df = N.once(C.parsed(notes(spark, sf_dir)), clean=P.scrub_note(F.col("note"), P.contact_names(F.col("input"))))
@@ -313,6 +342,57 @@ def release_ok(spark, sf_dir):
     return C.release_ok(_gates(spark, sf_dir))
 
 
+# The same over every note: each is a case of one of the three suites.
+ALL_CASES = CASES.replace(SUITE, "CASE k % 3 WHEN 0 THEN 'fabrication' WHEN 1 THEN 'pii_leakage' ELSE 'missing_element' END").replace(" WHERE k % 10 IN (1, 2, 3)", "")
+
+
+def over_all_cases(select: str) -> str:
+    return f"WITH {O.score_ctes()}, {ALL_CASES} {select}"
+
+
+def _all_cases(spark, sf_dir):
+    suite = F.element_at(F.array(*map(F.lit, SUITES)), (F.col("k") % 3 + 1).cast("int"))
+    return C.suite_cases(notes(spark, sf_dir).withColumn("suite", suite).withColumn("missing_field", F.expr(FIELD)))
+
+
+@query(over_all_cases("SELECT suite, id, passed_case AS passed FROM s3"))
+def all_notes_suite_union(spark, sf_dir):
+    return _all_cases(spark, sf_dir).select("suite", "id", "passed")
+
+
+@query(over_all_cases("SELECT id, missing_field, passed_case AS passed, coalesce(reason, '') AS reason FROM s3 WHERE suite = 'missing_element'"))
+def all_notes_missing_element(spark, sf_dir):
+    return _all_cases(spark, sf_dir).filter("suite = 'missing_element'").select("id", "missing_field", "passed", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query(over_all_cases("SELECT suite, id, reason FROM s3 WHERE NOT passed_case"))
+def all_notes_suite_failures(spark, sf_dir):
+    return _all_cases(spark, sf_dir).filter("NOT passed").select("suite", "id", "reason")
+
+
+@query(over_all_cases(f"SELECT suite, total, passed, round(pass_rate, 6) AS pass_rate FROM ({SUITE_RATES}) r"))
+def all_notes_suite_rates(spark, sf_dir):
+    return C.suite_results(_all_cases(spark, sf_dir)).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+def over_all_gates(select: str) -> str:
+    return f"WITH {O.score_ctes()}, {ALL_CASES}, r AS ({SUITE_RATES}), g AS ({GATE_ROWS}) {select}"
+
+
+def _all_gates(spark, sf_dir):
+    return C.gates(C.overall_rates(C.example_scores(notes(spark, sf_dir))), C.suite_results(_all_cases(spark, sf_dir)))
+
+
+@query(over_all_gates("SELECT name, round(value, 4) AS value, threshold, hard, value >= threshold AS passed FROM g"))
+def all_notes_gates(spark, sf_dir):
+    return _all_gates(spark, sf_dir).select("name", F.round("value", 4).alias("value"), "threshold", "hard", "passed")
+
+
+@query(over_all_gates("SELECT coalesce(bool_and(value >= threshold) FILTER (WHERE hard), true) AS release_ok FROM g"))
+def all_notes_release_ok(spark, sf_dir):
+    return C.release_ok(_all_gates(spark, sf_dir))
+
+
 @query(
     "WITH a AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n, avg(value) AS m FROM events GROUP BY event_type) "
     "SELECT event_type, n, round(m, 3) AS mean, round(v[floor(0.5::double * (n - 1))::int + 1], 3) AS p50, round(v[floor(0.95::double * (n - 1))::int + 1], 3) AS p95, round(v[n], 3) AS max FROM a"
@@ -345,6 +425,66 @@ def judge_disagreements(spark, sf_dir):
     return _judged(spark, sf_dir).filter("human <> judge")
 
 
+# Human labels of the notes: unfaithful where a number was made up, off register where a sentence is broken, and some slips.
+HUMAN = "k % 7 <> 0 AND k % 101 <> 0 AS human_faithful, k % 23 <> 0 OR k % 103 = 0 AS human_register"
+
+
+def _calibrated(spark, sf_dir):
+    faithful, register = (x.rsplit(" AS ", 1)[0] for x in HUMAN.split(", "))
+    labelled = notes(spark, sf_dir).withColumn("human_faithful", F.expr(faithful)).withColumn("human_register", F.expr(register))
+    return drafting.heuristic_judge(labelled)
+
+
+def _dimension(name: str, d: str) -> str:
+    return f"SELECT '{name}' AS dimension, count(*) AS n, avg((human_{d} = {d})::int) AS accuracy, avg(human_{d}::int) AS ph, avg({d}::int) AS pj FROM l"
+
+
+@query(
+    O.over_scores(
+        f"SELECT * FROM (WITH l AS (SELECT faithful, register, {HUMAN} FROM q), a AS ({_dimension('faithfulness', 'faithful')} UNION ALL {_dimension('register', 'register')}) "
+        "SELECT dimension, n, round(accuracy, 6) AS accuracy, round((accuracy - (ph * pj + (1 - ph) * (1 - pj))) / (1 - (ph * pj + (1 - ph) * (1 - pj))), 6) AS kappa, min(accuracy) OVER () >= 0.9 AS trusted FROM a) x"
+    )
+)
+def judge_calibration(spark, sf_dir):
+    r = judging.calibration(_calibrated(spark, sf_dir))
+    return r.select("dimension", "n", F.round("accuracy", 6).alias("accuracy"), F.round("kappa", 6).alias("kappa"), "trusted")
+
+
+@query(O.over_scores(f"SELECT * FROM (WITH l AS (SELECT id, faithful, register, {HUMAN} FROM q) SELECT id, human_faithful = faithful AS faithful_agree, human_register = register AS register_agree FROM l) x WHERE NOT (faithful_agree AND register_agree)"))
+def calibration_disagreements(spark, sf_dir):
+    return judging.disagreements(_calibrated(spark, sf_dir)).select("id", "faithful_agree", "register_agree")
+
+
+# A judge's replies by note: good ones, wrapped ones, and ones that must count against the note.
+REPLIES = (
+    '{"is_faithful": true, "fabricated_claims": [], "reasoning": "all there"}',
+    '{"is_faithful": false, "fabricated_claims": ["45 minutes"]}',
+    '<think>{"is_faithful": false}</think> {"is_faithful": true}',
+    "```json\n{\"is_faithful\": \"yes\"}\n```",
+    "it is faithful",
+    '{"is_faithful": true',
+    '{"fabricated_claims": []}',
+    '{"is_faithful": null}',
+    '{"is_faithful": "perhaps"}',
+    '{"is_faithful": 1}',
+    '{"is_faithful": 2}',
+    '{"is_faithful": true, "fabricated_claims": "none"}',
+    '{"is_faithful": true, "reasoning": 7}',
+)
+
+
+@query("SELECT o_orderkey AS k, o_orderkey % 13 IN (0, 2, 3, 9) AS faithful FROM orders")
+def judge_verdicts(spark, sf_dir):
+    reply = F.element_at(F.array(*map(F.lit, REPLIES)), (F.col("k") % len(REPLIES) + 1).cast("int"))
+    replies = N.once(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), reply=reply)
+    return replies.select("k", judging.verdict(F.col("reply"), "faithful").alias("faithful"))
+
+
+@query("SELECT v.stratum, greatest(1, round_even(200 / 6::double, 0))::bigint AS n FROM (VALUES ('routine_session'), ('incident'), ('capacity_building'), ('sparse_input'), ('adv_pii_check'), ('adv_missing_field')) v(stratum)")
+def even_plan(spark, sf_dir):
+    return spark.createDataFrame(list(rows.even_plan(200).items()), "stratum string, n long")
+
+
 @query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 25")
 def limit_head(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").orderBy("doc_id").limit(25)
@@ -442,6 +582,28 @@ def golden_lookup(spark, sf_dir):
     return out.select("conv_id", "turn", F.coalesce("draft", F.lit("{}")).alias("draft"))
 
 
+@query(
+    f"WITH t AS (SELECT * FROM ({TURNS}) x WHERE role = 'user' AND next_role = 'assistant'), last AS (SELECT input, arg_max(reply, (conv_id, turn)) AS draft FROM t GROUP BY input) "
+    "SELECT t.conv_id, t.turn, last.draft FROM t JOIN last ON t.input = last.input"
+)
+def golden_model(spark, sf_dir):
+    """The model that knows the answers, asked for each of them; of equal questions the last answer holds."""
+    conv = table(spark, sf_dir, "conversations")
+    nxt = conv.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    pairs = conv.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("input")).join(nxt, ["conv_id", "turn"])
+    return drafting.golden(pairs, ["conv_id", "turn"])(pairs.drop("target")).select("conv_id", "turn", "draft")
+
+
+# The contract of a training example, written out: the keys in their order, then the notes.
+ASKED = "Write one JSON object with these keys and no others, in this order: participant_id, date_of_service, duration_minutes, service_type, goal_linkage, location, staff_presented_by, participant_present, narrative_summary, billable_evidence, outcomes_achieved, risk_management, follow_up_needed, follow_up_notes."
+
+
+@query(f"WITH n AS ({DUCK_NOTES}) SELECT id, 'system,user,assistant' AS roles, '{ASKED}' || chr(10) || 'Notes:' || chr(10) || input AS asked FROM n")
+def chat_training(spark, sf_dir):
+    made = to_chat(notes(spark, sf_dir), target="draft")
+    return made.select("id", join(F.transform("messages", lambda m: m["role"])).alias("roles"), F.col("messages")[1]["content"].alias("asked"))
+
+
 @query(f"WITH n AS ({DUCK_NOTES}) SELECT id, coalesce({_kv('participant')}, '') AS participant_id, coalesce({_kv('type')}, 'Other') AS service_type, 60::bigint AS duration_minutes, input AS narrative_summary, 14 AS n_keys FROM n")
 def naive_draft(spark, sf_dir):
     df = C.parsed(drafting.naive(notes(spark, sf_dir).drop("draft")))

@@ -9,15 +9,19 @@ from noteloom.functions import notes as N
 from noteloom.functions import pii as P
 from noteloom.functions import scores as S
 from noteloom.rules import GATES, GROUNDED, NOT_SCANNED, SUITES, Rules, load_rules
+from noteloom.runtime import fresh_name
 
 
-def parsed(drafts: DataFrame) -> DataFrame:
-    """Adds ``note``, parsed from ``draft``. A step is a column of its own where the next one uses it more than once."""
-    steps = {"__t": N.strip(N.drop_think(F.col("draft"))), "__u": N.drop_fence(F.col("__t")), "__e": N.entries_of(N.brace_slice(F.col("__u")))}
+def parsed(drafts: DataFrame, name: str = "note") -> DataFrame:
+    """Adds the note, parsed from ``draft``, under ``name``, which no column may have. A step is a column of its own where the next one uses it more than once."""
+    if fresh_name(drafts, name) != name:
+        raise ValueError(f"there is a column {name!r} already; give another name for the note")
+    t, u, e, n = (fresh_name(drafts, x) for x in ("__t", "__u", "__e", f"{name}__made"))
+    own = [F.col(f"`{c}`") for c in drafts.columns]
     df = drafts
-    for name, c in steps.items():
-        df = df.withColumn(name, c)
-    return N.once(df.select(*drafts.columns, N.note_of(F.col("__e")).alias("__note")), note=F.col("__note")).drop("__note")
+    for step, c in ((t, N.strip(N.drop_think(F.col("draft")))), (u, N.drop_fence(F.col(t))), (e, N.entries_of(N.brace_slice(F.col(u))))):
+        df = df.withColumn(step, c)
+    return N.once(df.select(*own, N.note_of(F.col(e)).alias(n)), **{name: F.col(n)}).drop(n)
 
 
 def example_scores(drafts: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -27,8 +31,9 @@ def example_scores(drafts: DataFrame, rules: Rules | None = None) -> DataFrame:
     evidence is reported beside it. Other columns stay.
     """
     rules = rules or load_rules()
-    df = parsed(drafts)
-    note = F.col("note")
+    name = fresh_name(drafts, "__parsed")
+    df = parsed(drafts, name)
+    note = F.col(name)
     df = df.withColumns({"__scan": N.note_text(note, NOT_SCANNED), "__prose": N.note_text(note, GROUNDED), "__narrative": S.narrative(note)})
     made = {
         "present_ok": S.present_ok(note, F.col("stratum"), rules),
@@ -70,8 +75,9 @@ def suite_results(cases: DataFrame) -> DataFrame:
 
 def suite_cases(scored: DataFrame) -> DataFrame:
     """Outcome of suite cases (suite, id, input, draft, forbidden, missing_field): passed and, if not, why."""
-    df = parsed(scored)
-    note = F.col("note")
+    name = fresh_name(scored, "__parsed")
+    df = parsed(scored, name)
+    note = F.col(name)
     v = F.try_element_at(note, F.col("missing_field"))
     there = F.coalesce(F.map_contains_key(note, F.coalesce("missing_field", F.lit(""))), F.lit(False))
     missed = F.when(~there, "omitted").when(~F.coalesce(N.is_gap(v), F.lit(True)), F.concat(F.lit("value invented: "), N.text_of(v)))
@@ -98,20 +104,25 @@ def release_ok(gate_rows: DataFrame) -> DataFrame:
     return gate_rows.agg(F.coalesce(F.bool_and(F.when(F.col("hard"), F.col("passed"))), F.lit(True)).alias("release_ok"))
 
 
+#: Ranges of values that a group's windows are cut into.
+SLICES = 256
+
+
 def latency_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """n, mean, p50, p95, max by group; a quantile is the value at place floor(q (n - 1)) of the sorted values.
 
     Values are counted first, so a group is as many rows as it has different
-    values, and ranked by running counts over ranges of them; a group that is all
-    zero is left out.
+    values, and ranked by running counts over ranges of them: about equal shares of
+    each group, by its approximate quantiles, so that no window holds a whole group
+    whatever its values are. A group that is all zero is left out.
     """
     from pyspark.sql import Window
 
     keys = [by or "__all"]
     df = (df if by else df.withColumn("__all", F.lit(1))).filter(F.col(value).isNotNull())
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    # a coarse order first: slices by the value's bits, so that no window holds a whole group
-    counts = counts.withColumn("slice", F.floor(F.col(value) / F.lit(0.25)).cast("long"))
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), 4 * SLICES).alias("__bounds"))
+    counts = counts.join(bounds, keys).withColumn("slice", F.size(F.filter("__bounds", lambda b: b < F.col(value)))).drop("__bounds")
     slices = counts.groupBy(*keys, "slice").agg(F.sum("c").alias("in_slice"))
     order = Window.partitionBy(*keys).orderBy("slice")
     before = slices.withColumn("before", F.sum("in_slice").over(order.rowsBetween(Window.unboundedPreceding, -1)))
