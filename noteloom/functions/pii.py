@@ -62,7 +62,7 @@ def contact_names(c: Column) -> Column:
 def scrub(c: Column, names: Column) -> Column:
     """Names, then patterns, replaced by the mark of redaction."""
     word = lambda n: F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b"))
-    c = F.aggregate(names, c, lambda text, n: F.regexp_replace(text, word(n), F.lit(REDACTED)))
+    c = F.aggregate(names, c, lambda text, n: F.when(F.contains(text, n), F.regexp_replace(text, word(n), F.lit(REDACTED))).otherwise(text))
     for pattern in (EMAIL, ID_NUMBER, PHONE_WIDE):
         c = F.regexp_replace(c, pattern, REDACTED)
     return c
