@@ -99,6 +99,25 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN bytes >= 1000 AND page_id <> best THEN best END AS refers_to
         FROM q
     """,
+    "op3_ego_join": """
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS r, vec_id, embedding::double[] AS e FROM embeddings
+        ), fine AS MATERIALIZED (
+            SELECT * FROM v
+            WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), link AS (
+            SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.r <> b.r AND len(a.e) = len(b.e)
+            WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9::double END
+        ), reach AS (
+            SELECT r AS node, r AS other FROM v UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a
+        ), least AS (
+            SELECT node, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.other GROUP BY node
+        ), number AS (
+            SELECT a, count(*) AS n FROM link GROUP BY a
+        )
+        SELECT vec_id, coalesce(n, 0)::bigint AS n_links, component_id, coalesce(vec_id = component_id, component_id IS NULL) AS kept
+        FROM v JOIN least ON least.node = v.r LEFT JOIN number ON number.a = v.r
+    """,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

@@ -96,7 +96,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     vocabulary = spark.sparkContext.broadcast(data)  # one vocabulary file, whatever the corpus
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sorted_rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # of equal ids by text and place, so that one that many rows share is dealt over shards too
+    placed = rows.withColumns({"text_hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    sorted_rows = placed.repartitionByRange(shards, "doc_id", "text_hash", "place").sortWithinPartitions("doc_id", "text_hash", "place").select("doc_id", "text")
     totals = sorted_rows.mapInArrow(_writer(folder, vocabulary, end_id, width, cut), "shard int, docs long, ids long").collect()
     made, base = [], 0
     for r in sorted(totals):
