@@ -33,7 +33,7 @@ from noteloom.runtime import fresh_name, ship
 
 BUCKETS = 1 << 20
 SAMPLE = 16_000
-ACCEPT = 0.6
+ACCEPT = 0.7
 SHARE = 6.0
 LEAST = 3
 WIDEST = 8192
