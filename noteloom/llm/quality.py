@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteloom.llm.word_ids import GROUP, Kept, batches_by_size, cache, chunked, cut_words
+from noteloom.llm.word_ids import Kept, batches_by_size, cache, chunked, cut_words
 from noteloom.runtime import fresh_name, ship
 
 BUCKETS = 1 << 20
@@ -41,11 +41,14 @@ WIDEST = 8192
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = frozenset(",.;:!?")
 _KEPT_CHUNKS = 2_000_000
+_KEPT_BYTES = 80 << 20
+#: Characters of text that are scored at a time.
+GROUP = 3 << 20
 
 
 def kept_chunks() -> Kept:
     """The cache of a worker: buckets by chunk."""
-    return cache("quality chunks", lambda: Kept(_KEPT_CHUNKS, weigh=lambda values: (160 + 36 * (len(a) + len(b)) for a, b in values)))
+    return cache("quality chunks", lambda: Kept(_KEPT_CHUNKS, _KEPT_BYTES, weigh=lambda values: (160 + 36 * (len(a) + len(b)) for a, b in values)))
 
 
 def bucket(kind: str, name: str) -> int:
