@@ -41,9 +41,9 @@ WIDEST = 8192
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = frozenset(",.;:!?")
 _KEPT_CHUNKS = 2_000_000
-_KEPT_BYTES = 80 << 20
+_KEPT_BYTES = 40 << 20
 #: Characters of text that are scored at a time.
-GROUP = 3 << 20
+GROUP = 1 << 20
 
 
 def kept_chunks() -> Kept:

@@ -34,7 +34,7 @@ from noteloom.runtime import ship
 SHORT = 200
 #: Bytes of the cache of words; characters coded at a time.
 CACHE_BYTES = 64 << 20
-GROUP = 6 << 20
+GROUP = 3 << 20
 SPAN = 1 << 20  # ids are below this
 NO_RANK = 1 << 60
 

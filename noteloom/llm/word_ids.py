@@ -23,9 +23,9 @@ import regex
 
 CACHE_CHUNKS = 4_000_000
 CACHE_BYTES = 192 << 20
-TABLE_BYTES = 80 << 20
+TABLE_BYTES = 48 << 20
 #: Characters of text that are cut and coded at a time.
-GROUP = 12 << 20
+GROUP = 3 << 20
 #: What a dictionary takes for an entry, beside key and value.
 ENTRY_BYTES = 104
 #: A key or value over this size is worked out anew each time.
@@ -46,6 +46,7 @@ def cache(key, make):
     """The caches of one operator: a worker process that turns to another one drops those of the last."""
     if key not in _slot:
         _slot.clear()
+        pa.default_memory_pool().release_unused()
         _slot[key] = make()
     return _slot[key]
 
