@@ -22,7 +22,11 @@ def sf_dir(tmp_path_factory):
     html = [big, None, "", big, "small", "small", big + "é", big, "x" * 1000, "x" * 1000, "x" * 999, "x" * 999]
     pq.write_table(pa.table({"page_id": pa.array(range(len(html)), pa.int64()), "url": pa.array(["u"] * len(html)), "html": pa.array(html)}), f"{d}/pages.parquet")
     texts = ["one", None, "", "two\n", "one", "two", "z" * 20_000, "z" * 20_000, "z" * 19_999]
-    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)}), f"{d}/documents.parquet")
+    texts += [" ".join(f"T{chr(97 + int(k))}" for k in rng.zipf(1.5, 12) % 26) for _ in range(120)]
+    n = range(len(texts))
+    columns = {"text": texts, "lang": [("en", "fr", None)[i % 3 if i % 2 else 0] for i in n], "source": [(None, "a", "é", "b", "c")[i % 5 if i % 3 else 4] for i in n]}
+    table = {"doc_id": pa.array(n, pa.int64()), **{k: pa.array(v) for k, v in columns.items()}, "n_chars": pa.array([i if i % 7 else None for i in n], pa.int64())}
+    pq.write_table(pa.table(table), f"{d}/documents.parquet")
     return d
 
 
