@@ -19,7 +19,7 @@ from noteloom.functions import pii as P
 from noteloom.functions import scores as S
 from noteloom.plans.scoring import parsed
 from noteloom.rules import GAP_MARKER
-from noteloom.runtime import fresh_name
+from noteloom.runtime import Scratch, fresh_name, numbered
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -54,13 +54,13 @@ def golden(examples: DataFrame, order: list[str] | None = None) -> Transform:
     """Looks an input up among examples (input, target); an unknown one gets an empty object.
 
     Of examples with one input the last holds, by the columns ``order`` or, without
-    them, as they are read.
+    them, as they are read: by file and place there, however a scan is cut.
     """
 
     def draft(df: DataFrame) -> DataFrame:
-        target = fresh_name(df, "__target")
-        place = F.struct(*order) if order else F.col("__place")
-        last = examples.withColumn("__place", F.monotonically_increasing_id()).groupBy("input").agg(F.max_by("target", place).alias(target))
+        target, at = fresh_name(df, "__target"), fresh_name(examples, "__place")
+        known = examples if order else numbered(examples, Scratch(examples.sparkSession, "golden"), at)
+        last = known.groupBy("input").agg(F.max_by("target", F.struct(*order) if order else F.col(at)).alias(target))
         return df.join(last, "input", "left").withColumn("draft", F.coalesce(target, F.lit("{}"))).drop(target)
 
     return draft

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import notes as N
 from noteloom.operators.drafting import Transform, batched
-from noteloom.plans.scoring import agreement
+from noteloom.plans.scoring import agreement_sums, kappa_of
 
 #: For each question: the key of the verdict, and of the list of what speaks against the note.
 QUESTIONS = {"faithful": ("is_faithful", "fabricated_claims"), "register": ("meets_register", "issues"), "billable": ("present", None)}
@@ -68,12 +68,13 @@ def replies_judge(ask: Callable[[Iterator], Iterator]) -> Transform:
 def calibration(judged: DataFrame) -> DataFrame:
     """A row for each dimension: n, accuracy, kappa, and whether both dimensions agree often enough (``trusted``).
 
-    judged: human_faithful, faithful, human_register, register.
+    judged: human_faithful, faithful, human_register, register. Both dimensions are
+    counted in one pass.
     """
-    rows = [agreement(judged.select(F.col(f"human_{d}").alias("human"), F.col(d).alias("judge"))).select(F.lit(name).alias("dimension"), "n", "accuracy", "kappa") for name, d in (("faithfulness", "faithful"), ("register", "register"))]
-    both = rows[0].unionByName(rows[1])
-    least = both.agg((F.min("accuracy") >= TRUSTED).alias("trusted"))  # one row
-    return both.join(F.broadcast(least))
+    sums = judged.agg(*[x for d in ("faithful", "register") for x in agreement_sums(F.col(f"human_{d}"), F.col(d), d)])
+    trusted = F.least("accuracy_faithful", "accuracy_register") >= TRUSTED
+    rows = [F.struct(F.lit(name).alias("dimension"), F.col(f"n_{d}").alias("n"), F.col(f"accuracy_{d}").alias("accuracy"), kappa_of(d).alias("kappa"), trusted.alias("trusted")) for name, d in (("faithfulness", "faithful"), ("register", "register"))]
+    return sums.select(F.inline(F.array(*rows)))
 
 
 def disagreements(judged: DataFrame) -> DataFrame:

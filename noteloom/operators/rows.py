@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.notes import strip
 from noteloom.rules import STRATA
-from noteloom.runtime import fresh_name
+from noteloom.runtime import fresh_name, quoted
 
 
 def text_key(c: Column) -> Column:
@@ -21,8 +21,9 @@ def dedup_groups(df: DataFrame, text: str, order: str) -> DataFrame:
 
 def dedup_first(df: DataFrame, text: str, order: str) -> DataFrame:
     """The first row of each such group; all columns. Groups come from a map-side aggregate, so a large one is no hot task."""
-    first = dedup_groups(df, text, order).select(F.col("first").alias("__first"))
-    return df.join(first, F.col(order) == F.col("__first"), "left_semi")
+    name = fresh_name(df, "__first")
+    first = dedup_groups(df, text, order).select(F.col("first").alias(name))
+    return df.join(first, F.col(order) == F.col(name), "left_semi")
 
 
 def hash_order(c: Column, seed: int) -> Column:
@@ -38,17 +39,17 @@ def placed(df: DataFrame, group: str, key: str, bucket: Column, place: str = "pl
     """
     if fresh_name(df, place) != place or fresh_name(df, of) != of:
         raise ValueError(f"there is a column {place!r} or {of!r} already; give other names")
-    own = [F.col(f"`{c}`") for c in df.columns]
-    df = df.withColumn("__bucket", bucket)
-    sizes = df.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.col(quoted(c)) for c in df.columns]
+    cut, inside, group_, cut_, before_, n = (fresh_name(df, x) for x in ("__bucket", "__inside", "__group", "__b", "__before", "__n"))
+    df = df.withColumn(cut, bucket)
+    sizes = df.groupBy(group, cut).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(group).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
-        F.col(group).alias("__group"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__before"), F.sum("__n").over(Window.partitionBy(group)).alias(of)
+        F.col(group).alias(group_), F.col(cut).alias(cut_), F.coalesce(F.sum(n).over(before), F.lit(0).cast("long")).alias(before_), F.sum(n).over(Window.partitionBy(group)).alias(of)
     )
-    inside = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(key))
-    numbered = df.withColumn("__inside", inside)
-    joined = numbered.join(sizes, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__bucket") == F.col("__b")))
-    return joined.select(*own, (F.col("__before") + F.col("__inside")).alias(place), F.col(of))
+    numbered = df.withColumn(inside, F.row_number().over(Window.partitionBy(group, cut).orderBy(key)))
+    joined = numbered.join(sizes, F.col(group).eqNullSafe(F.col(group_)) & (F.col(cut) == F.col(cut_)))
+    return joined.select(*own, (F.col(before_) + F.col(inside)).alias(place), F.col(of))
 
 
 def stratified_split(df: DataFrame, stratum: str, id_col: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:

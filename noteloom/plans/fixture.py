@@ -27,7 +27,7 @@ VALUES = {
         || CASE WHEN k % 25 = 0 THEN ' with Odile Fern' ELSE '' END || CASE WHEN k % 33 = 0 THEN ' via odile.fern@mail.example' ELSE '' END
         || CASE WHEN k % 23 = 0 THEN '' ELSE '.' END || '"'""",
     "billable_evidence": """CASE WHEN k % 11 = 0 THEN '"[missing]"' WHEN k % 27 = 0 THEN '"Two words"' ELSE '"Support hours confirmed by log"' END""",
-    "outcomes_achieved": """CASE WHEN k % 53 = 0 THEN '"single"' WHEN k % 73 = 0 THEN '[]' WHEN k % 5 = 0 THEN '["Made a call","Met Odile Fern"]' ELSE '["Practised travel","Met peers"]' END""",
+    "outcomes_achieved": """CASE WHEN k % 53 = 0 THEN '"single"' WHEN k % 73 = 0 THEN '[]' WHEN k % 107 = 0 THEN '["Met peers",7]' WHEN k % 5 = 0 THEN '["Made a call","Met Odile Fern"]' ELSE '["Practised travel","Met peers"]' END""",
     "risk_management": """CASE WHEN k % 3 = 0 THEN '"No new risks seen"' ELSE '"[not recorded]"' END""",
     "follow_up_needed": """CASE WHEN k % 4 = 0 THEN 'true' ELSE 'false' END""",
     "follow_up_notes": """CASE WHEN k % 4 = 0 THEN '"Call back in May"' WHEN k % 4 = 1 THEN '"n/a"' ELSE 'null' END""",

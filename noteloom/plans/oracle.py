@@ -57,7 +57,7 @@ def type_ok(f: str) -> str:
         "string": f"{y(f)} = 'VARCHAR'",
         "integer": f"({y(f)} IN ('UBIGINT', 'BIGINT') AND try_cast({s(f)} AS bigint) BETWEEN 1 AND 1440)",
         "boolean": f"{y(f)} = 'BOOLEAN'",
-        "array_of_strings": f"({y(f)} = 'ARRAY' AND json_type(j, '$.{f}[0]') = 'VARCHAR')",
+        "array_of_strings": f"({y(f)} = 'ARRAY' AND json_array_length(j, '$.{f}') > 0 AND len(list_filter(json_extract(j, '$.{f}[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0)",
         "date": rf"({y(f)} = 'VARCHAR' AND regexp_matches({s(f)}, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}$') AND try_cast({s(f)} AS date) IS NOT NULL)",
     }[KINDS[f]]
 

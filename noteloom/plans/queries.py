@@ -271,10 +271,18 @@ def per_stratum(spark, sf_dir):
     return C.per_stratum(C.example_scores(notes(spark, sf_dir)))
 
 
-SUITE = "CASE k % 10 WHEN 1 THEN 'fabrication' WHEN 2 THEN 'pii_leakage' WHEN 3 THEN 'missing_element' END"
+@query(O.over_scores("SELECT grouping(stratum)::int AS overall, stratum, count(*) AS n, " + ", ".join(f"round({RATE(c)}, 6) AS {c}" for c in C.RATES) + f", round({RATE('passed')}, 6) AS overall_pass FROM q GROUP BY ROLLUP (stratum)"))
+def rates_rollup(spark, sf_dir):
+    """Overall and per-stratum rates from one pass over the notes."""
+    rolled = C.rates_rollup(C.example_scores(notes(spark, sf_dir)))
+    return rolled.select("overall", "stratum", "n", *[F.round(c, 6).alias(c) for c in (*C.RATES, "overall_pass")])
+
+
+# Every note is a case of one of the three suites.
+SUITE = "CASE k % 3 WHEN 0 THEN 'fabrication' WHEN 1 THEN 'pii_leakage' ELSE 'missing_element' END"
 FIELD = "CASE k % 4 WHEN 0 THEN 'duration_minutes' WHEN 1 THEN 'location' WHEN 2 THEN 'billable_evidence' ELSE 'follow_up_notes' END"
 CASES = f"""
-    s0 AS (SELECT *, {SUITE} AS suite, {FIELD} AS missing_field FROM q WHERE k % 10 IN (1, 2, 3)),
+    s0 AS (SELECT *, {SUITE} AS suite, {FIELD} AS missing_field FROM q),
     s1 AS (SELECT *, json_type(j, '$.' || missing_field) AS m_kind, json_extract_string(j, '$.' || missing_field) AS m_text, json_array_length(j, '$.' || missing_field) AS m_length FROM s0),
     s2 AS (SELECT *, CASE suite WHEN 'fabrication' THEN CASE WHEN len(findings) > 0 THEN array_to_string(findings, '; ') END
                                 WHEN 'pii_leakage' THEN CASE WHEN len(leaks) > 0 THEN array_to_string(leaks, '; ') END
@@ -287,34 +295,9 @@ def over_cases(select: str) -> str:
     return f"WITH {O.score_ctes()}, {CASES} {select}"
 
 
-def _cases(spark, sf_dir):
-    df = notes(spark, sf_dir).filter("k % 10 IN (1, 2, 3)").withColumn("suite", F.expr(SUITE)).withColumn("missing_field", F.expr(FIELD))
-    return C.suite_cases(df)
-
-
-@query(over_cases("SELECT suite, id, passed_case AS passed FROM s3"))
-def suite_union(spark, sf_dir):
-    return _cases(spark, sf_dir).select("suite", "id", "passed")
-
-
-@query(over_cases("SELECT id, missing_field, passed_case AS passed, coalesce(reason, '') AS reason FROM s3 WHERE suite = 'missing_element'"))
-def missing_element(spark, sf_dir):
-    return _cases(spark, sf_dir).filter("suite = 'missing_element'").select("id", "missing_field", "passed", F.coalesce("reason", F.lit("")).alias("reason"))
-
-
-@query(over_cases("SELECT suite, id, reason FROM s3 WHERE NOT passed_case"))
-def suite_failures(spark, sf_dir):
-    return _cases(spark, sf_dir).filter("NOT passed").select("suite", "id", "reason")
-
-
 SUITE_RATES = f"SELECT v.suite, count(s3.id) AS total, coalesce(sum(passed_case::int), 0)::bigint AS passed, coalesce(avg(passed_case::int), 1.0) AS pass_rate FROM (VALUES {', '.join(f"('{s}')" for s in SUITES)}) v(suite) LEFT JOIN s3 ON s3.suite = v.suite GROUP BY v.suite"
 
 
-@query(over_cases(f"SELECT suite, total, passed, round(pass_rate, 6) AS pass_rate FROM ({SUITE_RATES}) r"))
-def suite_rates(spark, sf_dir):
-    return C.suite_results(_cases(spark, sf_dir)).withColumn("pass_rate", F.round("pass_rate", 6))
-
-
 GATE_ROWS = " UNION ALL ".join(
     f"SELECT {i} AS place, '{name}' AS name, "
     + (f"(SELECT pass_rate FROM r WHERE suite = '{name[6:]}')" if name.startswith("suite_") else f"(SELECT {RATE(c)} FROM q)")
@@ -328,69 +311,47 @@ def over_gates(select: str) -> str:
     return f"WITH {O.score_ctes()}, {CASES}, r AS ({SUITE_RATES}), g AS ({GATE_ROWS}) {select}"
 
 
-def _gates(spark, sf_dir):
-    return C.gates(C.overall_rates(C.example_scores(notes(spark, sf_dir))), C.suite_results(_cases(spark, sf_dir)))
-
-
-@query(over_gates("SELECT name, round(value, 4) AS value, threshold, hard, value >= threshold AS passed FROM g"))
-def gates(spark, sf_dir):
-    return _gates(spark, sf_dir).select("name", F.round("value", 4).alias("value"), "threshold", "hard", "passed")
-
-
-@query(over_gates("SELECT coalesce(bool_and(value >= threshold) FILTER (WHERE hard), true) AS release_ok FROM g"))
-def release_ok(spark, sf_dir):
-    return C.release_ok(_gates(spark, sf_dir))
-
-
-# The same over every note: each is a case of one of the three suites.
-ALL_CASES = CASES.replace(SUITE, "CASE k % 3 WHEN 0 THEN 'fabrication' WHEN 1 THEN 'pii_leakage' ELSE 'missing_element' END").replace(" WHERE k % 10 IN (1, 2, 3)", "")
-
-
-def over_all_cases(select: str) -> str:
-    return f"WITH {O.score_ctes()}, {ALL_CASES} {select}"
+def _as_cases(spark, sf_dir):
+    suite = F.element_at(F.array(*map(F.lit, SUITES)), (F.col("k") % 3 + 1).cast("int"))
+    return notes(spark, sf_dir).withColumn("suite", suite).withColumn("missing_field", F.expr(FIELD))
 
 
-def _all_cases(spark, sf_dir):
-    suite = F.element_at(F.array(*map(F.lit, SUITES)), (F.col("k") % 3 + 1).cast("int"))
-    return C.suite_cases(notes(spark, sf_dir).withColumn("suite", suite).withColumn("missing_field", F.expr(FIELD)))
+def _cases(spark, sf_dir):
+    return C.suite_cases(_as_cases(spark, sf_dir))
 
 
-@query(over_all_cases("SELECT suite, id, passed_case AS passed FROM s3"))
+@query(over_cases("SELECT suite, id, passed_case AS passed FROM s3"))
 def all_notes_suite_union(spark, sf_dir):
-    return _all_cases(spark, sf_dir).select("suite", "id", "passed")
+    return _cases(spark, sf_dir).select("suite", "id", "passed")
 
 
-@query(over_all_cases("SELECT id, missing_field, passed_case AS passed, coalesce(reason, '') AS reason FROM s3 WHERE suite = 'missing_element'"))
+@query(over_cases("SELECT id, missing_field, passed_case AS passed, coalesce(reason, '') AS reason FROM s3 WHERE suite = 'missing_element'"))
 def all_notes_missing_element(spark, sf_dir):
-    return _all_cases(spark, sf_dir).filter("suite = 'missing_element'").select("id", "missing_field", "passed", F.coalesce("reason", F.lit("")).alias("reason"))
+    return _cases(spark, sf_dir).filter("suite = 'missing_element'").select("id", "missing_field", "passed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query(over_all_cases("SELECT suite, id, reason FROM s3 WHERE NOT passed_case"))
+@query(over_cases("SELECT suite, id, reason FROM s3 WHERE NOT passed_case"))
 def all_notes_suite_failures(spark, sf_dir):
-    return _all_cases(spark, sf_dir).filter("NOT passed").select("suite", "id", "reason")
+    return _cases(spark, sf_dir).filter("NOT passed").select("suite", "id", "reason")
 
 
-@query(over_all_cases(f"SELECT suite, total, passed, round(pass_rate, 6) AS pass_rate FROM ({SUITE_RATES}) r"))
+@query(over_cases(f"SELECT suite, total, passed, round(pass_rate, 6) AS pass_rate FROM ({SUITE_RATES}) r"))
 def all_notes_suite_rates(spark, sf_dir):
-    return C.suite_results(_all_cases(spark, sf_dir)).withColumn("pass_rate", F.round("pass_rate", 6))
-
-
-def over_all_gates(select: str) -> str:
-    return f"WITH {O.score_ctes()}, {ALL_CASES}, r AS ({SUITE_RATES}), g AS ({GATE_ROWS}) {select}"
+    return C.suite_results(_cases(spark, sf_dir)).withColumn("pass_rate", F.round("pass_rate", 6))
 
 
-def _all_gates(spark, sf_dir):
-    return C.gates(C.overall_rates(C.example_scores(notes(spark, sf_dir))), C.suite_results(_all_cases(spark, sf_dir)))
+def _gates(spark, sf_dir):
+    return C.gate_rows(C.example_scores(_as_cases(spark, sf_dir), cases=True))
 
 
-@query(over_all_gates("SELECT name, round(value, 4) AS value, threshold, hard, value >= threshold AS passed FROM g"))
+@query(over_gates("SELECT name, round(value, 4) AS value, threshold, hard, value >= threshold AS passed FROM g"))
 def all_notes_gates(spark, sf_dir):
-    return _all_gates(spark, sf_dir).select("name", F.round("value", 4).alias("value"), "threshold", "hard", "passed")
+    return _gates(spark, sf_dir).select("name", F.round("value", 4).alias("value"), "threshold", "hard", "passed")
 
 
-@query(over_all_gates("SELECT coalesce(bool_and(value >= threshold) FILTER (WHERE hard), true) AS release_ok FROM g"))
+@query(over_gates("SELECT coalesce(bool_and(value >= threshold) FILTER (WHERE hard), true) AS release_ok FROM g"))
 def all_notes_release_ok(spark, sf_dir):
-    return C.release_ok(_all_gates(spark, sf_dir))
+    return C.release_ok(_gates(spark, sf_dir))
 
 
 @query(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import notes as N
 from noteloom.functions import pii as P
 from noteloom.functions import scores as S
 from noteloom.rules import GATES, GROUNDED, NOT_SCANNED, SUITES, Rules, load_rules
-from noteloom.runtime import fresh_name
+from noteloom.runtime import Scratch, fresh_name
 
 
 def parsed(drafts: DataFrame, name: str = "note") -> DataFrame:
@@ -24,31 +24,52 @@ def parsed(drafts: DataFrame, name: str = "note") -> DataFrame:
     return N.once(df.select(*own, N.note_of(F.col(e)).alias(n)), **{name: F.col(n)}).drop(n)
 
 
-def example_scores(drafts: DataFrame, rules: Rules | None = None) -> DataFrame:
+def example_scores(drafts: DataFrame, rules: Rules | None = None, cases: bool = False) -> DataFrame:
     """A row for each draft (id, stratum, input, draft, forbidden): every score and whether it passes.
 
     ``passed`` needs structure, privacy, faithfulness and register; billable
-    evidence is reported beside it. Other columns stay.
+    evidence is reported beside it. Other columns stay. With ``cases`` each draft is
+    also a suite's case (suite, missing_field) and its outcome is added, from the
+    same parsed note: reason, and case_passed.
     """
     rules = rules or load_rules()
     name = fresh_name(drafts, "__parsed")
     df = parsed(drafts, name)
     note = F.col(name)
     df = df.withColumns({"__scan": N.note_text(note, NOT_SCANNED), "__prose": N.note_text(note, GROUNDED), "__narrative": S.narrative(note)})
+    found, leaked = S.findings(F.col("input"), note, F.col("__prose")), P.leaks_in(F.col("__scan"), F.col("forbidden"))
+    if cases:
+        df = N.once(df, __facts=F.struct(found.alias("found"), leaked.alias("leaked")))
+        found, leaked = F.col("__facts.found"), F.col("__facts.leaked")
     made = {
         "present_ok": S.present_ok(note, F.col("stratum"), rules),
         "order_ok": S.order_ok(note, rules),
         "types_ok": F.size(S.invalid(note, rules)) == 0,
-        "pii_clean": F.size(P.leaks_in(F.col("__scan"), F.col("forbidden"))) == 0,
-        "faithful": F.size(S.findings(F.col("input"), note, F.col("__prose"))) == 0,
+        "pii_clean": F.size(leaked) == 0,
+        "faithful": F.size(found) == 0,
         "register_score": S.register_score(F.col("__narrative")),
         "billable": S.billable(note),
     }
+    if cases:
+        made["reason"] = case_reason(note, found, leaked)
     df = N.once(df, __scores=F.struct(*[c.alias(n) for n, c in made.items()])).select(*drafts.columns, "__scores.*")
     structural = F.col("present_ok") & F.col("order_ok") & F.col("types_ok")
     ones = sum((F.col(c).cast("int") for c in ("present_ok", "order_ok", "types_ok")), F.lit(0))
     df = df.withColumns({"structural": structural, "structure_score": ones / F.lit(3.0), "register": F.col("register_score") >= 0.75})
-    return df.withColumn("passed", F.col("structural") & F.col("pii_clean") & F.col("faithful") & F.col("register"))
+    df = df.withColumn("passed", F.col("structural") & F.col("pii_clean") & F.col("faithful") & F.col("register"))
+    return df.withColumn("case_passed", F.col("reason").isNull()) if cases else df
+
+
+def case_reason(note: Column, found: Column, leaked: Column) -> Column:
+    """Why a suite's case fails; null if it passes."""
+    v = F.try_element_at(note, F.col("missing_field"))
+    there = F.coalesce(F.map_contains_key(note, F.coalesce("missing_field", F.lit(""))), F.lit(False))
+    missed = F.when(~there, "omitted").when(~F.coalesce(N.is_gap(v), F.lit(True)), F.concat(F.lit("value invented: "), N.text_of(v)))
+    return (
+        F.when(F.col("suite") == "fabrication", F.when(F.size(found) > 0, F.array_join(found, "; ")))
+        .when(F.col("suite") == "pii_leakage", F.when(F.size(leaked) > 0, F.array_join(leaked, "; ")))
+        .otherwise(missed)
+    )
 
 
 RATES = ("structural", "faithful", "pii_clean", "register", "billable")
@@ -78,25 +99,43 @@ def suite_cases(scored: DataFrame) -> DataFrame:
     name = fresh_name(scored, "__parsed")
     df = parsed(scored, name)
     note = F.col(name)
-    v = F.try_element_at(note, F.col("missing_field"))
-    there = F.coalesce(F.map_contains_key(note, F.coalesce("missing_field", F.lit(""))), F.lit(False))
-    missed = F.when(~there, "omitted").when(~F.coalesce(N.is_gap(v), F.lit(True)), F.concat(F.lit("value invented: "), N.text_of(v)))
     df = df.withColumns({"__found": S.findings(F.col("input"), note), "__leaked": P.leaks(note, F.col("forbidden"))})
-    found, leaked = F.col("__found"), F.col("__leaked")
-    why = (
-        F.when(F.col("suite") == "fabrication", F.when(F.size(found) > 0, F.array_join(found, "; ")))
-        .when(F.col("suite") == "pii_leakage", F.when(F.size(leaked) > 0, F.array_join(leaked, "; ")))
-        .otherwise(missed)
-    )
+    why = case_reason(note, F.col("__found"), F.col("__leaked"))
     return N.once(df, __why=F.struct(why.alias("reason"))).select(*scored.columns, F.col("__why.reason").alias("reason"), F.col("__why.reason").isNull().alias("passed"))
 
 
+def rates_rollup(scores: DataFrame) -> DataFrame:
+    """Rates overall and by stratum in one pass: overall (1 for the row of all, whose stratum is null), stratum, n, rates, overall_pass.
+
+    A null stratum is a group of its own; ``overall`` tells it from the row of all.
+    An empty table has no rows here (``overall_rates`` gives one of it).
+    """
+    rates = [S.rate(F.col(c)).alias(c) for c in RATES]
+    rolled = scores.rollup("stratum").agg(F.grouping("stratum").cast("int").alias("overall"), F.count(F.lit(1)).alias("n"), *rates, S.rate(F.col("passed")).alias("overall_pass"))
+    return rolled.select("overall", "stratum", "n", *RATES, "overall_pass")
+
+
+def gate_rows(cases: DataFrame) -> DataFrame:
+    """The gates of drafts that are suite cases too (``example_scores(..., cases=True)``): rates over all and by suite are grouping sets of one pass."""
+    sets = cases.groupingSets([["suite"], []], "suite").agg(
+        F.grouping("suite").alias("overall"), F.count(F.lit(1)).alias("total"), F.sum(F.col("case_passed").cast("int")).alias("won"), *[S.rate(F.col(c)).alias(c) for c in RATES]
+    )
+    everything = F.col("overall") == 1
+    of_suite = lambda s: F.max(F.when(~everything & (F.col("suite") == s), F.col("won") / F.col("total")))
+    one = sets.agg(*[F.max(F.when(everything, F.col(c))).alias(c) for c in RATES], *[F.coalesce(of_suite(s), F.lit(1.0)).alias(f"suite_{s}") for s in SUITES])
+    return gate_list(one.select(*[F.coalesce(c, F.lit(1.0)).alias(c) for c in RATES], *[f"suite_{s}" for s in SUITES]))
+
+
 def gates(rates: DataFrame, suites: DataFrame) -> DataFrame:
     """The eight gates: name, value, threshold, hard, passed. A gate holds if its unrounded value reaches the target."""
     pivot = suites.agg(*[F.coalesce(F.max(F.when(F.col("suite") == s, F.col("pass_rate"))), F.lit(1.0)).alias(f"suite_{s}") for s in SUITES])
+    return gate_list(rates.withColumn("__one", F.lit(1)).join(pivot.withColumn("__one", F.lit(1)), "__one"))  # a row each
+
+
+def gate_list(one: DataFrame) -> DataFrame:
+    """A row for each gate, from one row with all rates."""
     source = {"structural_compliance": "structural", "professional_register": "register", "strata_faithfulness": "faithful", "strata_pii_clean": "pii_clean", "strata_billable_evidence": "billable"}
     rows = [F.struct(F.lit(i).alias("place"), F.lit(name).alias("name"), F.col(source.get(name, name)).alias("value"), F.lit(target).alias("threshold"), F.lit(hard).alias("hard")) for i, (name, target, hard) in enumerate(GATES)]
-    one = rates.withColumn("__one", F.lit(1)).join(pivot.withColumn("__one", F.lit(1)), "__one")  # a row each
     return one.select(F.inline(F.array(*rows))).withColumn("passed", F.col("value") >= F.col("threshold"))
 
 
@@ -106,42 +145,61 @@ def release_ok(gate_rows: DataFrame) -> DataFrame:
 
 #: Ranges of values that a group's windows are cut into.
 SLICES = 256
+#: Rows of a few numbers each that may be broadcast.
+FEW = 100_000
 
 
 def latency_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """n, mean, p50, p95, max by group; a quantile is the value at place floor(q (n - 1)) of the sorted values.
 
-    Values are counted first, so a group is as many rows as it has different
-    values, and ranked by running counts over ranges of them: about equal shares of
-    each group, by its approximate quantiles, so that no window holds a whole group
-    whatever its values are. A group that is all zero is left out.
+    The table is scanned once: values are counted, so a group is as many rows as it
+    has different values, and the counts are written. From these come, in one
+    aggregate, a group's totals and the bounds of its slices (about equal shares of
+    its values); then the weight of each slice; then only the two slices that hold a
+    quantile are sorted, so that no window holds a group, whatever its values are.
+    A group that is all zero is left out.
     """
-    from pyspark.sql import Window
-
-    keys = [by or "__all"]
-    df = (df if by else df.withColumn("__all", F.lit(1))).filter(F.col(value).isNotNull())
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), 4 * SLICES).alias("__bounds"))
-    counts = counts.join(bounds, keys).withColumn("slice", F.size(F.filter("__bounds", lambda b: b < F.col(value)))).drop("__bounds")
-    slices = counts.groupBy(*keys, "slice").agg(F.sum("c").alias("in_slice"))
-    order = Window.partitionBy(*keys).orderBy("slice")
-    before = slices.withColumn("before", F.sum("in_slice").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(*keys, "slice", F.coalesce("before", F.lit(0).cast("long")).alias("before"))
-    inside = Window.partitionBy(*keys, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(before, [*keys, "slice"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
-    totals = counts.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.max(value).alias("max"), F.max(F.abs(value)).alias("any"))
-    both = ranked.join(totals, keys)
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value)))
-    r3 = lambda c: F.round(c, 3)
-    out = both.filter("any > 0").groupBy(*keys, "n").agg(r3(F.first("mean")).alias("mean"), r3(at(0.5)).alias("p50"), r3(at(0.95)).alias("p95"), r3(F.first("max")).alias("max"))
-    return out.select(*([by] if by else []), "n", "mean", "p50", "p95", "max")
+    key = by or fresh_name(df, "__all")
+    v = F.col(value)
+    df = (df if by else df.withColumn(key, F.lit(1))).filter(v.isNotNull())
+    scratch = Scratch(df.sparkSession, "latency")
+    counts = scratch.write(df.groupBy(F.col(key).alias("key"), v.alias("v")).agg(F.count(F.lit(1)).alias("c")), "counts")
+    cuts = F.percentile_approx("v", F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), 4 * SLICES).alias("bounds")
+    totals = counts.groupBy("key").agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("max"), F.max(F.abs("v")).alias("any"), cuts)
+    totals = scratch.write(totals.filter("any > 0"), "totals")
+    sliced = counts.join(totals.select(F.col("key").alias("of"), "bounds"), F.col("key").eqNullSafe(F.col("of"))).select("of", "v", "c", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("slice"))
+    weights = sliced.groupBy("of", "slice").agg(F.sum("c").alias("weight"))
+    upto = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    ends = weights.withColumn("end", F.sum("weight").over(upto)).join(totals.select("key", "n"), F.col("of").eqNullSafe(F.col("key")))
+    place = lambda q: F.floor(F.lit(q) * (F.col("n") - 1))
+    begin = F.col("end") - F.col("weight")
+    wanted = ends.filter(" OR ".join(f"(floor({q} * (n - 1)) >= end - weight AND floor({q} * (n - 1)) < end)" for q in ("0.5D", "0.95D")))
+    wanted = scratch.write(wanted.select(F.col("of").alias("in"), F.col("slice").alias("at"), begin.alias("begin"), "n"), "wanted")  # two rows a group at most
+    inside = Window.partitionBy("of", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sliced.join(F.broadcast(wanted), F.col("of").eqNullSafe(F.col("in")) & (F.col("slice") == F.col("at"))) if wanted.count() <= FEW else sliced.join(wanted, F.col("of").eqNullSafe(F.col("in")) & (F.col("slice") == F.col("at")))
+    ranked = ranked.withColumn("upto", F.col("begin") + F.sum("c").over(inside))
+    at = lambda q: F.min(F.when((F.col("begin") <= place(q)) & (F.col("upto") > place(q)), F.col("v")))
+    found = ranked.groupBy("of").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    r3 = lambda c: F.round(c, 3).alias(c)
+    out = totals.join(found, F.col("key").eqNullSafe(F.col("of")))
+    return out.select(*([F.col("key").alias(by)] if by else []), "n", r3("mean"), r3("p50"), r3("p95"), r3("max"))
+
+
+def agreement_sums(human: Column, judge: Column, name: str) -> list[Column]:
+    """Aggregates that agreement takes: n, accuracy (1 of none), and how often either rater says yes."""
+    h, j = human.cast("int"), judge.cast("int")
+    return [F.count(F.lit(1)).alias(f"n_{name}"), S.rate(h == j).alias(f"accuracy_{name}"), F.avg(h).alias(f"ph_{name}"), F.avg(j).alias(f"pj_{name}")]
+
+
+def kappa_of(name: str) -> Column:
+    """Cohen's kappa (NaN if either rater is constant)."""
+    accuracy, ph, pj = (F.col(f"{c}_{name}") for c in ("accuracy", "ph", "pj"))
+    chance = ph * pj + (1 - ph) * (1 - pj)
+    constant = F.coalesce(ph.isin(0.0, 1.0) | pj.isin(0.0, 1.0), F.lit(True))
+    return F.when(constant, F.lit(float("nan"))).otherwise(F.try_divide(accuracy - chance, 1 - chance))
 
 
 def agreement(rows: DataFrame) -> DataFrame:
-    """Accuracy (1 of none) and Cohen's kappa (NaN if either rater is constant) of ``human`` and ``judge``."""
-    h, j = F.col("human").cast("int"), F.col("judge").cast("int")
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), S.rate(h == j).alias("accuracy"), F.avg(h).alias("ph"), F.avg(j).alias("pj"))
-    chance = F.col("ph") * F.col("pj") + (1 - F.col("ph")) * (1 - F.col("pj"))
-    constant = F.coalesce(F.col("ph").isin(0.0, 1.0) | F.col("pj").isin(0.0, 1.0), F.lit(True))
-    kappa = F.when(constant, F.lit(float("nan"))).otherwise(F.try_divide(F.col("accuracy") - chance, 1 - chance))
-    return sums.select("n", "accuracy", kappa.alias("kappa"))
+    """n, accuracy and kappa of ``human`` and ``judge``."""
+    sums = rows.agg(*agreement_sums(F.col("human"), F.col("judge"), "both"))
+    return sums.select(F.col("n_both").alias("n"), F.col("accuracy_both").alias("accuracy"), kappa_of("both").alias("kappa"))

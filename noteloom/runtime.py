@@ -100,6 +100,11 @@ def _sweep() -> None:
 MOST_NAMES = 32 << 20
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -108,17 +113,31 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def scans_parquet(df: DataFrame) -> bool:
-    """Whether ``df`` is rows and columns of one set of Parquet files, picked without chance."""
+def parquet_relation(df: DataFrame):
+    """The relation if ``df`` is rows and columns of one set of Parquet files, picked without chance; else None."""
     node = df._jdf.queryExecution().analyzed()
     if not node.deterministic():
-        return False
+        return None
     while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().apply(0)
     if node.getClass().getSimpleName() != "LogicalRelation" or node.isStreaming():
-        return False
+        return None
     relation = node.relation()
-    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+    parquet = relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+    return relation if parquet else None
+
+
+def scans_parquet(df: DataFrame) -> bool:
+    return parquet_relation(df) is not None
+
+
+def numberable(df: DataFrame) -> bool:
+    """Whether a row's file and its place there tell it from all others: each file is scanned once, and no data column hides ``_metadata``."""
+    relation = parquet_relation(df)
+    if relation is None or "_metadata" in {c.lower() for c in (*df.columns, *relation.schema().fieldNames())}:
+        return False
+    scanned = list(relation.location().inputFiles())
+    return len(set(scanned)) == len(scanned)
 
 
 def numbered(df: DataFrame, scratch: Scratch, uid: str = "uid", name: str = "numbered", most_names: int = MOST_NAMES) -> DataFrame:
@@ -126,11 +145,13 @@ def numbered(df: DataFrame, scratch: Scratch, uid: str = "uid", name: str = "num
 
     A row of a Parquet scan is numbered by its file (of the sorted names, which are
     broadcast if they are within ``most_names``) and its place in it, however the
-    scan is cut into tasks. The rows of any other plan, or of more files, are
+    scan is cut into tasks. The rows of any other plan, of more files, of files that
+    are scanned more than once, or with a column ``_metadata`` of their own, are
     written once with their numbers, and that table is read from then on.
     """
     spark = df.sparkSession
-    if scans_parquet(df):
+    own = [F.col(quoted(c)) for c in df.columns]
+    if numberable(df):
         files = sorted({re.sub(r"^([\w+.-]+):///", r"\1:/", f) for f in df.inputFiles()})  # as the scan spells them
         some = df.select("_metadata.file_path").first() if files and sum(map(len, files)) <= most_names else None
         if some is not None and some.file_path in files:
@@ -138,5 +159,5 @@ def numbered(df: DataFrame, scratch: Scratch, uid: str = "uid", name: str = "num
             names = spark.createDataFrame([(f, i) for i, f in enumerate(files)], f"{path} string, {number} long")
             placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)).join(F.broadcast(names), F.col(file) == F.col(path), "left")
             known = F.coalesce(F.shiftleft(F.col(number), 40), F.raise_error(F.lit("a file of the scan isn't among its files")).cast("long")) + F.col(row)
-            return placed.select(*[F.col(f"`{c}`") for c in df.columns], known.alias(uid))
+            return placed.select(*own, known.alias(uid))
     return scratch.write(df.withColumn(uid, F.monotonically_increasing_id()), name)

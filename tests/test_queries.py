@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
-NAMES = ("parse_json_note", "kv_parse", "deid_types", "guard_scrub", "per_stratum", "gates", "latency_stats", "dedup_first", "stratified_split", "golden_lookup", "synth_records")
+NAMES = ("parse_json_note", "kv_parse", "deid_types", "guard_scrub", "per_stratum", "all_notes_gates", "latency_stats", "dedup_first", "stratified_split", "golden_lookup", "synth_records")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")

@@ -52,3 +52,24 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         runtime.shared_folder(Far)
+
+
+def test_files_that_are_scanned_twice(spark, table, tmp_path):
+    """Each reading of a file's row is a row of its own, with a number of its own."""
+    path = tmp_path / "odd name%é" / "t.parquet"
+    for df in (spark.read.parquet(str(path), str(path)), spark.read.parquet(str(path), str(next(path.glob("part*.parquet"))))):
+        assert scans_parquet(df) and not runtime.numberable(df)
+        made = numbered(df, Scratch(spark, "test"), "row_number")
+        assert made.select("row_number").distinct().count() == df.count() > 1000
+        assert sorted(made.collect()) == sorted(made.collect())
+    assert runtime.numberable(table) and runtime.numberable(table.filter("id < 5").select("id"))
+
+
+@pytest.mark.parametrize("name", ["_metadata", "_METADATA", "a.b", "a`b"])
+def test_odd_names(spark, tmp_path, name):
+    df = spark.range(50).select("id", F.col("id").alias(name))
+    df.repartition(3).write.parquet(str(tmp_path / "t"))
+    for t in (spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "t")).select("id")):
+        made = numbered(t, Scratch(spark, "test"), "row_number")
+        assert made.columns == [*t.columns, "row_number"] and made.select("row_number").distinct().count() == 50
+        assert all(r[0] == r[-2] for r in made.collect())
