@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from noteloom.functions import notes as N
 from noteloom.operators.drafting import Transform, batched
 from noteloom.plans.scoring import agreement_sums, kappa_of
+from noteloom.runtime import Scratch, fresh_name
 
 #: For each question: the key of the verdict, and of the list of what speaks against the note.
 QUESTIONS = {"faithful": ("is_faithful", "fabricated_claims"), "register": ("meets_register", "issues"), "billable": ("present", None)}
@@ -36,8 +37,8 @@ def _strings(raw: Column) -> Column:
     return raw.isNull() | F.schema_of_variant(raw).isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(F.filter(F.try_variant_get(raw, "$", "array<variant>"), lambda x: F.schema_of_variant(x) != "STRING")) == 0)
 
 
-def verdict(reply: Column, question: str) -> Column:
-    """Whether a reply says so; false for a reply that isn't what was asked for.
+def read_verdict(reply: Column, question: str) -> Column:
+    """Whether a reply says so; null for a reply that isn't what was asked for.
 
     The object must hold the verdict as a boolean or a word or number for one, its
     list, if there, must hold strings, a score must lie from 0 to 1, and reasoning
@@ -51,16 +52,78 @@ def verdict(reply: Column, question: str) -> Column:
         fine = fine & _strings(of(items))
     if question == "register":
         fine = fine & (of("score").isNull() | F.coalesce(F.try_variant_get(of("score"), "$", "double").between(0, 1), F.lit(False)))
-    return F.coalesce(fine & _truth(of(key)), F.lit(False))
+    return F.when(fine, _truth(of(key)))
+
+
+def verdict(reply: Column, question: str) -> Column:
+    """:func:`read_verdict`; false for a reply that can't be read."""
+    return F.coalesce(read_verdict(reply, question), F.lit(False))
+
+
+def said(reply: Column, question: str) -> Column:
+    """What a reply says beside its verdict: items (claims that the source doesn't hold, or issues), score, reasoning.
+
+    Of a reply that can't be read the list is empty and the rest null; ``score`` is
+    the register's.
+    """
+    _, items = QUESTIONS[question]
+    note = F.from_json(N.json_text(reply), "map<string,variant>")
+    of = lambda k, kind: F.try_variant_get(F.try_element_at(note, F.lit(k)), "$", kind)
+    none = F.array().cast("array<string>")
+    readable = read_verdict(reply, question).isNotNull()
+    found = F.coalesce(of(items, "array<string>"), none) if items else none
+    return F.struct(
+        F.when(readable, found).otherwise(none).alias("items"),
+        (F.when(readable, of("score", "double")) if question == "register" else F.lit(None).cast("double")).alias("score"),
+        F.when(readable, of("reasoning", "string")).alias("reasoning"),
+    )
 
 
-def replies_judge(ask: Callable[[Iterator], Iterator]) -> Transform:
-    """A judge from a function over batches that adds a column ``<question>_reply`` for each question; adds the verdicts."""
-    added = ", ".join(f"{q}_reply string" for q in QUESTIONS)
+REPLIES = ", ".join(f"{q}_reply string" for q in QUESTIONS)
+
+
+def verdicts(df: DataFrame, with_said: bool) -> DataFrame:
+    """Verdicts in place of the replies; with ``with_said`` also a struct ``<question>_said`` for each."""
+    made = {q: verdict(F.col(f"{q}_reply"), q) for q in QUESTIONS}
+    more = {f"{q}_said": said(F.col(f"{q}_reply"), q) for q in QUESTIONS} if with_said else {}
+    return df.withColumns(made | more).drop(*[f"{q}_reply" for q in QUESTIONS])
+
+
+def replies_judge(ask: Callable[[Iterator], Iterator], with_said: bool = False) -> Transform:
+    """A judge from a function over batches that adds a column ``<question>_reply`` for each question; adds the verdicts (``verdicts``)."""
+    return lambda df: verdicts(batched(ask, REPLIES)(df), with_said)
+
+
+def judge_once(ask: Callable[[Iterator], Iterator], retries: int = 2, with_said: bool = False) -> Transform:
+    """As :func:`replies_judge`, but each distinct (input, draft) is asked about once, however many rows have it.
+
+    A question whose reply can't be read is asked again, up to ``retries`` times, and
+    counts against the note after that; others aren't. Replies are written, so that
+    no later use of the result asks again (a task that is repeated for a lost executor
+    does). Null inputs and drafts are values of their own. Distinct pairs come from a
+    map-side aggregate; replies are joined back as a written table, so that a pair
+    that many rows share can be split.
+    """
 
     def run(df: DataFrame) -> DataFrame:
-        asked = batched(ask, added)(df)
-        return asked.withColumns({q: verdict(F.col(f"{q}_reply"), q) for q in QUESTIONS}).drop(*[f"{q}_reply" for q in QUESTIONS])
+        scratch = Scratch(df.sparkSession, "judge")
+        pair, key = ["input", "draft"], fresh_name(df, "__pair")
+        sized = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in pair]
+        keyed = df.withColumn(key, F.sha2(F.concat(*sized), 256))
+        open_ = scratch.write(keyed.groupBy(F.col(key).alias("key")).agg(*[F.first(c).alias(c) for c in pair]), "asked0")
+        replies, readable = [F.col(f"{q}_reply") for q in QUESTIONS], F.lit(True)
+        for q in QUESTIONS:
+            readable = readable & read_verdict(F.col(f"{q}_reply"), q).isNotNull()
+        done = None
+        for k in range(retries + 1):
+            got = scratch.write(batched(ask, REPLIES)(open_).withColumn("readable", readable), f"replies{k}")
+            final = (got if k == retries else got.filter("readable")).select("key", *replies)
+            done = final if done is None else done.unionByName(final)
+            open_ = got.filter("NOT readable").select("key", *pair)
+            if k < retries and open_.isEmpty():
+                break
+        joined = keyed.join(done.withColumnRenamed("key", key), key).drop(key)
+        return verdicts(joined, with_said)
 
     return run
 
