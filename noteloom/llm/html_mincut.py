@@ -36,23 +36,28 @@ BLOCKS = frozenset(
     "legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template xmp svg math object".split())
+RAW = frozenset("script style textarea title template xmp svg object annotation annotation-xml".split())
 #: An opening tag of the first kind closes an open element of the second, up to its container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that an inline end tag, or a new paragraph, doesn't look beyond.
 WALLS = frozenset("article aside body button dd div dl fieldset figure footer form header html li main menu nav ol section select table td th ul".split())
 TABLES = frozenset("dl ol select table ul".split())
-FOREIGN = frozenset(("svg", "math"))
+FOREIGN = frozenset(("svg",))
+#: Of the raw ones, those that end where what they stand in ends, or a block begins, if they aren't closed.
+BOUNDED = frozenset(("svg", "object"))
+FORMS, FIELDS = frozenset(("form", "fieldset")), frozenset("input select textarea button".split())
 
-LANDMARKS = frozenset("nav footer aside form menu button select dialog noscript iframe canvas head fieldset optgroup".split())
+LANDMARKS = frozenset("nav footer aside menu button select dialog noscript iframe canvas head optgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
 #: Words of classes and ids that mean clutter, on their own or with words of ``PLAIN``.
 CLUTTER = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promoted cookie cookies consent gdpr ccpa popup modal newsletter subscribe signup login signin "
-    "breadcrumb breadcrumbs menu submenu nav navbar navigation toolbar topbar masthead header footer colophon copyright sidebar sidebars comment comments commentlist disqus pagination pager outbrain taboola banner banners".split()
+    "breadcrumb breadcrumbs menu submenu nav navbar navigation toolbar topbar masthead header footer colophon copyright sidebar sidebars comment comments commentlist disqus pagination pager outbrain taboola banner banners "
+    # the same in German, French and Spanish
+    "werbung anzeige anzeigen kommentar kommentare seitenleiste fusszeile kopfzeile impressum hauptmenue publicite publicites commentaire commentaires piedpage entete publicidad anuncio anuncios comentario comentarios encabezado".split()
 )
 #: Words that often mean clutter, and may be what a text is about.
-DOUBTFUL = frozenset("promotion notice notices alert overlay lightbox subscription register search foot side rail widget widgets related recommended recommendations more share sharing social discussion reply replies respond paging skip toc".split())
+DOUBTFUL = frozenset("promotion notice notices alert overlay lightbox subscription register search foot side rail widget widgets related recommended recommendations more share sharing social discussion reply replies respond paging skip toc thread threads response responses reactions feedback hinweis hinweise meldung avis avertissement aviso avisos suche recherche buscar".split())
 PLAIN = frozenset(
     "site page main top bottom left right list box area wrap wrapper container section block item bar inner outer primary secondary global form link links unit slot text content group panel row col column div body title head heading "
     "post posts article articles story stories button buttons icon icons id js the and widget block".split()
@@ -69,16 +74,36 @@ LINES = frozenset("p h1 h2 h3 h4 h5 h6 span a b i em strong blockquote pre".spli
 # Log odds; the prior is one for pages with an article and one for pages without.
 PRIOR, PRIOR_WITHOUT, LANDMARK, CLEAR, UNCLEAR, HINT, IN_ARTICLE, OUT_OF_ARTICLE = -1.0, 0.3, -6.0, -6.0, -4.0, -1.0, 1.5, -2.5
 BORDER = 0.15
+IN_LIST = 1.4
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _QUOTE = re.compile(r"=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=\"'<>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: What a short line says that speaks for a notice, in the languages above.
+_OWNER = re.compile(r"(©|\(c\)|copyright\b)", re.I)
+_RIGHTS = re.compile(r"\b(all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\b", re.I)
+_COOKIES = re.compile(r"\bcookies?\b", re.I)
+_CONSENT = re.compile(r"\b(we use|uses? cookies|accept|consent|agree|policy|preferences|verwende[nt]|nutzen|akzeptieren|einverstanden|utilis(e|ons|er)|accepter|utiliza(mos)?|aceptar)\b", re.I)
+_HIDDEN = re.compile(r"\btype\s*=\s*[\"']?hidden", re.I)
 _END = re.compile(r"[.!?…:;][\"'»”’)\]]*$")
 
 
 class Block:
-    __slots__ = ("text", "linked", "parent", "grand", "tag", "mark", "article", "content", "region", "order")
+    __slots__ = ("text", "linked", "parent", "grand", "tag", "mark", "article", "content", "region", "order", "form")
+
+
+class Form:
+    """A form or set of fields: what it holds says whether it is one, or the frame of a page."""
+
+    __slots__ = ("above", "chars", "lines", "fields", "article")
+
+    def __init__(self, above: int):
+        self.above, self.chars, self.lines, self.fields, self.article = above, 0, 0, 0, False
+
+    def is_form(self) -> bool:
+        """No article begins in it, and what text it has is little for its fields. lines: blocks of some length that end as sentences do."""
+        return not self.article and self.lines < 2 + self.fields // 4 and self.chars <= 60 + 80 * self.fields
 
 
 def tag_end(page: str, at: int) -> int:
@@ -125,18 +150,19 @@ def _mark(tag: str, attrs: str, above, number: int):
     if attrs and not attrs.isspace():
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
         names = [n for key in ("class", "id") if key in found for n in entities.unescape(found[key]).split()]
+        anchors = entities.unescape(found.get("id", "")).split() if tag == "section" else ()  # a part of a text is named for what it is about
         if tag in ("article", "main"):
             if any(w.lower() in ARTICLE_CLUTTER for n in names for w in _WORD.findall(n)):
                 own = CLEAR
         elif tag not in ("html", "body"):
-            own = min([own, *(named(n, tag in LINES, article) for n in names)])
+            own = min([own, *(max(0.0, x) if n in anchors and x > CLEAR else x for n in names for x in [named(n, tag in LINES, article)])])
         role = found.get("role", "").lower()
         if role in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
             own = LANDMARK
         if not article and (role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"):
             article, region = True, number
         content = content or any(w.lower() in CONTENT for n in names for w in _WORD.findall(n))
-    if own <= UNCLEAR:
+    if own <= UNCLEAR or tag in FORMS:
         region = number
     return min(mark, own), article, content, region
 
@@ -144,10 +170,10 @@ def _mark(tag: str, attrs: str, above, number: int):
 class _Open:
     """An open element: what to know of it and of those above it without a walk up the stack."""
 
-    __slots__ = ("tag", "marks", "wall", "row", "holder", "parent", "grand")
+    __slots__ = ("tag", "marks", "wall", "row", "holder", "parent", "grand", "form")
 
-    def __init__(self, tag: str, number: int, marks, at: int, above: "_Open | None"):
-        self.tag, self.marks = tag, marks
+    def __init__(self, tag: str, number: int, marks, at: int, above: "_Open | None", form: int):
+        self.tag, self.marks, self.form = tag, marks, form
         self.wall = at if tag in WALLS else above.wall if above else 0  # nearest that inline elements and paragraphs don't close
         self.row = at if tag in TABLES else above.row if above else 0
         if tag in BLOCKS:
@@ -159,11 +185,13 @@ class _Open:
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with the marks of the elements that hold them. The time is in proportion to the page, however deep it is."""
     out: list[Block] = []
-    stack = [_Open("", 0, (0.0, False, False, 0), 0, None)]
+    forms = [Form(-1)]  # the first is the page
+    stack = [_Open("", 0, (0.0, False, False, 0), 0, None, 0)]
     places: dict[str, list[int]] = {}  # of the open elements of each name
+    unclosed: set[str] = set()
     number = links = 0
     text: list[str] = []
-    linked = 0
+    linked = muted = 0  # muted: place of an open element whose text isn't read
 
     def flush() -> None:
         nonlocal linked
@@ -175,24 +203,31 @@ def blocks_of(page: str) -> list[Block]:
             b.text, b.linked, b.order = words, linked, len(out)
             b.tag, b.parent, b.grand = top.holder, top.parent, top.grand
             b.mark, b.article, b.content, b.region = top.marks
+            b.form = top.form
+            if b.mark > UNCLEAR:
+                forms[b.form].chars += len(words)
+                forms[b.form].lines += words.count(" ") > 6 and _END.search(words) is not None
             out.append(b)
         linked = 0
 
     def add(part: str) -> None:
         nonlocal linked
+        if muted:
+            return
         text.append(part)
         if links:
             linked += len(part.strip())
 
     def close(names, wall: int = 0) -> None:
         """Close the innermost open element of one of ``names`` and all in it, if it stands above the place ``wall``."""
-        nonlocal links
+        nonlocal links, muted
         at = max((places[n][-1] for n in names if places.get(n)), default=0)
         if at > wall:
             for e in reversed(stack[at:]):
                 places[e.tag].pop()
                 links -= e.tag == "a"
             del stack[at:]
+            muted = 0 if at <= muted else muted
 
     at = 0
     size = len(page)
@@ -237,8 +272,14 @@ def blocks_of(page: str) -> list[Block]:
             elif tag == "br":
                 add(" ")
             continue
-        if tag in RAW and not (attrs.endswith("/") and tag in FOREIGN):
-            shut = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
+        if tag in FIELDS and not _HIDDEN.search(attrs):
+            forms[stack[-1].form].fields += 1
+        shut = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at) if tag in RAW and not (attrs.endswith("/") and tag in FOREIGN) and tag not in unclosed else None
+        if tag in RAW and shut is None and tag in BOUNDED and not attrs.endswith("/"):
+            unclosed.add(tag)  # nor is any after it
+            if not muted:
+                muted = len(stack)
+        elif tag in RAW and not (attrs.endswith("/") and tag in FOREIGN):
             if shut is None:
                 break
             gt = page.find(">", shut.end())
@@ -247,6 +288,8 @@ def blocks_of(page: str) -> list[Block]:
                 add(" ")
             continue
         if tag in BLOCKS:
+            if muted:
+                close((stack[muted].tag,))
             flush()
             if tag != "option":
                 close(("p",), stack[-1].wall)
@@ -257,9 +300,35 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCKS):
             number += 1
             places.setdefault(tag, []).append(len(stack))
-            stack.append(_Open(tag, number, _mark(tag, attrs, stack[-1].marks, number), len(stack), stack[-1]))
+            form = stack[-1].form
+            if tag in FORMS:
+                forms.append(Form(form))
+                form = len(forms) - 1
+            marks = _mark(tag, attrs, stack[-1].marks, number)
+            forms[form].article |= marks[1] and not stack[-1].marks[1]
+            stack.append(_Open(tag, number, marks, len(stack), stack[-1], form))
             links += tag == "a"
     flush()
+    for f in reversed(forms[1:]):  # what a form holds, all that hold it do
+        above = forms[f.above]
+        above.chars, above.lines, above.fields, above.article = above.chars + f.chars, above.lines + f.lines, above.fields + f.fields, above.article or f.article
+    real = [False]
+    for f in forms[1:]:
+        real.append(real[f.above] or f.is_form())
+    for b in out:
+        if real[b.form]:
+            b.mark = min(b.mark, LANDMARK)
+    return out
+
+
+def lists_of(blocks: list[Block]) -> list[tuple[int, int]]:
+    """The runs of items of one list: (first, end)."""
+    out, first = [], 0
+    for i in range(1, len(blocks) + 1):
+        if i == len(blocks) or blocks[i].tag != "li" or blocks[first].tag != "li" or blocks[i].grand != blocks[first].grand:
+            if blocks[first].tag == "li":
+                out.append((first, i))
+            first = i
     return out
 
 
@@ -267,8 +336,9 @@ def scores(blocks: list[Block]) -> list[float]:
     """Log odds of being content. The weights are set by hand, so that what may be read in two ways ends up near 0."""
     main = [b for b in blocks if b.article and b.mark > UNCLEAR]
     inside, short = bool(main), max((b.text.count(" ") for b in main), default=9) < 7  # where no line is long, length and full stops say nothing
+    listed = {i for first, end in lists_of(blocks) if end - first > 1 and blocks[first].article for i in range(first, end)}  # that items are short, or links, is no mark there
     out = []
-    for b in blocks:
+    for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         s = b.mark + (PRIOR if inside else PRIOR_WITHOUT)
         if b.article:
@@ -278,18 +348,24 @@ def scores(blocks: list[Block]) -> list[float]:
         if b.content:
             s += 1.0
         s += {"h1": 1.0, "p": 0.5, "blockquote": 0.5, "pre": 0.5, "li": -0.3}.get(b.tag, 0.3 if b.tag in ("h2", "h3", "h4", "dd", "figcaption", "td") else 0.0)
-        if not (short and b.article):
+        if not (short and b.article) and not (i in listed and words < 8):
             s += min(1.5, math.log2(1 + words) / 2 - 1.5)
             s += 0.7 if _END.search(b.text) else -0.3
-        s -= (1.5 if b.article else 3.0) * min(1.0, b.linked / max(1, len(b.text)))
-        if words < 40 and re.match(r"(©|\(c\)|copyright\b)", b.text, re.I):
+        s -= (0.15 if i in listed else 1.5 if b.article else 3.0) * min(1.0, b.linked / max(1, len(b.text)))
+        if words < 40 and (_OWNER.match(b.text) or not b.article and _RIGHTS.search(b.text)):
             s -= 4
+        if words < 60 and _COOKIES.search(b.text) and _CONSENT.search(b.text):
+            s -= 2 if b.article else 4
         out.append(s)
     return out
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: to the next block of the page, and to the next one with the same parent or grandparent."""
+    """Smoothness edges: to the next block of the page, and to the next one with the same parent or grandparent.
+
+    The items of a list within an article are also tied to the blocks before and after
+    it, each with its part of what ties the list.
+    """
     edges: dict[tuple[int, int], float] = {}
     parents: dict[int, int] = {}
     grands: dict[int, int] = {}
@@ -302,6 +378,11 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
         for j, w in ties:
             edges[j, i] = edges.get((j, i), 0) + (w if blocks[j].region == b.region else w * BORDER)
         parents[b.parent] = grands[b.grand] = i
+    for first, end in lists_of(blocks):
+        for k in range(first, end) if blocks[first].article else ():
+            for a, c in ((first - 1, k), (k, end)):
+                if a >= 0 and c < len(blocks) and blocks[a].region == blocks[c].region:
+                    edges[a, c] = edges.get((a, c), 0) + IN_LIST / (end - first)
     return [(i, j, w) for (i, j), w in edges.items()]
 
 
