@@ -25,9 +25,10 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm.ordering import ordered
 from noteloom.llm.word_ids import batches_by_size
 from noteloom.runtime import Scratch, numbered, ship
 
@@ -190,7 +191,9 @@ def further_lines(runs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFra
     """(uid, lines to delete) from the alignments of what ``gone`` leaves over with its further earlier holders; None if nothing is left over.
 
     A round takes the next holders of each left run, up to four times as far down
-    the run's list. Both arguments are written tables.
+    the run's list, and only for lines that no round before has placed. At worst, where
+    no two holders of a line have its surroundings in common, the rounds come to as
+    many pairs as the line has open rows and holders. Both arguments are written tables.
     """
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("uid").alias("uid"))
     left = gone.select("uid", "gone", F.explode("left").alias("run")).select("uid", F.col("run")[0].alias("first"), F.col("run")[1].alias("last"), "gone")
@@ -200,8 +203,9 @@ def further_lines(runs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFra
         return None
     # of holders with the same lines the earliest; numbered by place, the first holder (tried already) is 1
     held = runs.join(open_runs.select("k1", "k2").distinct(), ["k1", "k2"]).groupBy("k1", "k2", "lines").agg(F.min(place).alias("at"))
-    number = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("at"))
-    held = scratch.write(held.select("k1", "k2", "at", number.alias("number")), "held")
+    # by ranges and prefix sums, as one run may have a third of all rows as holders
+    held = ordered(scratch.write(held.select(F.struct("k1", "k2").alias("run"), "at"), "holding"), "run", ["at"], scratch, "holding")
+    held = scratch.write(held.select("run.k1", "run.k2", "at", (F.col("idx") + 1).alias("number")), "held")
     most = held.agg(F.max("number").alias("n")).first().n
     found, start = [], 2
     while start <= most and not open_runs.isEmpty():

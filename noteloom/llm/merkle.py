@@ -21,16 +21,15 @@ from __future__ import annotations
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm.ordering import ordered
 from noteloom.runtime import Scratch, ship
 
 FANOUT = 16
 #: Levels that one call collapses: buckets of 256 nodes.
 LEVELS = 2
-#: Ranges that leaves are dealt into: of this many rows, about.
-RANGE_ROWS = 20_000
 
 
 def digest(*parts: str) -> str:
@@ -78,21 +77,6 @@ def height(n: Column, fanout: int, most: int) -> Column:
     return sum((F.when(n > fanout**i, 1).otherwise(0) for i in range(most)), F.lit(0))
 
 
-def ordered(rows: DataFrame, group: str, by: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """``rows`` with ``idx`` (place in its group by ``by``, from 0) and ``n`` (size of the group), where a group may be any share of the rows."""
-    ranges = max(1, -(-rows.count() // RANGE_ROWS))
-    dealt = rows.repartitionByRange(ranges, group, *by).sortWithinPartitions(group, *by)
-    placed = scratch.write(dealt.select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), f"{name}_ranges")
-    pieces = placed.groupBy(group, "range").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(
-        F.col(group).alias("piece_of"), F.col("range").alias("piece"), "first", F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long")).alias("before"), F.sum("rows").over(Window.partitionBy(group)).alias("n")
-    )
-    pieces = scratch.write(pieces, f"{name}_pieces")
-    joined = placed.join(pieces, F.col(group).eqNullSafe(F.col("piece_of")) & (F.col("range") == F.col("piece")))
-    return joined.select(*rows.columns, (F.col("before") + F.col("at") - F.col("first")).alias("idx"), "n")
-
-
 class Tree:
     """Nodes (grp, idx, n, node) of many groups and the reductions over them; grp may be null."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteloom.llm.word_ids import Kept, batches_by_size, cache, chunked, cut_words
-from noteloom.runtime import fresh_name, ship
+from noteloom.runtime import Scratch, fresh_name, quoted, ship
 
 BUCKETS = 1 << 20
 SAMPLE = 16_000
@@ -37,6 +37,8 @@ ACCEPT = 0.7
 SHARE = 6.0
 LEAST = 3
 WIDEST = 8192
+#: Features of all rows that the fit takes.
+MOST_FEATURES = 8_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = frozenset(",.;:!?")
@@ -216,12 +218,14 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return known.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
-def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, widest: int = WIDEST) -> CumulativeLink | None:
+def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, widest: int = WIDEST, most: int = MOST_FEATURES) -> CumulativeLink | None:
     """Fit on the texts of the ``sample`` graded ids that hash lowest; None if they have fewer than two grades.
 
+    Of these, rows are taken in that order as long as they have ``most`` features at most in all.
+
     Of rows that share an id, the one whose text hashes lowest is taken (a null
     text counts as empty); one with over ``widest`` features is left out of the fit.
-    So at most ``sample`` rows of bounded size reach the driver, however often ids
+    So the driver gets at most ``sample`` rows and ``most`` features, however often ids
     repeat and however long texts are. Empty tables have no grades.
     """
     spark = docs.sparkSession
@@ -239,7 +243,14 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     once = rows.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "first.text", "grade")
-    got = once.mapInArrow(run, "doc_id long, grade int, at binary, values binary").collect()
+    found = Scratch(spark, "fit").write(once.mapInArrow(run, "doc_id long, grade int, at binary, values binary"), "features")
+    order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    sizes = found.select(order.alias("place"), (F.octet_length("at") / 4).cast("long").alias("n")).orderBy("place").collect()  # at most ``sample`` small rows
+    taken = int(np.searchsorted(np.cumsum([r.n for r in sizes]), most, side="right"))
+    if taken == 0:
+        return None
+    last = sizes[taken - 1].place
+    got = found.filter(order <= F.struct(F.lit(last.h).cast("long").alias("h"), F.lit(last.doc_id).cast("long").alias("doc_id"))).collect()
     got.sort(key=lambda r: (r.doc_id, r["at"], r["values"]))
     if len({r.grade for r in got}) < 2:
         return None
@@ -277,8 +288,11 @@ def score_quality(docs: DataFrame, model: CumulativeLink | None, id_col: str = "
             yield pa.RecordBatch.from_arrays([*cols, *own], names=[*batch.schema.names[:-1], *([carry] if carry else made.names)])
 
     if carry:
-        schema = T.StructType([*docs.schema.fields, T.StructField(carry, T.BooleanType())])
-        return docs.select("*", F.col(text_col).alias(fresh_name(docs, "__text"))).mapInArrow(run, schema)
+        # by place: an Arrow operator reads names as they are written, dots and all
+        plain = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema.fields)]
+        own = [F.col(quoted(c)).alias(f.name) for c, f in zip(docs.columns, plain)]
+        scored = docs.select(*own, F.col(text_col).alias("text")).mapInArrow(run, T.StructType([*plain, T.StructField(carry, T.BooleanType())]))
+        return scored.select(*[F.col(f.name).alias(c) for c, f in zip(docs.columns, plain)], carry)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm.word_ids import GROUP, Table, batches_by_size, cache, cut_lowered, keyed_ids, library_encoder, load_tokenizer
-from noteloom.runtime import qualified, ship
+from noteloom.runtime import parquet_relation, qualified, ship
 
 NO_ID = -(2**63)
 
@@ -78,12 +78,17 @@ def _writer(folder: str, vocabulary, end_id: int, width: int, cut):
     return run
 
 
+#: Bytes of input files that make a shard.
+SHARD_BYTES = 256 << 20
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, cut=cut_lowered) -> dict:
     """Encode every text, append ``end_id``, write the files in ascending id order; returns the manifest.
 
     A null text counts as empty (its end id is still written); a null id sorts
     first; rows with equal ids follow each other in the order of a hash of their
-    texts, and stay rows of their own. Texts are coded whole, however long. An empty
+    texts, and stay rows of their own. Without ``shards`` a table of
+    files gets one for every ``SHARD_BYTES`` at least. Texts are coded whole, however long. An empty
     table gives a manifest without shards. Columns other than those named aren't
     read, whatever their names.
     """
@@ -94,8 +99,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         data = f.read()
     width = 2 if max(load_tokenizer(data).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     vocabulary = spark.sparkContext.broadcast(data)  # one vocabulary file, whatever the corpus
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if shards is None:  # a shard is sorted and read by a task: as many as the files ask for, if the input is a table of files
+        relation = parquet_relation(docs)
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(relation.sizeInBytes()) // SHARD_BYTES) if relation else 1)
     # of equal ids by text and place, so that one that many rows share is dealt over shards too
     placed = rows.withColumns({"text_hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     sorted_rows = placed.repartitionByRange(shards, "doc_id", "text_hash", "place").sortWithinPartitions("doc_id", "text_hash", "place").select("doc_id", "text")
@@ -112,27 +119,43 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     return manifest
 
 
-class _Mapped:
-    """A file as an array: mapped where it is local, read where it isn't."""
+class _Array:
+    """A file of numbers of which ranges are read: mapped where it is local, asked for by range where it isn't."""
 
     def __init__(self, store, path: str, kind: str):
+        self.kind, self.width, self.mapped, self.file = kind, np.dtype(kind).itemsize, None, None
         if store.type_name == "local":
-            self.size = os.path.getsize(path)
             with open(path, "rb") as f:
-                self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if self.size else b""
+                self.mapped = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.path.getsize(path) else b"", kind)
         else:
-            with store.open_input_stream(path) as f:
-                self.data = f.read()
-        self.array = np.frombuffer(self.data, kind)
+            self.file = store.open_input_file(path)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[part]
+        return np.frombuffer(self.file.read_at((part.stop - part.start) * self.width, part.start * self.width), self.kind)
+
+
+#: Documents, and ids, that are read of a shard at a time (a document's ids always at once).
+READ_DOCS, READ_IDS = 4096, 1 << 20
 
 
 def read_shard(folder: str, shard: dict, width: int):
     """(doc_id, global start, ids as <u4 array) for each document of a shard."""
     store, at = _store(folder)
-    ids, offsets, docs = (_Mapped(store, f"{at}/{k}-{shard['shard']:05d}.bin", kind).array for k, kind in (("ids", f"<u{width}"), ("offsets", "<u8"), ("docs", "<i8")))
-    for i in range(shard["docs"]):
-        a, b = int(offsets[i]), int(offsets[i + 1])
-        yield None if docs[i] == NO_ID else int(docs[i]), shard["base"] + a, ids[a:b].astype("<u4")
+    ids, offsets, docs = (_Array(store, f"{at}/{k}-{shard['shard']:05d}.bin", kind) for k, kind in (("ids", f"<u{width}"), ("offsets", "<u8"), ("docs", "<i8")))
+    for i in range(0, shard["docs"], READ_DOCS):
+        end = min(i + READ_DOCS, shard["docs"])
+        names, ends = docs[i:end].tolist(), offsets[i : end + 1].astype(np.int64)
+        k = 0
+        while k < len(names):
+            # as many documents as hold READ_IDS ids, one at least
+            upto = max(k + 1, int(np.searchsorted(ends, ends[k] + READ_IDS, side="right")) - 1)
+            held, first = ids[int(ends[k]) : int(ends[upto])], int(ends[k])
+            for j in range(k, upto):
+                a, b = int(ends[j]), int(ends[j + 1])
+                yield None if names[j] == NO_ID else names[j], shard["base"] + a, held[a - first : b - first].astype("<u4")
+            k = upto
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: dict | None = None, with_ids: bool = False) -> DataFrame:

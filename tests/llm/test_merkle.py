@@ -99,15 +99,16 @@ def test_many_sources_and_proofs(spark):
 
 def test_no_task_holds_a_source(spark):
     """A source of a third of the rows is dealt over many ranges and buckets."""
-    from noteloom.llm import merkle
+    from noteloom.llm import ordering
+    from noteloom.runtime import Scratch
 
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("source"), F.col("id").alias("doc_id"))
-    was, merkle.RANGE_ROWS = merkle.RANGE_ROWS, 100
+    was, ordering.RANGE_ROWS = ordering.RANGE_ROWS, 100
     try:
-        scratch = merkle.Scratch(spark, "test")
-        placed = merkle.ordered(rows, "source", ["doc_id"], scratch, "x")
+        scratch = Scratch(spark, "test")
+        placed = ordering.ordered(rows, "source", ["doc_id"], scratch, "x")
         assert [r.idx for r in placed.filter("source = 'hot'").orderBy("doc_id").collect()] == list(range(1000))
         written = spark.read.parquet(f"{scratch.path}/x_ranges")
-        assert written.groupBy("range").count().agg(F.max("count")).first()[0] < 300
+        assert written.groupBy("__range").count().agg(F.max("count")).first()[0] < 300
     finally:
-        merkle.RANGE_ROWS = was
+        ordering.RANGE_ROWS = was

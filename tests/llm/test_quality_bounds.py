@@ -54,3 +54,25 @@ def test_clashing_names_stay(tables):
     assert kept.schema == docs.schema
     rows = kept.collect()
     assert 150 < len(rows) < 300 and all(r["__kept"] == r.doc_id and r["__text"] == "x" for r in rows)
+
+
+def test_odd_names_come_back(spark, tables):
+    docs, labels = tables
+    odd = docs.withColumnsRenamed({"__kept": "a.b", "__text": "c`d"}).withColumn("_metadata", F.lit(1)).withColumn("c0", F.lit("own"))
+    out = keep_good(odd, labels)
+    assert out.columns == odd.columns and out.schema.fieldNames() == odd.schema.fieldNames()
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in keep_good(docs, labels).collect()}
+    assert all((r["a.b"], r["c`d"], r["_metadata"], r.c0) == (r.doc_id, "x", 1, "own") for r in rows)
+
+
+def test_features_of_all_rows_are_bounded(spark, monkeypatch, tables):
+    docs, labels = tables
+    seen, model = rows_of_fit(monkeypatch, docs, labels)
+    every = sum(len(a) for a, _ in seen)
+    assert len(seen) == 200 and model is not None
+    monkeypatch.undo()
+    seen, model = rows_of_fit(monkeypatch, docs, labels, most=every // 2)
+    assert 60 < len(seen) < 140 and sum(len(a) for a, _ in seen) <= every // 2 and model is not None
+    monkeypatch.undo()
+    assert train(docs, graded(labels), most=3) is None

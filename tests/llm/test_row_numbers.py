@@ -71,3 +71,43 @@ def test_archives(docs, changing_scans):
     for r in got:
         copy = html[r.page_id] is not None and last[html[r.page_id]] != r.page_id
         assert (r.record_type, r.refers_to) == (("revisit", last[html[r.page_id]]) if copy else ("response", None))
+
+
+# --- a path that is read twice, and a column named as Spark's own -----------------------------------------
+
+
+@pytest.fixture(params=["twice", "_metadata"])
+def doubled(spark, tmp_path, request):
+    """Six rows with three texts, of which each is there four times; or the same twelve rows with a data column ``_metadata``."""
+    path = str(tmp_path / "d")
+    block = "a line of five good words here" + chr(10) + "and one more line of some words "
+    made = spark.createDataFrame([(i, block + f"{i % 3} " * 300, "x") for i in range(6)], "doc_id long, text string, other string")
+    if request.param == "twice":
+        made.repartition(2).write.parquet(path)
+        return spark.read.parquet(path, path)
+    made.unionByName(made).withColumn("_metadata", F.lit("mine")).repartition(2).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_doubled_copies(doubled):
+    out = exact_dedup.drop_copies(doubled)
+    assert out.columns == doubled.columns and sorted(r.doc_id for r in out.collect()) == [3, 4, 5]
+    assert sorted((r.doc_id, r.kept) for r in exact_dedup.exact_groups(doubled).collect()).count((3, True)) == 1
+
+
+def test_doubled_near_copies(doubled):
+    groups = simhash.near_groups(doubled).collect()
+    out = simhash.drop_near_copies(doubled)
+    assert out.columns == doubled.columns and len(groups) == 12
+    assert sorted(r.doc_id for r in out.collect()) == sorted({r.component_id for r in groups})
+
+
+def test_doubled_archives(doubled):
+    pages = doubled.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat("text", F.expr("repeat('word ', 400)")).alias("html"))
+    got = sorted((r.page_id, r.record_type) for r in warc.archive_round_trip(pages).collect())
+    assert len(got) == 12 and [x for x in got if x[1] == "response"] == [(3, "response"), (4, "response"), (5, "response")]
+
+
+def test_doubled_lines(doubled):
+    got = line_align.delete_repeated_lines(doubled, every=True).collect()
+    assert len(got) == 12 and sum(r.n_deleted == 0 for r in got) == 1
