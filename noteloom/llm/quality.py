@@ -153,11 +153,11 @@ class CumulativeLink:
         return logistic(np.asarray(score)[..., None] - self.thresholds)
 
 
-def word_scales(at: np.ndarray, word: np.ndarray, row: np.ndarray, grades: np.ndarray, top: int) -> np.ndarray:
+def word_scales(at: np.ndarray, word: np.ndarray, row: np.ndarray, grades: np.ndarray, top: int, width: int = BUCKETS) -> np.ndarray:
     """For each bucket, the largest log ratio, over thresholds k, of the shares of rows below and from grade k that have the word; 1 at least, and for what is no word."""
-    has = np.stack([np.bincount(at[word & (grades[row] == k)], minlength=BUCKETS) for k in range(top + 1)])
+    has = np.stack([np.bincount(at[word & (grades[row] == k)], minlength=width) for k in range(top + 1)])
     sizes = np.bincount(grades, minlength=top + 1)
-    scale = np.ones(BUCKETS)
+    scale = np.ones(width)
     for k in range(1, top + 1):
         below = np.log((has[:k].sum(0) + 0.5) / (sizes[:k].sum() + 1))
         above = np.log((has[k:].sum(0) + 0.5) / (sizes[k:].sum() + 1))
@@ -166,47 +166,53 @@ def word_scales(at: np.ndarray, word: np.ndarray, row: np.ndarray, grades: np.nd
     return scale
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, least: int = LEAST, steps: int = 120, rate: float = 0.08, ridge: float = 2e-4) -> CumulativeLink:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, least: int = LEAST, steps: int = 120, rate: float = 0.08, ridge: float = 2e-4, spend: bool = False) -> CumulativeLink:
     """Maximum likelihood with a ridge, by Adam on the whole sample.
 
     least: rows that must share a bucket for it to get a weight, a small number
     however many rows there are, as words that tell a grade may be rare. Words
     that tell one are scaled up (``word_scales``), so that the ridge holds them
-    back less than the many rare words that don't.
+    back less than the many rare words that don't. ``spend`` empties ``rows`` once they
+    are read, for callers that have no other use of them: beside them the fit holds
+    four numbers for each feature.
     """
-    top = int(grades.max())
-    sizes = np.array([len(a) for a, _ in rows])
+    top, n = int(grades.max()), len(rows)
+    row = np.repeat(np.arange(n), [len(a) for a, _ in rows])
     at = np.concatenate([a for a, _ in rows])
     values = np.concatenate([v for _, v in rows])
+    if spend:
+        rows.clear()
     often = np.bincount(at, minlength=BUCKETS) >= least
-    row = np.repeat(np.arange(len(rows)), sizes)[often[at]]
-    values = values[often[at]].astype(np.float64)
-    scale = word_scales(at[often[at]], values == 1, row, grades, top)
-    values *= scale[at[often[at]]]
-    places = np.cumsum(often) - 1
-    at = places[at[often[at]]]
+    keep = often[at]
+    places = np.cumsum(often, dtype=np.int32) - 1  # of the buckets that get a weight
+    at, row, values = places[at[keep]].astype(np.int64), row[keep], values[keep].astype(np.float64)
+    del keep, places
     w = np.zeros(int(often.sum()))
+    scale = word_scales(at, values == 1, row, grades, top, len(w))
+    part = np.empty_like(values)
+    values *= np.take(scale, at, out=part)
     share = np.array([(grades >= k).mean() for k in range(1, top + 1)]).clip(1e-3, 1 - 1e-3)
     first = np.log((1 - share) / share)
     p = np.concatenate([w, first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    n = len(rows)
     for step in range(1, steps + 1):
         w, cuts = p[: len(w)], p[len(w) :]
         t = np.concatenate([[-np.inf], cuts[0] + np.concatenate([[0], np.cumsum(np.exp(cuts[1:]))]), [np.inf]])
-        f = np.bincount(row, w[at] * values, n)
+        np.multiply(np.take(w, at, out=part), values, out=part)
+        f = np.bincount(row, part, n)
         hi, lo = logistic(np.where(np.isinf(t[grades + 1]), 60, t[grades + 1]) - f), logistic(np.where(np.isinf(t[grades]), -60, t[grades]) - f)
         mass = np.maximum(hi - lo, 1e-12)
         d_hi, d_lo = hi * (1 - hi) / mass, lo * (1 - lo) / mass
         g_f = (d_hi - d_lo) / n
-        g_w = np.bincount(at, g_f[row] * values, len(w)) + ridge * w
+        np.multiply(np.take(g_f, row, out=part), values, out=part)
+        g_w = np.bincount(at, part, len(w)) + ridge * w
         g_t = np.array([(-(d_hi * (grades == k)) + d_lo * (grades == k + 1)).sum() / n for k in range(top)])
         g_c = np.array([g_t.sum(), *(g_t[k:].sum() * np.exp(cuts[k]) for k in range(1, top))])
         g = np.concatenate([g_w, g_c])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     weights = np.zeros(BUCKETS, np.float32)
-    weights[often] = p[: len(w)] * scale[often]
+    weights[often] = p[: len(w)] * scale
     cuts = p[len(w) :]
     return CumulativeLink(weights, cuts[0] + np.concatenate([[0], np.cumsum(np.exp(cuts[1:]))]))
 
@@ -251,10 +257,14 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
         return None
     last = sizes[taken - 1].place
     got = found.filter(order <= F.struct(F.lit(last.h).cast("long").alias("h"), F.lit(last.doc_id).cast("long").alias("doc_id"))).collect()
+    del sizes
     got.sort(key=lambda r: (r.doc_id, r["at"], r["values"]))
-    if len({r.grade for r in got}) < 2:
+    grades_ = np.array([r.grade for r in got])
+    if len(set(grades_.tolist())) < 2:
         return None
-    return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in got], np.array([r.grade for r in got]))
+    rows = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in got]
+    del got
+    return fit(rows, grades_, spend=True)
 
 
 def score_quality(docs: DataFrame, model: CumulativeLink | None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, carry: str | None = None) -> DataFrame:

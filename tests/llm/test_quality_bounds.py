@@ -24,7 +24,7 @@ def tables(spark):
 def rows_of_fit(monkeypatch, docs, labels, **more):
     seen = []
     fit = quality.fit
-    monkeypatch.setattr(quality, "fit", lambda rows, grades: seen.extend(rows) or fit(rows, grades))
+    monkeypatch.setattr(quality, "fit", lambda rows, grades, **how: seen.extend(rows) or fit(rows, grades, **how))
     model = train(docs, graded(labels), **more)
     return seen, model
 
