@@ -87,6 +87,12 @@ def even_plan(count: int, strata=STRATA) -> dict[str, int]:
     return {s: max(1, round(count / len(strata))) for s in strata}
 
 
+def even_plan_rows(strata: DataFrame, stratum: str, count: int) -> DataFrame:
+    """:func:`even_plan` as a table (stratum, n), for the strata that a table has (null is none)."""
+    names = strata.select(F.col(quoted(stratum)).alias("stratum")).filter("stratum IS NOT NULL").distinct()
+    return names.withColumn("n", F.lit(max(1, round(count / max(1, names.count())))).cast("long"))
+
+
 def lookup_last(inputs: DataFrame, pairs: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """Exact-input lookup: adds ``value`` for ``key``; of pairs with one key, the last by ``order``; null if there is none."""
     last = pairs.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

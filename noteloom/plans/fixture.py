@@ -84,8 +84,8 @@ def notes_sql(day: str) -> str:
 DUCK_NOTES = notes_sql("strftime(o_orderdate, '%Y-%m-%d')")
 
 
-#: Bytes of orders that make a task of notes.
-ORDERS_A_TASK = 1 << 19
+#: Bytes of orders or customers that make a task of notes.
+BYTES_A_TASK = 1 << 19
 
 
 def size_of(spark: SparkSession, path: str) -> int:
@@ -97,11 +97,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """A scan task's worth of keys makes minutes of scoring: deals them to tasks by the size of the table at ``path``, not of the cluster."""
+    return df.repartition(max(spark.sparkContext.defaultParallelism, size_of(spark, path) // BYTES_A_TASK))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived notes: k, id, stratum, input, forbidden (array), draft."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("noteloom_orders")
     table(spark, sf_dir, "customer").createOrReplaceTempView("noteloom_customer")
     sql = notes_sql("date_format(o_orderdate, 'yyyy-MM-dd')").replace("FROM orders JOIN customer", "FROM noteloom_orders JOIN noteloom_customer")
-    # a scan task's worth of orders makes minutes of scoring: spread them, by the size of the orders and not of the cluster
-    tasks = max(spark.sparkContext.defaultParallelism, size_of(spark, f"{sf_dir}/orders.parquet") // ORDERS_A_TASK)
-    return spark.sql(sql).repartition(tasks).withColumn("forbidden", F.filter(F.split("forbidden", r"\|"), lambda x: x != ""))
+    return spread(spark, spark.sql(sql), f"{sf_dir}/orders.parquet").withColumn("forbidden", F.filter(F.split("forbidden", r"\|"), lambda x: x != ""))

@@ -14,7 +14,7 @@ from noteloom.operators import drafting, judging, rows, synthesis
 from noteloom.operators.chat import to_chat
 from noteloom.plans import oracle as O
 from noteloom.plans import scoring as C
-from noteloom.plans.fixture import DUCK_NOTES, notes, table
+from noteloom.plans.fixture import DUCK_NOTES, notes, spread, table
 from noteloom.rules import FIELDS, GATES, PLAN, STRATA, SUITES, load_rules
 from noteloom.runtime import Scratch
 from noteloom.sources.jsonl import read_jsonl, write_jsonl
@@ -441,9 +441,10 @@ def judge_verdicts(spark, sf_dir):
     return replies.select("k", judging.verdict(F.col("reply"), "faithful").alias("faithful"))
 
 
-@query("SELECT v.stratum, greatest(1, round_even(200 / 6::double, 0))::bigint AS n FROM (VALUES ('routine_session'), ('incident'), ('capacity_building'), ('sparse_input'), ('adv_pii_check'), ('adv_missing_field')) v(stratum)")
+@query("SELECT source AS stratum, greatest(1, round_even(200 / (SELECT count(DISTINCT source) FROM documents)::double, 0))::bigint AS n FROM documents WHERE source IS NOT NULL GROUP BY source")
 def even_plan(spark, sf_dir):
-    return spark.createDataFrame(list(rows.even_plan(200).items()), "stratum string, n long")
+    """About 200 records, as many for each source that the documents have."""
+    return rows.even_plan_rows(table(spark, sf_dir, "documents"), "source", 200)
 
 
 @query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 25")
@@ -497,12 +498,11 @@ def coverage(spark, sf_dir):
     return rows.coverage(table(spark, sf_dir, "documents"), "lang", ("en", "fr", "de", "es", "xx"))
 
 
-PLAN_ROWS = ", ".join(f"('{s}', {n})" for s, n in PLAN.items())
-
-
-@query(f"SELECT stratum, greatest(1, round_even(n * (60::double / {sum(PLAN.values())}), 0))::bigint AS n FROM (VALUES {PLAN_ROWS}) v(stratum, n)")
+@query("SELECT source AS stratum, greatest(1, round_even(count(*) * (300 / (SELECT count(*) FROM documents)::double), 0))::bigint AS n FROM documents GROUP BY source")
 def plan_scale(spark, sf_dir):
-    return rows.plan_scale(spark.createDataFrame(list(PLAN.items()), "stratum string, n long"), 60, sum(PLAN.values()))
+    """About 300 records in the shares that the sources have among the documents."""
+    docs = table(spark, sf_dir, "documents")
+    return rows.plan_scale(docs.groupBy(F.col("source").alias("stratum")).agg(F.count(F.lit(1)).alias("n")), 300, docs.count())
 
 
 REASON = "CASE WHEN NOT structural THEN 'structure: ' || array_to_string(list_filter([CASE WHEN len(missing) > 0 THEN 'missing=' || array_to_string(missing, '|') END, CASE WHEN len(gaps) > 0 THEN 'gaps=' || array_to_string(gaps, '|') END, CASE WHEN len(invalid) > 0 THEN 'types=' || array_to_string(invalid, '|') END, CASE WHEN NOT order_ok THEN 'order' END], lambda x: x IS NOT NULL), ', ') WHEN NOT pii_clean THEN 'pii: ' || array_to_string(leaks, '; ') WHEN NOT faithful THEN 'faithfulness: ' || array_to_string(findings[1:2], '; ') ELSE '' END"
@@ -581,41 +581,53 @@ def chat_format(spark, sf_dir):
 
 # --- synthesis -----------------------------------------------------------------------------------
 
-COUNT = 400
-DRAWN = synthesis.records_sql(synthesis.DUCK, COUNT)
+# A candidate for each customer, numbered by its key.
+NUMBERS = "SELECT c_custkey AS n FROM customer WHERE c_custkey IS NOT NULL"
+DRAWN = synthesis.records_sql(synthesis.DUCK, NUMBERS)
+
+
+def _numbers(spark, sf_dir) -> str:
+    customers = table(spark, sf_dir, "customer").filter("c_custkey IS NOT NULL").select(F.col("c_custkey").alias("n"))
+    spread(spark, customers, f"{sf_dir}/customer.parquet").createOrReplaceTempView("noteloom_numbers")
+    return "SELECT n FROM noteloom_numbers"
 
 
-@query(f"SELECT stratum, seq, service, participant, day, minutes, goal, place, worker, present, outcome, follow_up, risk FROM ({synthesis.facts_sql(synthesis.DUCK, COUNT)}) f")
+@query(f"SELECT stratum, seq, service, participant, day, minutes, goal, place, worker, present, outcome, follow_up, risk FROM ({synthesis.facts_sql(synthesis.DUCK, NUMBERS)}) f")
 def synth_facts(spark, sf_dir):
-    return spark.sql(synthesis.facts_sql(synthesis.SPARK, COUNT)).select("stratum", "seq", "service", "participant", "day", "minutes", "goal", "place", "worker", "present", "outcome", "follow_up", "risk")
+    return spark.sql(synthesis.facts_sql(synthesis.SPARK, _numbers(spark, sf_dir))).select("stratum", "seq", "service", "participant", "day", "minutes", "goal", "place", "worker", "present", "outcome", "follow_up", "risk")
 
 
-@query(f"SELECT stratum, seq, missing FROM ({synthesis.facts_sql(synthesis.DUCK, COUNT)}) f")
+@query(f"SELECT stratum, seq, missing FROM ({synthesis.facts_sql(synthesis.DUCK, NUMBERS)}) f")
 def synth_missing(spark, sf_dir):
-    return spark.sql(synthesis.facts_sql(synthesis.SPARK, COUNT)).select("stratum", "seq", "missing")
+    return spark.sql(synthesis.facts_sql(synthesis.SPARK, _numbers(spark, sf_dir))).select("stratum", "seq", "missing")
 
 
 @query(f"SELECT id, input FROM ({DRAWN}) r")
 def synth_input(spark, sf_dir):
-    return synthesis.records(spark, COUNT).select("id", "input")
+    return synthesis.records(spark, _numbers(spark, sf_dir)).select("id", "input")
 
 
 @query(f"SELECT id, draft AS target FROM ({DRAWN}) r")
 def synth_target(spark, sf_dir):
-    return synthesis.records(spark, COUNT).select("id", F.col("draft").alias("target"))
+    return synthesis.records(spark, _numbers(spark, sf_dir)).select("id", F.col("draft").alias("target"))
 
 
 @query(f"SELECT id, stratum, coalesce(pii_handling, '') AS pii_handling, CASE WHEN stratum IN ('adv_pii_check', 'adv_missing_field') THEN missing ELSE '' END AS missing_fields, forbidden FROM ({DRAWN}) r")
 def synth_records(spark, sf_dir):
     kept = F.when(F.col("stratum").isin("adv_pii_check", "adv_missing_field"), F.col("missing")).otherwise("")
-    return synthesis.records(spark, COUNT).select("id", "stratum", F.coalesce("pii_handling", F.lit("")).alias("pii_handling"), kept.alias("missing_fields"), join(F.col("forbidden"), "|").alias("forbidden"))
+    return synthesis.records(spark, _numbers(spark, sf_dir)).select("id", "stratum", F.coalesce("pii_handling", F.lit("")).alias("pii_handling"), kept.alias("missing_fields"), join(F.col("forbidden"), "|").alias("forbidden"))
 
 
+# The plan: a third of the customers that have a stratum's numbers.
 @query(
-    f"WITH {O.score_ctes(synthesis.records_sql(synthesis.DUCK, 3 * max(PLAN.values())))}, "
+    f"WITH {O.score_ctes(DRAWN)}, "
+    f"v AS (SELECT stratum, greatest(1, round_even(count(*) * (1 / 3::double), 0)) AS n FROM ({DRAWN}) r GROUP BY stratum), "
     f"c AS (SELECT *, row_number() OVER (PARTITION BY sha1(lower({O.strip('input')})) ORDER BY k) AS copy FROM q WHERE structural AND pii_clean AND faithful), "
     "d AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY k) AS place FROM c WHERE copy = 1) "
-    f"SELECT 'synth-' || d.stratum || '-' || lpad((place - 1)::varchar, 4, '0') AS id, d.stratum, input, draft AS target FROM d JOIN (VALUES {PLAN_ROWS}) v(stratum, n) ON d.stratum = v.stratum WHERE place <= v.n"
+    "SELECT 'synth-' || d.stratum || '-' || printf('%04d', place - 1) AS id, d.stratum, input, draft AS target FROM d JOIN v ON d.stratum = v.stratum WHERE place <= v.n"
 )
 def synth_dataset(spark, sf_dir):
-    return synthesis.dataset(spark)
+    numbers = _numbers(spark, sf_dir)
+    nth = F.element_at(F.array(*[F.lit(s) for s in STRATA]), (F.col("n") % len(STRATA) + 1).cast("int"))
+    counts = spark.table("noteloom_numbers").groupBy(nth.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return synthesis.dataset(spark, rows.plan_scale(counts, 1, 3), numbers=numbers)

@@ -56,10 +56,14 @@ def example_scores(drafts: DataFrame, rules: Rules | None = None, cases: bool =
     structural = F.col("present_ok") & F.col("order_ok") & F.col("types_ok")
     ones = sum((F.col(c).cast("int") for c in ("present_ok", "order_ok", "types_ok")), F.lit(0))
     df = df.withColumns({"structural": structural, "structure_score": ones / F.lit(3.0), "register": F.col("register_score") >= 0.75})
-    df = df.withColumn("passed", F.col("structural") & F.col("pii_clean") & F.col("faithful") & F.col("register"))
+    df = df.withColumn("passed", passing())
     return df.withColumn("case_passed", F.col("reason").isNull()) if cases else df
 
 
+def passing() -> Column:
+    return F.col("structural") & F.col("pii_clean") & F.col("faithful") & F.col("register")
+
+
 def case_reason(note: Column, found: Column, leaked: Column) -> Column:
     """Why a suite's case fails; null if it passes."""
     v = F.try_element_at(note, F.col("missing_field"))
