@@ -10,9 +10,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import pii as P
-from noteloom.operators import drafting, judging, rows, suites, synthesis
+from noteloom.operators import drafting, judging, rows, served, suites, synthesis, verify
 from noteloom.plans import report, scoring
 from noteloom.rules import PLAN
+from noteloom.runtime import Scratch
 from noteloom.sources.jsonl import exists, load_split, read_jsonl, write_jsonl, write_splits
 
 #: Records that ``generate`` shows.
@@ -28,22 +29,57 @@ def text_of(args) -> str:
     return text.strip()
 
 
-def model_of(spark: SparkSession, mode: str, examples):
+def model_of(spark: SparkSession, mode: str, examples, endpoint: served.Endpoint | None = None):
+    """A model by its name: naive, golden, served (at ``endpoint``) or ``module:function`` over batches that adds ``draft``; with ``guarded-`` before it, scrubbed."""
+    guarded, kind = mode.startswith("guarded-"), mode.removeprefix("guarded-")
     kinds = dict(drafting.MODELS, golden=drafting.golden(examples))
-    guarded = mode.startswith("guarded-")
-    model = drafting.build(kinds, mode.removeprefix("guarded-"))
+    if endpoint:
+        kinds["served"] = served.model(endpoint)
+    if ":" in kind:
+        kinds[kind] = drafting.batched(served.named(kind), "draft string")
+    model = drafting.build(kinds, kind)
     return drafting.guarded(model) if guarded else model
 
 
-def evaluate(spark: SparkSession, data: str, mode: str, split: str = "test", limit: int = 0) -> dict:
+def judge_of(kind: str, endpoint: served.Endpoint | None = None):
+    """A judge by its name: heuristic, served (at ``endpoint``) or ``module:function`` over batches that adds replies (``judging.judge_once``)."""
+    kinds = dict(drafting.JUDGES)
+    if endpoint:
+        kinds["served"] = served.judge(endpoint)
+    if ":" in kind:
+        kinds[kind] = judging.judge_once(served.named(kind), with_said=True)
+    return drafting.build(kinds, kind)
+
+
+def endpoint_of(url: str | None, model: str | None) -> served.Endpoint | None:
+    return served.Endpoint(url, model or "default") if url else None
+
+
+def evaluate(spark: SparkSession, data: str, mode: str, split: str = "test", limit: int = 0, judge: str = "heuristic", at: served.Endpoint | None = None, judge_at: served.Endpoint | None = None) -> dict:
+    """The scorecard of a model on a split and the suites. Drafts of models that are asked are written, so that no part of it asks twice."""
     examples = load_split(spark, data, split, RECORDS)
     if limit:
         examples = examples.orderBy("id").limit(limit)
     cases = suites.cases(spark)
-    model = model_of(spark, mode, examples.select("input", "target").unionByName(cases.select("input", "target")))
-    scores = scoring.example_scores(model(examples.drop("target")))
-    outcome = scoring.suite_results(scoring.suite_cases(model(cases.drop("target"))))
-    return report.scorecard(scores, outcome, mode, "heuristic", split)
+    model = model_of(spark, mode, examples.select("input", "target").unionByName(cases.select("input", "target")), at)
+    decide = None if judge == "heuristic" else judge_of(judge, judge_at)
+    opaque = decide is not None or mode.removeprefix("guarded-") not in ("naive", "golden")
+    scratch = Scratch(spark, "evaluate") if opaque else None
+    kept = lambda df, name: scratch.write(df, name) if opaque else df
+    scores = kept(verify.judged_scores(kept(model(examples.drop("target")), "drafts"), decide), "scores")
+    outcome = scoring.suite_results(kept(verify.judged_cases(kept(model(cases.drop("target")), "answers"), decide), "outcome"))
+    return report.scorecard(scores, outcome, mode, judge, split)
+
+
+#: About how many records the first evaluation makes where there are none.
+FIRST = 60
+
+
+def first_records(spark: SparkSession, data: str) -> None:
+    """Makes and splits a small set of records, in the shares of the usual plan."""
+    share = FIRST / sum(PLAN.values())
+    made = synthesis.dataset(spark, {s: max(1, round(n * share)) for s, n in PLAN.items()})
+    write_splits(rows.stratified_split(made, "stratum", "id"), data)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -57,9 +93,19 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("generate")
     p.add_argument("out")
     p.add_argument("--count", type=int, help="about so many records, evenly over the strata; without it the usual plan")
+    p.add_argument("--judge", default="heuristic", help="heuristic, served, or module:function over batches")
+    p.add_argument("--judge-url", help="chat completions endpoint of the judge")
+    p.add_argument("--judge-model")
+    p.add_argument("--teacher-url", help="chat completions endpoint that writes the targets; without it they are rendered")
+    p.add_argument("--teacher-model")
     p = sub.add_parser("evaluate")
     p.add_argument("data")
-    p.add_argument("--mode", default="golden")
+    p.add_argument("--mode", default="golden", help="naive, golden, served, or module:function over batches; guarded- before it scrubs its drafts")
+    p.add_argument("--model-url", help="chat completions endpoint of the model")
+    p.add_argument("--model")
+    p.add_argument("--judge", default="heuristic", help="heuristic, served, or module:function over batches")
+    p.add_argument("--judge-url")
+    p.add_argument("--judge-model")
     p.add_argument("--split", default="test")
     p.add_argument("--limit", type=int, default=0)
     p.add_argument("--json")
@@ -68,6 +114,8 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("calibrate")
     p.add_argument("labels")
     p.add_argument("--judge", default="heuristic")
+    p.add_argument("--judge-url")
+    p.add_argument("--judge-model")
     p.add_argument("--export")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("noteloom").getOrCreate()
@@ -81,7 +129,9 @@ def main(argv: list[str] | None = None) -> int:
         print(model_of(spark, args.mode, spark.createDataFrame([], "input string, target string"))(df).first().draft)
     elif args.command == "generate":
         plan = rows.even_plan(args.count) if args.count is not None else PLAN
-        made = synthesis.dataset(spark, plan).cache()
+        judge = None if args.judge == "heuristic" else judge_of(args.judge, endpoint_of(args.judge_url, args.judge_model))
+        teacher = endpoint_of(args.teacher_url, args.teacher_model)
+        made = synthesis.dataset(spark, plan, judge=judge, teacher=served.model(teacher) if teacher else None).cache()
         for i, r in enumerate(made.orderBy("id").limit(PREVIEW).collect(), 1):
             print(f"record {i}: {r.stratum}")
         counts = {r.stratum: r["count"] for r in made.groupBy("stratum").count().collect()}  # one row for each stratum
@@ -97,7 +147,7 @@ def main(argv: list[str] | None = None) -> int:
         if not exists(spark, args.labels):
             print(f"no labels: {args.labels}", file=sys.stderr)
             return 2
-        judge = drafting.build(drafting.JUDGES, args.judge)
+        judge = judge_of(args.judge, endpoint_of(args.judge_url, args.judge_model))
         judged = judge(judging.labelled(read_jsonl(spark, args.labels, judging.LABELS))).cache()
         found = judging.calibration(judged).collect()  # two rows
         for r in found:
@@ -110,15 +160,15 @@ def main(argv: list[str] | None = None) -> int:
         judged.unpersist()
     else:
         if not exists(spark, f"{args.data}/splits"):
-            print("no data", file=sys.stderr)
-            return 2
+            print(f"no records in {args.data}: making about {FIRST}", file=sys.stderr)
+            first_records(spark, args.data)
         found = load_split(spark, args.data, args.split, RECORDS)
         if found.isEmpty():
             print(f"no records of split {args.split!r}", file=sys.stderr)
             return 2
         if absent := sorted(r.stratum for r in rows.coverage(found, "stratum").filter("n = 0").collect()):  # of six
             print(f"warning: no examples of {', '.join(absent)}", file=sys.stderr)
-        card = evaluate(spark, args.data, args.mode, args.split, args.limit)
+        card = evaluate(spark, args.data, args.mode, args.split, args.limit, args.judge, endpoint_of(args.model_url, args.model), endpoint_of(args.judge_url, args.judge_model))
         print(report.to_text(card))
         if args.json:
             report.write_json(card, args.json)

@@ -109,7 +109,7 @@ def judge_once(ask: Callable[[Iterator], Iterator], retries: int = 2, with_said:
         scratch = Scratch(df.sparkSession, "judge")
         pair, key = ["input", "draft"], fresh_name(df, "__pair")
         sized = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in pair]
-        keyed = df.withColumn(key, F.sha2(F.concat(*sized), 256))
+        keyed = scratch.write(df.withColumn(key, F.sha2(F.concat(*sized), 256)), "drafts")  # read twice
         open_ = scratch.write(keyed.groupBy(F.col(key).alias("key")).agg(*[F.first(c).alias(c) for c in pair]), "asked0")
         replies, readable = [F.col(f"{q}_reply") for q in QUESTIONS], F.lit(True)
         for q in QUESTIONS:

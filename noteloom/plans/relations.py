@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noteloom.operators import bucketed, contains, judging, stops, timeline
+from noteloom.operators import bucketed, contains, judging, stops, timeline, verify
 from noteloom.operators import disjoint as D
 from noteloom.operators import first_k as K
 from noteloom.operators import rows as R
@@ -203,3 +203,24 @@ def judged_once(spark, sf_dir):
     pairs = conv.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("input")).join(nxt, ["conv_id", "turn"])
     judged = judging.judge_once(counting_judge, retries=1, with_said=True)(pairs)
     return judged.select("conv_id", "turn", "faithful", F.array_join("faithful_said.items", "|").alias("claims"), "register")
+
+
+_JUDGED = "(length(input) + length(draft)) % 7 <> 0 AND length(draft) % 2 = 0"
+
+
+@query(O.over_scores(f"SELECT id, CASE WHEN NOT structural THEN 'structure' WHEN NOT pii_clean THEN 'pii' WHEN {_JUDGED} THEN 'kept' ELSE 'faithfulness' END AS stage FROM q"))
+def verify_stages(spark, sf_dir):
+    """The first check that each note fails, with a judge that is asked about what the others let pass."""
+    drafts = notes(spark, sf_dir).select("id", "stratum", "input", "draft", "forbidden")
+    return verify.reasons(drafts, judging.judge_once(counting_judge, retries=1)).select("id", "stage")
+
+
+@query(
+    O.over_scores(
+        f"SELECT stratum, count(*) AS n, round(avg(structural::int), 4) AS structural, round(avg(({_JUDGED})::int), 4) AS faithful, round(avg((structural AND pii_clean AND {_JUDGED})::int), 4) AS overall_pass FROM q GROUP BY stratum"
+    )
+)
+def judged_per_stratum(spark, sf_dir):
+    """Rates by stratum where faithfulness, register and billable evidence are an asked judge's."""
+    scores = verify.judged_scores(notes(spark, sf_dir), judging.judge_once(counting_judge, retries=1, with_said=True))
+    return C.per_stratum(scores).select("stratum", "n", "structural", "faithful", "overall_pass")
