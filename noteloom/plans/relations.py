@@ -15,6 +15,7 @@ from noteloom.plans.fixture import DUCK_NOTES, notes, table
 from noteloom.plans.queries import KEY, ORACLE_SQL, SPLIT, query
 from noteloom.rules import PLAN
 from noteloom.runtime import Scratch
+from noteloom.streaming import monitor, sessions
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE b.text <> ''")
@@ -224,3 +225,51 @@ def judged_per_stratum(spark, sf_dir):
     """Rates by stratum where faithfulness, register and billable evidence are an asked judge's."""
     scores = verify.judged_scores(notes(spark, sf_dir), judging.judge_once(counting_judge, retries=1, with_said=True))
     return C.per_stratum(scores).select("stratum", "n", "structural", "faithful", "overall_pass")
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+PARTS = 3
+IDLE = 6 * 3600
+
+
+@query(
+    f"WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= {IDLE * 1_000_000} THEN 0 ELSE 1 END AS begins FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "b AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM a) "
+    "SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, sum(round(value * 100))::bigint AS cents FROM b GROUP BY user_id, nth"
+)
+def user_sessions(spark, sf_dir):
+    """Sessions of users, from a stream of the events that is stopped and started again between its parts."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    measures = [F.count_if(F.col("event_type") == "error").alias("errors"), F.sum(F.round(F.col("value") * 100)).cast("long").alias("cents")]
+    made = sessions.run_in_parts(events, "ts", lambda s: sessions.sessions(s, "user_id", "ts", f"{IDLE} seconds", "1 hour", measures), PARTS, "30 DAYS", "sessions")
+    return made.select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n", "errors", "cents")
+
+
+@query(
+    f"WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w = 'purchase' OR epoch_us(ts) - lag(epoch_us(ts)) OVER w > {IDLE * 1_000_000} THEN 1 ELSE 0 END AS begins FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "b AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM a) "
+    "SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'done' ELSE 'idle' END AS outcome FROM b GROUP BY user_id, nth"
+)
+def user_visits(spark, sf_dir):
+    """Visits of users that end with a purchase or in silence, from a state for each user with a timeout."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    return sessions.run_in_parts(events, "ts", lambda s: sessions.visits(s, "user_id", "ts", "event_id", F.col("event_type") == "purchase", IDLE, "1 hour"), PARTS, "30 DAYS", "visits")
+
+
+MONTH = 30 * 86400
+
+
+@query(
+    O.over_scores(
+        f"SELECT (epoch_us(o.o_orderdate::timestamp) // {MONTH * 1_000_000})::bigint AS period, stratum, count(*) AS n, round(avg(structural::int), 6) AS structural, round(avg(pii_clean::int), 6) AS pii_clean, round(avg(passed::int), 6) AS passed "
+        "FROM q JOIN orders o ON o.o_orderkey = q.k GROUP BY 1, 2"
+    )
+)
+def window_rates(spark, sf_dir):
+    """Rates of notes by windows of thirty days and stratum, scored in a stream as they come by date."""
+    dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    rows = notes(spark, sf_dir).join(dates, "k").select("ts", "id", "stratum", "input", "draft", "forbidden")
+    made = sessions.run_in_parts(Scratch(spark, "dated").write(rows, "notes"), "ts", lambda s: monitor.window_rates(s, size="30 days", late="1 day"), PARTS, "90 DAYS", "rates")
+    six = lambda c: F.round(c, 6).alias(c)
+    return made.select(F.expr(f"unix_seconds(window.start) div {MONTH}").alias("period"), "stratum", "n", six("structural"), six("pii_clean"), six("passed"))
