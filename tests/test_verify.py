@@ -130,24 +130,38 @@ def test_records_of_a_teacher(spark, endpoint):
         synthesis.dataset(spark, spark.createDataFrame([("incident", 1)], "stratum string, n long"))
 
 
-def test_first_run_and_judges_of_the_command(spark, tmp_path, endpoint, capsys):
-    at, _ = endpoint
+def test_first_run_of_the_command(spark, tmp_path, capsys):
     data, card = str(tmp_path / "d"), tmp_path / "card.json"
     assert cli.main(["evaluate", data, "--json", str(card)]) == 0
     assert "making about 60" in capsys.readouterr().err and json.loads(card.read_text())["release_ok"]
-    assert spark.read.json(f"{data}/seed").count() == 58 and cli.main(["evaluate", data]) == 0 and "making" not in capsys.readouterr().err
-    assert cli.main(["evaluate", data, "--judge", f"{__name__}:deny", "--fail-on-block", "--json", str(card)]) == 1
+    assert spark.read.json(f"{data}/seed").count() == 58  # the plan's shares of 60, rounded
+
+
+@pytest.fixture
+def split_data(spark, tmp_path):
+    rows = [("a", "incident", "x", "{}", "test"), ("b", "sparse_input", "y", "{}", "test")]
+    cli.write_splits(spark.createDataFrame(rows, "id string, stratum string, input string, target string, split string"), str(tmp_path / "s"))
+    return str(tmp_path / "s")
+
+
+def test_judge_by_name(spark, tmp_path, split_data):
+    card = tmp_path / "card.json"
+    assert cli.main(["evaluate", split_data, "--judge", f"{__name__}:deny", "--fail-on-block", "--json", str(card)]) == 1
     told = json.loads(card.read_text())
     assert told["judge"] == f"{__name__}:deny" and {g["name"]: g["value"] for g in told["gates"]}["strata_faithfulness"] == 0
     assert {s["suite"]: s["pass_rate"] for s in told["suites"]} == {"fabrication": 0.0, "pii_leakage": 1.0, "missing_element": 1.0}
-    assert cli.main(["evaluate", data, "--judge", "served", "--judge-url", at.url, "--fail-on-block"]) == 0
-    assert cli.main(["evaluate", data, "--mode", "guarded-served", "--model-url", at.url, "--json", str(card)]) == 0
+
+
+def test_served_model_and_judge_of_the_command(spark, tmp_path, split_data, endpoint):
+    at, card = endpoint[0], tmp_path / "card.json"
+    assert cli.main(["evaluate", split_data, "--mode", "guarded-served", "--model-url", at.url, "--judge", "served", "--judge-url", at.url, "--json", str(card)]) == 0
     told = json.loads(card.read_text())
-    assert told["latency_s"]["n"] == told["n_examples"] and not told["release_ok"]
-    assert cli.main(["evaluate", data, "--mode", f"{__name__}:plain", "--fail-on-block"]) == 1
-    for wrong in ("nobody", f"{__name__}:none", "no.such.module:f"):
+    assert told["latency_s"]["n"] == told["n_examples"] == 2 and not told["release_ok"]
+
+
+def test_unknown_judges(spark):
+    for wrong in ("nobody", "served", f"{__name__}:none", "no.such.module:f"):
         with pytest.raises(ValueError):
-            cli.main(["evaluate", data, "--judge", wrong])
+            cli.judge_of(wrong)
     with pytest.raises(ValueError):
-        cli.main(["evaluate", data, "--judge", "served"])
-    assert cli.main(["generate", str(tmp_path / "g"), "--count", "6", "--judge", f"{__name__}:deny"]) == 0 and "short of its plan" in capsys.readouterr().err
+        cli.model_of(spark, "served", spark.createDataFrame([], "input string, target string"))
