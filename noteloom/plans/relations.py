@@ -55,7 +55,7 @@ ATTEMPTS = f"""
 
 
 def _attempts(spark, sf_dir):
-    fine = Scratch(spark, "attempts").write(C.example_scores(notes(spark, sf_dir)).select("stratum", "k", "input", F.expr("structural AND pii_clean AND faithful").alias("fine")), "scored")
+    fine = Scratch(spark, "attempts").write(C.example_scores(notes(spark, sf_dir), wanted=("structural", "pii_clean", "faithful")).select("stratum", "k", "input", F.expr("structural AND pii_clean AND faithful").alias("fine")), "scored")
     first = R.dedup_groups(fine.filter("fine"), "input", "k").select("first")
     return fine.join(first, F.col("k") == F.col("first"), "left").select("stratum", "k", (F.col("fine") & F.col("first").isNotNull()).alias("ok"))
 
