@@ -76,3 +76,17 @@ def test_what_matches_may_match(spark, pattern):
     df = spark.createDataFrame([(s,) for s in PERSONAL], "s string").select(F.rlike("s", F.lit(pattern)).alias("hit"), P.may_match(F.col("s"), pattern).alias("may"))
     rows = df.collect()
     assert any(r.hit for r in rows) and all(r.may for r in rows if r.hit)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_scores_that_nobody_reads_are_not_made(spark):
+    import __spark_entry__ as entry
+
+    plan = "\n".join(x.simpleString(10_000) for x in nodes_of(entry.queries()["struct_pass"](spark, str(DATA))))
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan
+
+
+def test_text_of_a_reply_is_named_once(spark):
+    """Steps that name their text more than once made the expression grow by a factor each."""
+    plan = spark.range(1).select(N.json_text(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 5_000
