@@ -37,6 +37,21 @@ def nodes_of(df):
     return found
 
 
+#: Queries that were found to hold all notes of a scan task in its memory.
+DEALT = ["chat_training"]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", DEALT)
+def test_queries_deal_keys_not_notes(spark, name):
+    """What is dealt is four short columns of each order, by its key; dealt in turn, notes were sorted whole in each task."""
+    import __spark_entry__ as entry
+
+    dealt = [x for x in nodes_of(entry.queries()[name](spark, str(DATA))) if "artition" in x.nodeName()]
+    assert [x.nodeName() for x in dealt] == ["RepartitionByExpression"]
+    assert {dealt[0].output().apply(i).name() for i in range(dealt[0].output().size())} == {"o_orderkey", "o_custkey", "o_orderdate", "c_mktsegment"}
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", ["struct_pass", "verify_filter", "overall_rates", "per_stratum", "verify_reasons"])
 def test_generators_only_hand_on(spark, name):
