@@ -38,7 +38,7 @@ def nodes_of(df):
 
 
 #: Queries that were found to hold all notes of a scan task in its memory.
-DEALT = ["chat_training", "faith_fields", "faith_ids", "faith_numbers", "calibration_disagreements", "all_notes_suite_failures", "all_notes_suite_rates"]
+DEALT = ["chat_training", "faith_fields", "faith_ids", "faith_numbers", "calibration_disagreements", "all_notes_suite_failures", "all_notes_suite_rates", "all_notes_suite_union"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
